@@ -52,15 +52,22 @@ def extract_fields(
     """Add the six fields.
 
     With ``entities`` (the recogniser ran) names come from entity roles, null where it found none;
-    without, from labelled lines.  The date list is built once in its own projection and read by
-    both date fields.
+    without, from labelled lines.  The date list and the labelled windows are built once in their own
+    projection, as the date fields read each of them more than once.
     """
-    text, dates = F.col(text_col), F.col("_dates")
-    out = docs.withColumn("_dates", tx.find_dates(text)).withColumns(
+    text = F.col(text_col)
+    found = docs.withColumns(
+        {
+            "_dates": tx.find_dates(text),
+            "_dated": tx.invoice_date_window(text),
+            "_due": tx.due_date_window(text),
+        }
+    )
+    out = found.withColumns(
         {
             "invoice_number": tx.invoice_number(text, strict),
-            "invoice_date": tx.invoice_date(text, dates),
-            "due_date": tx.due_date(text, dates),
+            "invoice_date": tx.invoice_date(F.col("_dated"), F.col("_dates")),
+            "due_date": tx.due_date(F.col("_due"), F.col("_dates")),
             "total_amount": tx.total_amount(text),
         }
     )

@@ -1,4 +1,4 @@
 """All registered queries; importing the modules fills the registry."""
 
-from paperloom.plans import evaluation, text  # noqa: F401
+from paperloom.plans import boxes, evaluation, scoring, text  # noqa: F401
 from paperloom.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -173,10 +173,17 @@ _EITHER = {
 VIEWS = {name: (deps, text, text) for name, (deps, text) in _BOTH.items()} | _EITHER
 
 
+# Table schemas by path, so that a table's footer is read for its schema once per process.
+_SCHEMAS: dict = {}
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table or an input view as a DataFrame."""
     if name in TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        path = f"{sf_dir}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = spark.read.parquet(path).schema
+        return spark.read.schema(_SCHEMAS[path]).parquet(path)
     deps, text, _ = VIEWS[name]
     for dep in deps:
         load(spark, sf_dir, dep).createOrReplaceTempView(dep)

@@ -130,7 +130,13 @@ FIELD_ROWS = f"f AS (SELECT doc_id, label_name, {sql_fields()} FROM doc_texts)"
 
 
 def _with_dates(spark, sf):
-    return load(spark, sf, "doc_texts").select("doc_id", "text", tx.find_dates(F.col("text")).alias("dates"))
+    text = F.col("text")
+    return load(spark, sf, "doc_texts").select(
+        "doc_id",
+        tx.find_dates(text).alias("dates"),
+        tx.invoice_date_window(text).alias("dated"),
+        tx.due_date_window(text).alias("due"),
+    )
 
 
 @query("txt_invoice_number", "SELECT doc_id, invoice_number FROM f", TEXTS, FIELD_ROWS)
@@ -140,12 +146,12 @@ def txt_invoice_number(spark, sf):
 
 @query("txt_invoice_date", "SELECT doc_id, invoice_date FROM f", TEXTS, FIELD_ROWS)
 def txt_invoice_date(spark, sf):
-    return _with_dates(spark, sf).select("doc_id", tx.invoice_date(F.col("text"), F.col("dates")).alias("invoice_date"))
+    return _with_dates(spark, sf).select("doc_id", tx.invoice_date(F.col("dated"), F.col("dates")).alias("invoice_date"))
 
 
 @query("txt_due_date", "SELECT doc_id, due_date FROM f", TEXTS, FIELD_ROWS)
 def txt_due_date(spark, sf):
-    return _with_dates(spark, sf).select("doc_id", tx.due_date(F.col("text"), F.col("dates")).alias("due_date"))
+    return _with_dates(spark, sf).select("doc_id", tx.due_date(F.col("due"), F.col("dates")).alias("due_date"))
 
 
 @query("txt_total_amount", "SELECT doc_id, total_amount FROM f", TEXTS, FIELD_ROWS)
