@@ -9,7 +9,7 @@ order value is unique within the group.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 4096
@@ -40,14 +40,18 @@ def position_in_group(
     order_col: str,
     coarse_cols: list[str] | None = None,
     out: str = "pos",
-    limit: DataFrame | int | None = None,
+    limit: DataFrame | Column | None = None,
+    small_limit: bool = False,
     block: int = BLOCK,
     keep_block: str | None = None,
 ) -> DataFrame:
     """Add the zero-based position of each row in its group.
 
     ``coarse_cols`` come before ``order_col`` in the order; the pair must be unique in the group.
-    ``limit`` keeps the first rows only: an integer, or a small frame ``group_cols + [_limit]``.
+    ``limit`` keeps the first rows of each group only: a column over the group columns, or a small
+    frame ``group_cols + [_limit]``.  With ``small_limit`` the caller vouches that all limits together
+    are small; at most that many blocks survive, so the block list is broadcast and the rows of
+    other blocks never leave their task.
     Blocks that start beyond the limit are dropped before any row is shuffled for numbering.
     ``keep_block`` names an output column with the block, by which the result is partitioned.
     """
@@ -55,10 +59,14 @@ def position_in_group(
     blocked = with_block(df, order_col, block)
     keys = [*group_cols, *coarse, BLOCK_COL]
     offsets = block_offsets(blocked, group_cols, coarse)
-    if isinstance(limit, DataFrame):
-        offsets = offsets.join(limit, group_cols).where(F.col(OFFSET_COL) < F.col("_limit"))
-    elif limit is not None:
-        offsets = offsets.withColumn("_limit", F.lit(limit)).where(F.col(OFFSET_COL) < F.col("_limit"))
+    if limit is not None:
+        bounded = (
+            offsets.join(limit, group_cols)
+            if isinstance(limit, DataFrame)
+            else offsets.withColumn("_limit", limit)
+        )
+        offsets = bounded.where(F.col(OFFSET_COL) < F.col("_limit"))
+        offsets = F.broadcast(offsets) if small_limit else offsets
     in_block = Window.partitionBy(*keys).orderBy(order_col)
     placed = blocked.join(offsets, keys).withColumn(
         out, F.col(OFFSET_COL) + F.row_number().over(in_block) - 1
@@ -67,3 +75,17 @@ def position_in_group(
         placed = placed.where(F.col(out) < F.col("_limit")).drop("_limit")
     placed = placed.drop(OFFSET_COL)
     return placed.withColumnRenamed(BLOCK_COL, keep_block) if keep_block else placed.drop(BLOCK_COL)
+
+
+def first_k(df: DataFrame, group_col: str, order_col: str, k: int, salts: int = 64) -> DataFrame:
+    """The ``k`` rows of smallest ``order_col`` (unique) in each group.
+
+    Found on the two key columns alone, first within hashed parts of each group, then among the
+    survivors; the full rows are picked up by a join on the keys.
+    """
+    salted = df.select(group_col, order_col).withColumn("_salt", F.pmod(F.xxhash64(order_col), F.lit(salts)))
+    in_part = Window.partitionBy(group_col, "_salt").orderBy(order_col)
+    in_group = Window.partitionBy(group_col).orderBy(order_col)
+    part = salted.withColumn("_r", F.row_number().over(in_part)).where(F.col("_r") <= k)
+    keys = part.withColumn("pos", F.row_number().over(in_group)).where(F.col("pos") <= k)
+    return df.join(keys.select(group_col, order_col, "pos"), [group_col, order_col])

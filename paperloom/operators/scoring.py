@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.labels import label_name
-from paperloom.functions.vectors import argmax, confidence, softmax
+from paperloom.functions.vectors import argmax, confidence
 from paperloom.schemas import DISPLAY_ORDER, LABEL_NAMES, MEMBER_ORDER, literal_array
 
 NO_LABEL = "-"
@@ -51,8 +51,15 @@ def ordered_predictions(preds: DataFrame) -> DataFrame:
 
 
 def with_probabilities(scores: DataFrame, score_cols: list[str]) -> DataFrame:
-    """Raw class scores to a probability vector column ``probs``."""
-    return scores.withColumn("_scores", F.array(*score_cols)).withColumn("probs", softmax(F.col("_scores"))).drop("_scores")
+    """Raw class scores in scalar columns to a probability vector column ``probs``.
+
+    Scalar arithmetic keeps the softmax in generated code; the array is only built at the end.
+    """
+    top = F.greatest(*score_cols)
+    powers = {f"_e{i}": F.exp(F.col(c) - top) for i, c in enumerate(score_cols)}
+    total = sum((F.col(e) for e in list(powers)[1:]), F.col("_e0"))
+    shifted = scores.withColumns(powers).withColumn("_z", total)
+    return shifted.withColumn("probs", F.array(*[F.col(e) / F.col("_z") for e in powers])).drop("_z", *powers)
 
 
 def best_class(df: DataFrame, vector_col: str = "probs") -> DataFrame:

@@ -74,7 +74,7 @@ def sc_primary(spark, sf):
 
 @query(
     "sc_ordered_list",
-    f"""SELECT doc_id, count(*) AS n_models, string_agg(concat(model, '=', label_name, '@', coalesce(CAST(CAST(confidence * 100 + 0.5 AS INT) AS STRING), '-')), ';'
+    f"""SELECT doc_id, count(*) AS n_models, string_agg(concat(model, '=', label_name, '@', coalesce(CAST(CAST(round(confidence * 100) AS INT) AS STRING), '-')), ';'
       ORDER BY CASE m WHEN 4 THEN 0 WHEN 3 THEN 2 ELSE m + 3 END) AS listed
     FROM predictions JOIN {NAMES} ON y_pred = n.label GROUP BY doc_id""",
     ("predictions",),
