@@ -10,7 +10,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.operators.images import hog_features, pixel_features
@@ -42,10 +42,10 @@ def hog_vectors(images: DataFrame, size: int = HOG_SIZE) -> DataFrame:
 def class_weights(df: DataFrame, label_col: str = "label") -> DataFrame:
     """Balanced weights ``n / (classes * n_class)``; one row per class."""
     counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.agg(F.sum("n").alias("_all"), F.count(F.lit(1)).alias("_classes"))
-    # A one-row total beside one row per class; both come from the class list, not from the data.
-    return counts.join(F.broadcast(totals), F.lit(True)).select(
-        label_col, "n", (F.col("_all") / (F.col("_classes") * F.col("n"))).alias("weight")
+    # One row per class is all that meets in this window.
+    everything = Window.partitionBy(F.lit(0))
+    return counts.select(
+        label_col, "n", (F.sum("n").over(everything) / (F.count(F.lit(1)).over(everything) * F.col("n"))).alias("weight")
     )
 
 
