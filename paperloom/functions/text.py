@@ -19,6 +19,10 @@ LINE_FLAGS = "(?iUdm)"
 
 # Whitespace, the date forms in priority order, the labels and the value
 # shapes of each field.  These decide which strings are returned.
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+    "\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 BLANKS = r"\s\x1c-\x1f"
 S = f"[{BLANKS}]"
 SEP = f"[:{BLANKS}]+"
@@ -76,7 +80,7 @@ ANCHOR_CHARS = 4
 
 def strip(col: Column) -> Column:
     """Remove leading and trailing whitespace of every kind, not only blanks."""
-    return F.regexp_replace(col, rf"(?U)^{S}+|{S}+$", "")
+    return F.trim(col, F.lit(WHITESPACE))
 
 
 def is_blank(col: Column) -> Column:
@@ -100,9 +104,19 @@ def choose_text(pdf_text: Column, ocr_text: Column) -> Column:
     return F.when(F.length(strip(pdf_text)) > MIN_PDF_CHARS, pdf_text).otherwise(ocr_text)
 
 
+def match(col: Column, pattern: str, group: int = 1) -> Column:
+    """First match of a pattern whose group cannot be empty; an empty string when there is none."""
+    return F.regexp_extract(col, pattern, group)
+
+
+def found(*matches: Column) -> Column:
+    """First of several matches that is not empty; null when all are."""
+    return F.coalesce(*[F.when(m != "", m) for m in matches])
+
+
 def first_match(col: Column, pattern: str, group: int = 1) -> Column:
     """First match of a pattern whose group cannot be empty; null when there is none."""
-    return F.nullif(F.regexp_extract(col, pattern, group), F.lit(""))
+    return F.nullif(match(col, pattern, group), F.lit(""))
 
 
 def find_dates(col: Column) -> Column:

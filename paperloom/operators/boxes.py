@@ -1,104 +1,151 @@
 """Locating field values among OCR word boxes.
 
 Words are spread by ``(doc_id, block of p)``, so a page dump with a huge number of words is
-shared by many tasks.  Numbering, anchor search and span union all use that same spread.
+shared by many tasks.  A block also receives the few words that follow it, so that a box which
+starts in one block is finished there; words are shuffled once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as tx
-from paperloom.operators.extraction import fields_long
 from paperloom.operators.ranking import position_in_group
-from paperloom.schemas import BOX_TYPE
+from paperloom.schemas import BOX_TYPE, FIELD_ORDER
 
 WORD_BLOCK = 4096
 SPAN_EXTRA = 2
 
 
-def word_boxes(ocr: DataFrame, block: int = WORD_BLOCK) -> DataFrame:
-    """Usable words with their number in the page: confidence above zero, stripped, not blank.
-
-    Numbering comes after filtering, as span lengths count usable words only.  ``block`` says which
-    run of the page a word came from; the frame is partitioned by ``(doc_id, block)``.
-    """
-    usable = (
+def usable_words(ocr: DataFrame) -> DataFrame:
+    """Words with confidence above zero, stripped, not blank."""
+    return (
         ocr.where(F.col("conf") > 0)
         .withColumn("text", tx.strip(F.col("text")))
         .where(F.col("text") != "")
+        .select("doc_id", "p", "text", "x", "y", "w", "h")
     )
-    return position_in_group(
-        usable, ["doc_id"], "p", out="word_idx", block=block, keep_block="block"
-    ).select("doc_id", "block", F.col("word_idx").cast("bigint").alias("word_idx"), "text", "x", "y", "w", "h")
 
 
-def block_ranges(words: DataFrame) -> DataFrame:
-    """First and last word number of each block; needs no shuffle beyond that of ``words``."""
-    return words.groupBy("doc_id", "block").agg(
-        F.min("word_idx").alias("_first"), F.max("word_idx").alias("_last")
-    )
+def word_boxes(ocr: DataFrame, block: int = WORD_BLOCK) -> DataFrame:
+    """Usable words with their number in the page; numbering comes after filtering."""
+    placed = position_in_group(usable_words(ocr), ["doc_id"], "p", out="word_idx", block=block)
+    return placed.select("doc_id", F.col("word_idx").cast("bigint").alias("word_idx"), "text", "x", "y", "w", "h")
 
 
-def field_values(fields: DataFrame) -> DataFrame:
-    """Non-empty field values with the prefix that anchors them and their word count."""
-    return (
-        fields_long(fields)
-        .where(~tx.is_blank(F.col("value")))
-        .select(
-            "doc_id",
-            "field_ord",
-            "field",
-            tx.anchor_prefix(F.col("value")).alias("prefix"),
-            tx.word_count(F.col("value")).alias("n_words"),
+def field_probes(fields: DataFrame) -> DataFrame:
+    """Per document an array of its non-empty values: field number, anchoring prefix, word count.
+
+    ``_reach`` is how many words after its anchor the longest value may cover.
+    """
+    values = [
+        F.when(
+            ~tx.is_blank(F.col(name)),
+            F.struct(
+                F.lit(i).alias("field_ord"),
+                tx.anchor_prefix(F.col(name)).alias("prefix"),
+                tx.word_count(F.col(name)).alias("n_words"),
+            ),
         )
-    )
+        for i, name in enumerate(FIELD_ORDER)
+    ]
+    probes = fields.select("doc_id", F.array_compact(F.array(*values)).alias("probes")).where(F.size("probes") > 0)
+    return probes.withColumn("_reach", F.array_max(F.transform("probes", lambda v: v.n_words)) + (SPAN_EXTRA - 1))
 
 
-def anchors(fields: DataFrame, words: DataFrame) -> DataFrame:
-    """Number of the first word that starts with each value's prefix.
+def look_ahead(words: DataFrame, probes: DataFrame, block: int) -> DataFrame:
+    """For each block, the next ``_reach`` usable words after it, marked with that block.
 
-    The few values of a document are repeated once per block of its words and joined on
-    ``(doc_id, block)``; the smallest number is combined on the map side.
+    Only words beyond the first block are read, and that filter reaches the scan; documents of one
+    block cost nothing here.
     """
-    probes = field_values(fields).join(block_ranges(words).select("doc_id", "block"), "doc_id")
-    hits = probes.join(
-        words.select("doc_id", "block", "word_idx", F.lower("text").alias("_lower")), ["doc_id", "block"]
-    ).where(F.startswith(F.col("_lower"), F.col("prefix")))
-    return hits.groupBy("doc_id", "field_ord", "field", "n_words").agg(F.min("word_idx").alias("word_idx"))
+    later = words.where(F.col("p") >= block)
+    in_block = Window.partitionBy("doc_id", "block").orderBy("p")
+    ranked = later.withColumn("_rank", F.row_number().over(in_block) - 1)
+    through = Window.partitionBy("doc_id").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = later.groupBy("doc_id", "block").agg(F.count(F.lit(1)).alias("_size"))
+    ends = sizes.withColumn("_end", F.sum("_size").over(through))
+    # From each block back to those whose next words begin in it or lie just before it; the block
+    # before the first one counts as ending at zero.
+    sources = ends.select("doc_id", F.col("block").alias("_source"), (F.col("_end") - F.col("_size")).alias("_start"))
+    targets = (
+        ends.select("doc_id", "block", "_end")
+        .unionByName(sources.select("doc_id", F.lit(0).cast("bigint").alias("block"), F.lit(0).cast("bigint").alias("_end")).distinct())
+        .join(probes.select("doc_id", "_reach"), "doc_id")
+    )
+    near = (
+        targets.join(sources, "doc_id")
+        .where((F.col("_source") > F.col("block")) & (F.col("_start") - F.col("_end") < F.col("_reach")))
+        .select("doc_id", F.col("block").alias("_target"), "_source", (F.col("_end") + F.col("_reach") - F.col("_start")).alias("_take"))
+    )
+    moved = ranked.join(near, (ranked["doc_id"] == near["doc_id"]) & (ranked["block"] == near["_source"]))
+    return moved.where(F.col("_rank") < F.col("_take")).select(
+        ranked["doc_id"], "p", "text", "x", "y", "w", "h", F.col("_target").alias("block")
+    )
+
 
+def locate_fields(fields: DataFrame, ocr: DataFrame, block: int = WORD_BLOCK) -> DataFrame:
+    """Anchor and box of every field value that occurs on its page, one row per located field.
 
-def span_boxes(anchor: DataFrame, words: DataFrame) -> DataFrame:
-    """Union box over the anchor and the words after it: value length plus two, cut at the page end.
+    The anchor is the first word that starts with the value's prefix; the box is the union over the
+    anchor and the words after it, value length plus two in all, cut at the page end.
 
-    Each anchor is sent to the block or two it covers; the words stay where numbering put them.
+    A block is gathered into one array, which its width bounds.  ``fields`` is read more than once,
+    so it should be a stored table rather than a running extraction.
     """
-    last = F.col("word_idx") + F.col("n_words") + (SPAN_EXTRA - 1)
-    reach = anchor.select("doc_id", "field_ord", "field", F.col("word_idx").alias("_from"), last.alias("_to"))
-    covered = reach.join(block_ranges(words), "doc_id").where(
-        (F.col("_first") <= F.col("_to")) & (F.col("_last") >= F.col("_from"))
-    ).select("doc_id", "block", "field_ord", "field", "_from", "_to")
-    return (
-        covered.join(words, ["doc_id", "block"])
-        .where(F.col("word_idx").between(F.col("_from"), F.col("_to")))
-        .groupBy("doc_id", "field_ord", "field")
-        .agg(
-            F.min("x").alias("x"),
-            F.min("y").alias("y"),
-            F.max(F.col("x") + F.col("w")).alias("_x2"),
-            F.max(F.col("y") + F.col("h")).alias("_y2"),
-        )
-        .select(
-            "doc_id",
-            "field_ord",
-            "field",
-            "x",
-            "y",
-            (F.col("_x2") - F.col("x")).alias("w"),
-            (F.col("_y2") - F.col("y")).alias("h"),
+    probes = field_probes(fields)
+    words = usable_words(ocr).withColumn("block", F.floor(F.col("p") / block).cast("bigint"))
+    own = words.withColumn("lower", F.lower("text"))
+    ahead = look_ahead(words, probes, block).withColumn("lower", F.lit(None).cast("string"))
+    spread = probes.join(words.select("doc_id", "block").distinct(), "doc_id").drop("_reach")
+
+    word = F.struct("p", "lower", "x", "y", (F.col("x") + F.col("w")).alias("right"), (F.col("y") + F.col("h")).alias("low"))
+    gathered = own.unionByName(ahead).groupBy("doc_id", "block").agg(
+        F.array_sort(F.collect_list(word)).alias("words"), F.count("lower").alias("_size")
+    )
+    before = Window.partitionBy("doc_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+
+    def start(v: Column) -> Column:
+        """Place of the first word of this block that starts with the prefix; zero when there is none."""
+        return F.array_position(F.transform("words", lambda t: F.startswith(t.lower, v.prefix)), True)
+
+    def reach(v: Column) -> Column:
+        return F.slice("words", v.at.cast("int"), v.n_words + SPAN_EXTRA)
+
+    def box(v: Column) -> Column:
+        left, top = F.array_min(F.transform(v.span, lambda t: t.x)), F.array_min(F.transform(v.span, lambda t: t.y))
+        right, low = F.array_max(F.transform(v.span, lambda t: t.right)), F.array_max(F.transform(v.span, lambda t: t.low))
+        return F.struct(
+            v.field_ord.alias("field_ord"), v.at.alias("at"), v.n_words.alias("n_words"),
+            left.alias("x"), top.alias("y"), (right - left).alias("w"), (low - top).alias("h"),
         )
+
+    hits = F.filter(F.transform("probes", lambda v: v.withField("at", start(v))), lambda v: v.at > 0)
+    spans = F.transform("_hits", lambda v: v.withField("span", reach(v)))
+    boxed = (
+        gathered.join(spread, ["doc_id", "block"])
+        .withColumn("_hits", hits)
+        .withColumn("_boxes", F.transform(spans, box))
+        .select("doc_id", "block", "_size", "_boxes")
+        .withColumn("_offset", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+        .select("doc_id", "_offset", F.inline("_boxes"))
     )
+    first = F.min(F.struct((F.col("_offset") + F.col("at") - 1).alias("word_idx"), "n_words", "x", "y", "w", "h")).alias("_first")
+    names = F.array(*[F.lit(n) for n in FIELD_ORDER])
+    return boxed.groupBy("doc_id", "field_ord").agg(first).select(
+        "doc_id", "field_ord", F.get(names, F.col("field_ord")).alias("field"), "_first.*"
+    )
+
+
+def anchors(located: DataFrame) -> DataFrame:
+    """Number of the word at which each located value starts."""
+    return located.select("doc_id", "field_ord", "field", "n_words", "word_idx")
+
+
+def span_boxes(located: DataFrame) -> DataFrame:
+    """Box of each located value."""
+    return located.select("doc_id", "field_ord", "field", "x", "y", "w", "h")
 
 
 def box_lists(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -113,8 +160,3 @@ def box_lists(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return docs.join(listed, "doc_id", "left").select(
         *docs.columns, F.coalesce(boxes, F.array().cast(f"array<{BOX_TYPE}>")).alias("boxes")
     )
-
-
-def field_boxes(fields: DataFrame, words: DataFrame) -> DataFrame:
-    """Boxes of every field of every document, one row per located field."""
-    return span_boxes(anchors(fields, words), words)

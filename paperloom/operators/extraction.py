@@ -52,28 +52,52 @@ def extract_fields(
     """Add the six fields.
 
     With ``entities`` (the recogniser ran) names come from entity roles, null where it found none;
-    without, from labelled lines.  The date list and the labelled windows are built once in their own
-    projection, as the date fields read each of them more than once.
+    without, from labelled lines.
+
+    Patterns are the cost of this job.  They run in stages of their own, each at most once per
+    document: a later form of a field is tried only where the earlier ones found nothing.
     """
     text = F.col(text_col)
-    found = docs.withColumns(
-        {
-            "_dates": tx.find_dates(text),
-            "_dated": tx.invoice_date_window(text),
-            "_due": tx.due_date_window(text),
-        }
-    )
-    out = found.withColumns(
-        {
-            "invoice_number": tx.invoice_number(text, strict),
-            "invoice_date": tx.invoice_date(F.col("_dated"), F.col("_dates")),
-            "due_date": tx.due_date(F.col("_due"), F.col("_dates")),
-            "total_amount": tx.total_amount(text),
-        }
-    )
+    numbers = tx.STRICT_NUMBER_FORMS if strict else tx.NUMBER_FORMS
+
+    def unless(earlier: list[str], pattern: str):
+        missed = F.lit(True)
+        for name in earlier:
+            missed = missed & (F.col(name) == "")
+        return F.when(missed, tx.match(text, pattern)).otherwise("")
+
+    first = {
+        "_dates": tx.find_dates(text),
+        "_dated": tx.match(text, tx.INVOICE_DATE_WINDOW),
+        "_due": tx.match(text, tx.DUE_DATE_WINDOW),
+        "_n0": tx.match(text, numbers[0]),
+        "_t0": tx.match(text, tx.TOTAL_FORMS[0]),
+    }
+    if entities is None:
+        first |= {"_from": tx.match(text, tx.ISSUER_LINE), "_to": tx.match(text, tx.RECIPIENT_LINE)}
+    second = {
+        "_dated_date": tx.match(F.col("_dated"), tx.DATE, 0),
+        "_due_date": tx.match(F.col("_due"), tx.DATE, 0),
+        "_n1": unless(["_n0"], numbers[1]),
+        "_t1": unless(["_t0"], tx.TOTAL_FORMS[1]),
+    }
+    third = {"_n2": unless(["_n0", "_n1"], numbers[2])}
+    out = docs.withColumns(first).withColumns(second).withColumns(third)
+
+    due_text = F.left(tx.strip(F.col("_due")), F.lit(tx.DUE_CHARS))
+    fields = {
+        "invoice_number": tx.found(F.col("_n0"), F.col("_n1"), F.col("_n2")),
+        "invoice_date": F.coalesce(tx.found(F.col("_dated_date")), F.get("_dates", F.lit(0))),
+        "due_date": F.when(F.col("_due") == "", F.get("_dates", F.lit(1)))
+        .when(F.col("_due_date") != "", F.col("_due_date"))
+        .otherwise(due_text),
+        "total_amount": tx.strip(tx.found(F.col("_t0"), F.col("_t1"))),
+    }
     if entities is None:
-        out = out.withColumns({"issuer_name": tx.issuer_line(text), "recipient_name": tx.recipient_line(text)})
-    else:
+        for name, raw in (("issuer_name", "_from"), ("recipient_name", "_to")):
+            fields[name] = F.when(F.col(raw) != "", F.left(tx.strip(F.col(raw)), F.lit(tx.NAME_CHARS)))
+    out = out.withColumns(fields)
+    if entities is not None:
         out = out.join(entity_roles(entities), "doc_id", "left")
     return out.select(*docs.columns, *FIELD_ORDER)
 

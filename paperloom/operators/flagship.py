@@ -10,6 +10,7 @@ from paperloom.operators import boxes as bx
 from paperloom.operators.extraction import extract_fields, gate
 from paperloom.operators.scoring import primary
 from paperloom.schemas import BOX_TYPE, FIELD_ORDER
+from paperloom.sources.sinks import materialise
 
 
 def classify_and_extract(
@@ -21,14 +22,14 @@ def classify_and_extract(
 ) -> DataFrame:
     """``docs(doc_id, ocr_text, pdf_text)`` with long predictions and OCR words to final records.
 
-    The gate sits before extraction, so patterns run on invoices only and words of other documents
-    leave at the first join.  Documents that are not invoices keep null fields and no boxes.
+    The gate sits before extraction, so patterns run on invoices only, and words of other documents
+    leave at the first join with the fields.  The fields are stored once extracted: they are this
+    job's product, small beside the texts, and read again to find the boxes.  Documents that are not invoices keep null fields and no boxes.
     """
     labelled = docs.join(primary(preds), "doc_id", "left").withColumn("label", F.coalesce("label", F.lit("-")))
     texts = gate(labelled, force).select("doc_id", choose_text(F.col("pdf_text"), F.col("ocr_text")).alias("text"))
-    fields = extract_fields(texts, entities).drop("text")
-    words = bx.word_boxes(ocr.join(texts.select("doc_id"), "doc_id", "left_semi"))
-    located = bx.box_lists(fields, bx.field_boxes(fields, words))
+    fields = materialise(extract_fields(texts, entities).drop("text"))
+    located = bx.box_lists(fields, bx.span_boxes(bx.locate_fields(fields, ocr)))
     return labelled.select("doc_id", "label", "confidence").join(located, "doc_id", "left").select(
         "doc_id", "label", "confidence", *FIELD_ORDER, F.coalesce("boxes", F.array().cast(f"array<{BOX_TYPE}>")).alias("boxes")
     )

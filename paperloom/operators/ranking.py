@@ -43,7 +43,6 @@ def position_in_group(
     limit: DataFrame | Column | None = None,
     small_limit: bool = False,
     block: int = BLOCK,
-    keep_block: str | None = None,
 ) -> DataFrame:
     """Add the zero-based position of each row in its group.
 
@@ -53,7 +52,6 @@ def position_in_group(
     are small; at most that many blocks survive, so the block list is broadcast and the rows of
     other blocks never leave their task.
     Blocks that start beyond the limit are dropped before any row is shuffled for numbering.
-    ``keep_block`` names an output column with the block, by which the result is partitioned.
     """
     coarse = coarse_cols or []
     blocked = with_block(df, order_col, block)
@@ -73,8 +71,7 @@ def position_in_group(
     )
     if limit is not None:
         placed = placed.where(F.col(out) < F.col("_limit")).drop("_limit")
-    placed = placed.drop(OFFSET_COL)
-    return placed.withColumnRenamed(BLOCK_COL, keep_block) if keep_block else placed.drop(BLOCK_COL)
+    return placed.drop(BLOCK_COL, OFFSET_COL)
 
 
 def first_k(df: DataFrame, group_col: str, order_col: str, k: int, salts: int = 64) -> DataFrame:

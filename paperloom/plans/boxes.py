@@ -11,6 +11,7 @@ from paperloom.plans.fixtures import load
 from paperloom.plans.registry import query
 from paperloom.plans.text import CHOSEN, FIELD_ROWS, ext_fields, sql_fields
 from paperloom.schemas import FIELD_ORDER
+from paperloom.sources.sinks import materialise
 
 WORDS_SQL = r"""words AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1 AS word_idx, text, x, y, w, h
   FROM (SELECT * REPLACE (regexp_replace(text, '^\s+|\s+$', '', 'g') AS text) FROM ocr_words WHERE conf > 0) s WHERE text <> '')"""
@@ -41,8 +42,8 @@ BOXES = f"{FIELD_ROWS}, {boxes_sql('f')}"
 BOX_TEXT = "string_agg(concat(field, ':', x, ',', y, ',', w, ',', h), ';' ORDER BY field_ord)"
 
 
-def _words(spark, sf):
-    return bx.word_boxes(load(spark, sf, "ocr_words"))
+def _located(spark, sf):
+    return bx.locate_fields(materialise(ext_fields(spark, sf)), load(spark, sf, "ocr_words"))
 
 
 def _box_text(column: str = "boxes"):
@@ -54,17 +55,17 @@ def _box_text(column: str = "boxes"):
 
 @query("box_words", "SELECT * FROM words", ("ocr_words",), WORDS_SQL)
 def box_words(spark, sf):
-    return _words(spark, sf).drop("block")
+    return bx.word_boxes(load(spark, sf, "ocr_words"))
 
 
 @query("box_anchor", "SELECT * FROM anchor", BOX_VIEWS, BOXES)
 def box_anchor(spark, sf):
-    return bx.anchors(ext_fields(spark, sf), _words(spark, sf))
+    return bx.anchors(_located(spark, sf))
 
 
 @query("box_span", "SELECT * FROM span", BOX_VIEWS, BOXES)
 def box_span(spark, sf):
-    return bx.field_boxes(ext_fields(spark, sf), _words(spark, sf))
+    return bx.span_boxes(_located(spark, sf))
 
 
 @query(
@@ -75,8 +76,8 @@ def box_span(spark, sf):
     BOXES,
 )
 def box_list(spark, sf):
-    fields = ext_fields(spark, sf)
-    lists = bx.box_lists(fields, bx.field_boxes(fields, _words(spark, sf)))
+    docs = load(spark, sf, "doc_texts").select("doc_id")
+    lists = bx.box_lists(docs, bx.span_boxes(_located(spark, sf)))
     return lists.select("doc_id", F.size("boxes").alias("n_boxes"), _box_text().alias("boxes"))
 
 

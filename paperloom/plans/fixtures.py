@@ -177,13 +177,27 @@ VIEWS = {name: (deps, text, text) for name, (deps, text) in _BOTH.items()} | _EI
 _SCHEMAS: dict = {}
 
 
+# Tables whose rows become documents or images.
+ROW_SOURCES = ("orders", "documents", "embeddings")
+
+
+def _spread(table: DataFrame) -> DataFrame:
+    """Give every core a share of a table that is one small file, whose scan would be one task.
+
+    A table of many splits, as any large one is, is left as its scan divides it.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < min(cores, 8) else table
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table or an input view as a DataFrame."""
     if name in TABLES:
         path = f"{sf_dir}/{name}.parquet"
         if path not in _SCHEMAS:
             _SCHEMAS[path] = spark.read.parquet(path).schema
-        return spark.read.schema(_SCHEMAS[path]).parquet(path)
+        table = spark.read.schema(_SCHEMAS[path]).parquet(path)
+        return _spread(table) if name in ROW_SOURCES else table
     deps, text, _ = VIEWS[name]
     for dep in deps:
         load(spark, sf_dir, dep).createOrReplaceTempView(dep)

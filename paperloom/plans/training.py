@@ -14,6 +14,7 @@ from paperloom.operators.scoring import named_predictions
 from paperloom.plans.fixtures import load
 from paperloom.plans.registry import query
 from paperloom.session import shared_folder
+from paperloom.sources.sinks import materialise
 from paperloom.training import history as hi
 from paperloom.training import members as mb
 from paperloom.training import prepare as pr
@@ -45,7 +46,7 @@ def scores(spark, sf):
 
     def make():
         models = {m: member(spark, sf, m) for m in st.MEMBER_ORDER}
-        return pr.materialise(st.member_scores(models, features(spark, sf)))
+        return materialise(st.member_scores(models, features(spark, sf)))
 
     return _kept(spark, sf, "scores", make)
 

@@ -12,9 +12,15 @@ def write_split(df: DataFrame, root: str) -> None:
     df.write.mode("overwrite").partitionBy("split").parquet(root)
 
 
-def write_and_read(df: DataFrame, fmt: str = "parquet", partition_by: tuple[str, ...] = ()) -> DataFrame:
+def write_and_read(df: DataFrame, fmt: str = "parquet") -> DataFrame:
     """Write to a fresh folder and read back with the known schema; the old data is never overwritten."""
     spark = df.sparkSession
     folder = shared_folder(spark)
-    df.write.format(fmt).partitionBy(*partition_by).save(folder)
+    df.write.format(fmt).save(folder)
     return spark.read.format(fmt).schema(df.schema).load(folder)
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Store a costly intermediate table in the shared folder and go on from there: it is computed
+    once, and a lost executor costs a re-read rather than a recomputation."""
+    return write_and_read(df)

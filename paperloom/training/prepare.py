@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.operators.images import hog_features, pixel_features
-from paperloom.session import shared_folder
 from paperloom.training.dense_map import DenseMap
 
 HOG_SIZE = 128
@@ -23,14 +22,6 @@ SVD_COMPONENTS = 200
 SEED = 42
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back: features are computed once, and a lost executor
-    costs a re-read rather than a recomputation."""
-    folder = shared_folder(df.sparkSession)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
 def pixel_vectors(images: DataFrame, size: int = PIXEL_SIZE) -> DataFrame:
     return pixel_features(images, size).withColumn("features", array_to_vector("features"))
 

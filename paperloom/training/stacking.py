@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from paperloom.operators.scoring import meta_features
 from paperloom.schemas import MEMBER_ORDER
+from paperloom.sources.sinks import materialise
 from paperloom.training import members as mb
-from paperloom.training.prepare import HOG_SIZE, PIXEL_SIZE, SVD_COMPONENTS, fit_scaler, hog_vectors, materialise, pixel_vectors
+from paperloom.training.prepare import HOG_SIZE, PIXEL_SIZE, SVD_COMPONENTS, fit_scaler, hog_vectors, pixel_vectors
 
 DISPLAY_NAME = {"svd_svm": "SVD+SVM", "hog_svm": "HOG+SVM", "hog_rf": "HOG+RF", "cnn": "CNN"}
 MARGIN_MEMBERS = ("svd_svm", "hog_svm")
