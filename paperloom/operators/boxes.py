@@ -66,18 +66,25 @@ def look_ahead(words: DataFrame, probes: DataFrame, block: int) -> DataFrame:
     through = Window.partitionBy("doc_id").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
     sizes = later.groupBy("doc_id", "block").agg(F.count(F.lit(1)).alias("_size"))
     ends = sizes.withColumn("_end", F.sum("_size").over(through))
-    # From each block back to those whose next words begin in it or lie just before it; the block
-    # before the first one counts as ending at zero.
-    sources = ends.select("doc_id", F.col("block").alias("_source"), (F.col("_end") - F.col("_size")).alias("_start"))
+    first = ends.select("doc_id").distinct().select("doc_id", F.lit(0).cast("bigint").alias("block"), F.lit(0).cast("bigint").alias("_end"))
+    # A block ends at word `_end` and wants the words up to `_end + _reach`.  Blocks meet on the
+    # stretch of `_reach` words in which one ends and the other starts, never all with all: every
+    # block here has a word of its own, so a stretch holds at most `_reach` ends.
+    stretch = F.col("_reach").cast("bigint")
+    reach = probes.select("doc_id", "_reach")
     targets = (
-        ends.select("doc_id", "block", "_end")
-        .unionByName(sources.select("doc_id", F.lit(0).cast("bigint").alias("block"), F.lit(0).cast("bigint").alias("_end")).distinct())
-        .join(probes.select("doc_id", "_reach"), "doc_id")
+        ends.select("doc_id", "block", "_end").unionByName(first).join(reach, "doc_id")
+        .select("doc_id", F.col("block").alias("_target"), "_end", "_reach", F.floor(F.col("_end") / stretch).alias("_stretch"))
+    )
+    start = F.col("_end") - F.col("_size")
+    here = F.floor(start / stretch)
+    sources = ends.join(reach, "doc_id").select(
+        "doc_id", F.col("block").alias("_source"), start.alias("_start"), F.explode(F.array(here, here - 1)).alias("_stretch")
     )
     near = (
-        targets.join(sources, "doc_id")
-        .where((F.col("_source") > F.col("block")) & (F.col("_start") - F.col("_end") < F.col("_reach")))
-        .select("doc_id", F.col("block").alias("_target"), "_source", (F.col("_end") + F.col("_reach") - F.col("_start")).alias("_take"))
+        targets.join(sources, ["doc_id", "_stretch"])
+        .where((F.col("_source") > F.col("_target")) & (F.col("_start") - F.col("_end") < F.col("_reach")))
+        .select("doc_id", "_target", "_source", (F.col("_end") + F.col("_reach") - F.col("_start")).alias("_take"))
     )
     moved = ranked.join(near, (ranked["doc_id"] == near["doc_id"]) & (ranked["block"] == near["_source"]))
     return moved.where(F.col("_rank") < F.col("_take")).select(

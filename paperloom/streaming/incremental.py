@@ -34,7 +34,8 @@ def incremental_text(stream: DataFrame, table: str, checkpoint: str, key: str =
     schema = T.StructType(fields)
     spark = stream.sparkSession
     # Writing no rows makes the folder, so that the first batch can read it.
-    spark.createDataFrame([], schema).write.mode("append").partitionBy("batch").parquet(table)
+    no_rows = spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
+    no_rows.write.mode("append").partitionBy("batch").parquet(table)
 
     def add(batch: DataFrame, batch_id: int) -> None:
         known = batch.sparkSession.read.schema(schema).parquet(table).where(F.col("batch") != batch_id)
