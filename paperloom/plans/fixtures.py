@@ -177,8 +177,8 @@ VIEWS = {name: (deps, text, text) for name, (deps, text) in _BOTH.items()} | _EI
 _SCHEMAS: dict = {}
 
 
-# Tables whose rows become documents or images.
-ROW_SOURCES = ("orders", "documents", "embeddings")
+# Tables whose rows become documents.
+ROW_SOURCES = ("orders", "documents")
 
 
 def _spread(table: DataFrame) -> DataFrame:

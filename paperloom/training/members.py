@@ -39,7 +39,9 @@ def _balanced_svm(df: DataFrame, features_col: str, c: float, max_iter: int):
     svm = LinearSVC(
         featuresCol=features_col, weightCol="weight", regParam=1.0 / (c * n), maxIter=max_iter, standardization=False
     )
-    return OneVsRest(classifier=svm, featuresCol=features_col, weightCol="weight").fit(with_class_weight(df))
+    # The machines of all classes are fitted at the same time, sharing one stored input.
+    rest = OneVsRest(classifier=svm, featuresCol=features_col, weightCol="weight", parallelism=len(LABEL_NAMES))
+    return rest.fit(with_class_weight(df))
 
 
 def fourier_map(width: int, gamma: float, outputs: int, input_col: str, output_col: str) -> DenseMap:
