@@ -24,6 +24,7 @@ def local_session(cores: int | str | None = None) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "1024")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
