@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.sources.sinks import materialise
+
 BLOCK = 4096
 BLOCK_COL = "_block"
 OFFSET_COL = "_offset"
@@ -86,3 +88,25 @@ def first_k(df: DataFrame, group_col: str, order_col: str, k: int, salts: int =
     part = salted.withColumn("_r", F.row_number().over(in_part)).where(F.col("_r") <= k)
     keys = part.withColumn("pos", F.row_number().over(in_group)).where(F.col("pos") <= k)
     return df.join(keys.select(group_col, order_col, "pos"), [group_col, order_col])
+
+
+def number_in_group(df: DataFrame, group_cols: list[str], order_cols: list[str], out: str = "pos") -> DataFrame:
+    """Add the zero-based position of each row in its group, whatever the values of the order columns.
+
+    Rows are dealt into ranges of (group, order), so that a large group takes many partitions; rows are counted per
+    range and group, the counts become running offsets (ranges x groups rows), and rows are numbered within their
+    range.  The dealt rows are stored, since both steps must see the same ranges.
+    """
+    dealt = materialise(
+        df.repartitionByRange(*group_cols, *order_cols).withColumn(BLOCK_COL, F.spark_partition_id())
+    )
+    keys = [*group_cols, BLOCK_COL]
+    before = Window.partitionBy(*group_cols).orderBy(BLOCK_COL).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    offsets = offsets.select(
+        *(F.col(k).alias(f"_at_{k}") for k in keys), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias(OFFSET_COL)
+    )
+    same = [F.col(k).eqNullSafe(F.col(f"_at_{k}")) for k in keys]
+    in_range = Window.partitionBy(*keys).orderBy(*order_cols)
+    numbered = dealt.withColumn(out, F.row_number().over(in_range) - 1)
+    return numbered.join(offsets, same).select(*df.columns, (F.col(out) + F.col(OFFSET_COL)).alias(out))

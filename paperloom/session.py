@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import SparkSession
@@ -24,7 +24,6 @@ def local_session(cores: int | str | None = None) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
-        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "1024")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -32,13 +31,14 @@ def local_session(cores: int | str | None = None) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder.
+    """A fresh folder under the shared folder that the session names.
 
-    Only a local session may fall back to a temporary folder of this machine.
+    A session of a single local process that names none gets a folder of its own set.
     """
     root = spark.conf.get(CHECKPOINT_CONF, None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError(f"set {CHECKPOINT_CONF} to a folder that every executor can reach")
-        root = tempfile.mkdtemp(prefix="paperloom-")
+        root = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
+        spark.conf.set(CHECKPOINT_CONF, root)
     return f"{root.rstrip('/')}/paperloom-{uuid.uuid4().hex}"
