@@ -18,6 +18,7 @@ ROWS = 4  # minima in a band
 BANDS = 28  # a pair of similarity 0.8 shares a band with probability 1 - 4e-7
 BITS = 2  # low bits kept of each minimum
 MARGIN = 5.5  # standard deviations of the estimate below the threshold that are still confirmed on whole sets
+HUBS, HUB_TURNS = 8, 2
 PART = 1 << 17  # shingles hashed at a time
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -198,7 +199,7 @@ def near_duplicates(
     Documents of equal sets form a class and go on as its smallest id.  Classes that share a band form buckets.
     (1) each class is tested against the smallest classes of its buckets, (2) pairs of these that are still in
     different components are tested, (3) in buckets that still hold several components, the classes outside the
-    bucket's largest one are tested against all others; so no proposed pair between different components goes
+    largest one are tested against a few classes of it, twice, and (4) those that are still outside against all others; so no proposed pair between different components goes
     untested, and no bucket is expanded into all its pairs.  A pair is tested if its estimate is not clearly too low,
     on whole sets of 64-bit shingle hashes.
 
@@ -248,10 +249,10 @@ def near_duplicates(
 
     links, labels = none, None
     first = stars.groupBy("a").agg(F.min("b").alias("b"))
-    for step in (first, stars.join(first, ["a", "b"], "left_anti"), None):
-        if step is None:
-            step = _across(members, labels, sketch, likely())
-        found = whole.linked(apart(step, labels))
+    steps = [lambda _: first, lambda _: stars.join(first, ["a", "b"], "left_anti")]
+    steps += [lambda rows, turn=turn: _to_hubs(rows, sketch, likely(), turn) for turn in range(HUB_TURNS)]
+    for number, step in enumerate([*steps, lambda rows: _across(rows, sketch, likely())]):
+        found = whole.linked(apart(step(_divided(members, labels) if number > 1 else None), labels))
         if not found.limit(1).count():
             continue
         links = links.unionByName(found)
@@ -272,30 +273,53 @@ def near_duplicates(
     )
 
 
-def _across(members: DataFrame, labels: DataFrame | None, sketch, likely: Column) -> DataFrame:
-    """Likely pairs between different components of one bucket, for buckets that hold several components.
-
-    The bucket's largest component is connected, so its classes only meet the bucket's other classes.
-    """
-    rows = members.select("key", "id")
+def _divided(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``key, id, comp, main`` of buckets that still hold several components; ``main`` is the largest, the smaller
+    id of equally large ones."""
     if labels is None:
-        rows = rows.withColumn("comp", F.col("id"))
+        rows = members.select("key", "id", F.col("id").alias("comp"))
     else:
-        rows = rows.join(labels, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+        rows = members.join(labels, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
     rows = materialise(rows)
-    sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    # the largest component of a bucket, the smaller id of equally large ones
     order = F.struct(F.col("n"), (-F.col("comp")).alias("c"))
-    several = sizes.groupBy("key").agg(F.max(order).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    several = materialise(several.select("key", (-F.col("top.c")).alias("main")))
-    held = materialise(rows.join(several, "key"))
-    left = sketch("a").join(held.where("comp != main").select(F.col("id").alias("a"), "key", F.col("comp").alias("ca")), "a")
-    right = sketch("b").join(held.select(F.col("id").alias("b"), "key", F.col("comp").alias("cb"), "main"), "b")
+    several = (
+        rows.groupBy("key", "comp")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("key")
+        .agg(F.max(order).alias("top"), F.count(F.lit(1)).alias("parts"))
+        .where("parts > 1")
+        .select("key", (-F.col("top.c")).alias("main"))
+    )
+    return materialise(rows.join(materialise(several), "key"))
+
+
+def _sides(left: DataFrame, right: DataFrame, sketch) -> DataFrame:
+    left = sketch("a").join(left.select(F.col("id").alias("a"), "key", F.col("comp").alias("ca")), "a")
+    right = sketch("b").join(right.select(F.col("id").alias("b"), "key", F.col("comp").alias("cb"), "main"), "b")
+    return left.join(right, "key")
+
+
+def _to_hubs(held: DataFrame, sketch, likely: Column, turn: int) -> DataFrame:
+    """Likely pairs of classes outside a bucket's main component with `HUBS` classes of it, others in each turn.
+
+    A class that resembles the main component nearly always meets one that it is linked with here, so that few are
+    left for `_across`.
+    """
+    part = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(HUBS))
+    hubs = held.where("comp = main").groupBy("key", "main", part.alias("part")).agg(F.min("id").alias("id"))
+    pairs = _sides(held.where("comp != main"), hubs.withColumn("comp", F.col("main")), sketch)
+    return materialise(pairs.where(likely).select("a", "b").distinct())
+
+
+def _across(held: DataFrame, sketch, likely: Column) -> DataFrame:
+    """All likely pairs between different components of one bucket.
+
+    The main component is connected, so its classes only meet the bucket's other classes.
+    """
     # two classes outside the main component meet once
     once = (F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))
-    return materialise(
-        left.join(right, "key").where((F.col("ca") != F.col("cb")) & once & likely).select("a", "b").distinct()
-    )
+    pairs = _sides(held.where("comp != main"), held, sketch)
+    return materialise(pairs.where((F.col("ca") != F.col("cb")) & once & likely).select("a", "b").distinct())
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
