@@ -107,17 +107,30 @@ class BytePairCodec(WordCodec):
     def __init__(self, definition: str) -> None:
         super().__init__()
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
-        self.cores = Recent()
+        # letters alone are one unit of the pattern and needn't be searched for units
+        self.unit = Tokenizer.from_str(definition)
+        self.unit.encode_special_tokens = True
+        self.unit.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.cores = Recent(500_000)
 
     def odd(self, word: str) -> bool:
         return not word or word[0].isspace() or word[-1].isspace()
 
+    def _table(self, words: list[str], lead: str) -> list[bytes]:
+        return self.encode([lead + w for w in words])  # the parts are held, not the words
+
     def _library(self, keys: list[str]) -> list[bytes]:
-        coded = self.tokenizer.encode_batch_fast(keys, add_special_tokens=False)
-        return [array("I", c.ids).tobytes() for c in coded]
+        out: dict[str, bytes] = {}
+        plain = [k for k in keys if k.removeprefix(" ").isalpha() and max(k) < "\u0250"]
+        known = set(plain)
+        for tokenizer, part in ((self.unit, plain), (self.tokenizer, [k for k in keys if k not in known])):
+            coded = tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            out |= {k: array("I", c.ids).tobytes() for k, c in zip(part, coded, strict=True)}
+        return [out[k] for k in keys]
 
     def encode(self, keys: list[str]) -> list[bytes]:
         """Words that end in marks share the ids of the word without them."""

@@ -252,7 +252,8 @@ def near_duplicates(
     steps = [lambda _: first, lambda _: stars.join(first, ["a", "b"], "left_anti")]
     steps += [lambda rows, turn=turn: _to_hubs(rows, sketch, likely(), turn) for turn in range(HUB_TURNS)]
     for number, step in enumerate([*steps, lambda rows: _across(rows, sketch, likely())]):
-        found = whole.linked(apart(step(_divided(members, labels) if number > 1 else None), labels))
+        held = _linkable(_divided(members, labels), classes, whole.sets, percent) if number > 1 else None
+        found = whole.linked(apart(step(held), labels))
         if not found.limit(1).count():
             continue
         links = links.unionByName(found)
@@ -293,6 +294,33 @@ def _divided(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return materialise(rows.join(materialise(several), "key"))
 
 
+def _linkable(held: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``held`` whose class can still be linked with another one of its bucket.
+
+    Two sets of sizes m and n that reach the similarity share at least ``percent / (100 + percent) * (m + n)``
+    shingles.  A class shares at most the shingles that are not its alone among all undecided classes, and its
+    bucket's smallest class bounds n from below, so a class that has too many shingles of its own goes.  This loses
+    no link; it keeps far-edited members of a large group from being tested against the whole group.
+    """
+    ids = materialise(held.select("id").distinct())
+    own = (
+        sets.join(ids, "id")
+        .select("id", F.explode("items").alias("item"))
+        .groupBy("item")
+        .agg(F.count(F.lit(1)).alias("holders"), F.min("id").alias("id"))
+        .where("holders = 1")
+        .groupBy("id")
+        .agg(F.count(F.lit(1)).alias("own"))
+    )
+    sized = materialise(
+        held.join(classes.select(F.col("rep").alias("id"), "n"), "id").join(materialise(own), "id", "left")
+    )
+    least = sized.groupBy("key").agg(F.min("n").alias("least"))
+    other = F.greatest(100 * F.col("least"), percent * F.col("n"))  # hundredfold
+    can = 100 * (100 + percent) * (F.col("n") - F.coalesce("own", F.lit(0))) >= percent * (100 * F.col("n") + other)
+    return materialise(sized.join(least, "key").where(can).select(*held.columns))
+
+
 def _sides(left: DataFrame, right: DataFrame, sketch) -> DataFrame:
     left = sketch("a").join(left.select(F.col("id").alias("a"), "key", F.col("comp").alias("ca")), "a")
     right = sketch("b").join(right.select(F.col("id").alias("b"), "key", F.col("comp").alias("cb"), "main"), "b")
