@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 
 from paperloom.llm.blocks import take_ranges
 
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 120_000
 
 
 class Recent(dict):
@@ -115,7 +115,7 @@ class BytePairCodec(WordCodec):
         self.unit = Tokenizer.from_str(definition)
         self.unit.encode_special_tokens = True
         self.unit.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.cores = Recent(500_000)
+        self.cores = Recent(400_000)
 
     def odd(self, word: str) -> bool:
         return not word or word[0].isspace() or word[-1].isspace()

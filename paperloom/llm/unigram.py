@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 from paperloom.llm.blocks import fresh_name, narrow, sum_rows, text_blocks, widened
 from paperloom.llm.codecs import MARK, Pieces, Recent, UnigramCodec, model_bytes, shared
 
+DECODED = 500_000
+
 
 def _broadcast_model(df: DataFrame, model: str):
     return df.sparkSession.sparkContext.broadcast(model_bytes(model))
@@ -61,24 +63,22 @@ def decode_pieces(coded: DataFrame, model: str, ids_col: str = "ids", out: str =
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = shared(Pieces, held.value).bytes_of
-        for batch in batches:
-            lists = batch.column(batch.schema.get_field_index(ids_col))
-            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
-            ids = pc.fill_null(lists.flatten(), -1).to_numpy()
-            ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-            known = (ids >= 0) & (ids < len(pieces))
-            kept = np.concatenate([[0], np.cumsum(known)])[ends]
-            texts, a = [], 0
-            while a < len(lists):  # rows of at most 4M pieces at a time, unless one row has more
-                b = max(a + 1, int(np.searchsorted(kept, kept[a] + (1 << 22), "right")) - 1)
-                span = slice(ends[a], ends[b])
-                parts = pieces.take(pa.array(ids[span][known[span]]))
-                row = pa.ListArray.from_arrays(pa.array(kept[a : b + 1] - kept[a], pa.int32()), parts)
-                texts += [v.decode("utf-8", "replace") for v in pc.binary_join(row, b"").to_pylist()]
-                a = b
-            texts = [t.replace(MARK, " ")[t[:1] in (MARK, " ") :] for t in texts]
-            column = pc.if_else(lists.is_valid(), pa.array(texts, pa.string()), None)
-            yield pa.record_batch([*(batch.column(c) for c in columns), column], [*columns, out])
+        for whole in batches:
+            sizes = pc.fill_null(pc.list_value_length(whole.column(whole.schema.get_field_index(ids_col))), 0).to_numpy()
+            bounds, a = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), 0
+            while a < whole.num_rows:  # rows of at most `DECODED` pieces at a time, unless one row has more
+                b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + DECODED, "right")) - 1)
+                batch, a = whole.slice(a, b - a), b
+                lists = batch.column(batch.schema.get_field_index(ids_col))
+                ids = pc.fill_null(lists.flatten(), -1).to_numpy()
+                ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())])
+                known = (ids >= 0) & (ids < len(pieces))
+                kept = np.concatenate([[0], np.cumsum(known)])[ends]
+                rows = pa.ListArray.from_arrays(pa.array(kept, pa.int32()), pieces.take(pa.array(ids[known])))
+                texts = [v.decode("utf-8", "replace") for v in pc.binary_join(rows, b"").to_pylist()]
+                texts = [t.replace(MARK, " ")[t[:1] in (MARK, " ") :] for t in texts]
+                column = pc.if_else(lists.is_valid(), pa.array(texts, pa.string()), None)
+                yield pa.record_batch([*(batch.column(c) for c in columns), column], [*columns, out])
 
     return coded.select(*columns).mapInArrow(decode, schema)
 
@@ -93,7 +93,7 @@ class PrefixCounter:
 
     def __init__(self, model: bytes) -> None:
         self.pieces = Pieces(model)
-        self.seen = Recent(400_000)
+        self.seen = Recent(200_000)
         self.reversed: dict = {}
         for name, (_, score) in self.pieces.normal.items():
             node = self.reversed
