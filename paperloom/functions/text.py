@@ -88,8 +88,8 @@ def is_blank(col: Column) -> Column:
     return ~F.coalesce(F.regexp_like(col, F.lit(rf"(?U)[^{BLANKS}]")), F.lit(False))
 
 
-def clean_text(col: Column, max_chars: int | None = CACHE_CHARS) -> Column:
-    """Collapse whitespace runs and strip; keep ``max_chars`` characters (``None`` keeps all)."""
+def clean_text(col: Column, max_chars: int | None = None) -> Column:
+    """Collapse whitespace runs and strip; ``max_chars`` cuts the result, by default the whole text stays."""
     cleaned = F.trim(F.regexp_replace(col, rf"(?U){S}+", " "))
     return cleaned if max_chars is None else F.left(cleaned, F.lit(max_chars))
 

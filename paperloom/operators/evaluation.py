@@ -65,8 +65,10 @@ def class_report(preds: DataFrame) -> DataFrame:
         F.struct(F.col("y_true").alias("label"), F.col("n").alias("truth"), F.lit(0).cast("bigint").alias("guess"), hit.cast("bigint").alias("hit")),
         F.struct(F.col("y_pred").alias("label"), F.lit(0).cast("bigint").alias("truth"), F.col("n").alias("guess"), F.lit(0).cast("bigint").alias("hit")),
     )
+    # A missing prediction is a miss of its true class, not a class of its own.
     per_class = (
         counts.select("model", F.inline(sides))
+        .where(F.col("label").isNotNull())
         .groupBy("model", "label")
         .agg(F.sum("truth").alias("truth"), F.sum("guess").alias("guess"), F.sum("hit").alias("hit"))
     )
@@ -141,7 +143,7 @@ def report_long(preds: DataFrame) -> DataFrame:
         return df.select("model", entry.alias("entry"), F.inline(items))
 
     return (
-        rows(report, F.col("label_name"))
+        rows(report, F.coalesce("label_name", F.concat(F.lit("label "), F.col("label").cast("string"))))
         .unionByName(rows(macro_avg(report), F.lit("macro avg")))
         .unionByName(rows(weighted_avg(report), F.lit("weighted avg")))
     )

@@ -105,11 +105,39 @@ def otsu_level(px: np.ndarray) -> int:
 
 
 def as_levels(px) -> np.ndarray:
-    return np.frombuffer(px, dtype=np.uint8) if isinstance(px, (bytes, bytearray)) else np.asarray(px, dtype=np.uint8)
+    """Levels 0 to 255 of one image; others are an error."""
+    if isinstance(px, (bytes, bytearray)):
+        return np.frombuffer(px, dtype=np.uint8)
+    levels = np.asarray(px)
+    if levels.size and (levels.min() < 0 or levels.max() > 255):
+        raise ValueError("levels must lie between 0 and 255")
+    return levels.astype(np.uint8)
+
+
+def _usable(piece: pd.DataFrame) -> np.ndarray:
+    """Rows with a size and pixels."""
+    ok = np.ones(len(piece), bool)
+    for name in ("height", "width", "px", "data"):
+        if name in piece:
+            ok &= piece[name].notna().to_numpy()
+    for name in ("height", "width"):
+        if name in piece:
+            ok &= piece[name].fillna(0).to_numpy() > 0
+    return ok
+
+
+def _with_nulls(values, ok: np.ndarray) -> pd.Series:
+    """Results of the usable rows in their places, null elsewhere."""
+    out = pd.Series([None] * len(ok), dtype=object)
+    out[np.flatnonzero(ok)] = pd.Series(list(values), index=np.flatnonzero(ok), dtype=object)
+    return out
 
 
 def _map_images(df: DataFrame, work: Callable[[pd.DataFrame], dict], added: list[T.StructField]) -> DataFrame:
-    """Run ``work`` on small pieces of each Arrow batch and append or replace columns."""
+    """Run ``work`` on small pieces of each Arrow batch and append or replace columns.
+
+    Rows without size or pixels stay, with nulls in the added columns.
+    """
     names = [f.name for f in added]
     kept = [f for f in df.schema.fields if f.name not in names]
     schema = T.StructType([*kept, *added])
@@ -118,7 +146,13 @@ def _map_images(df: DataFrame, work: Callable[[pd.DataFrame], dict], added: list
         for pdf in batches:
             for start in range(0, len(pdf), CHUNK):
                 piece = pdf.iloc[start : start + CHUNK].reset_index(drop=True)
-                yield piece.assign(**work(piece))[[f.name for f in schema.fields]]
+                ok = _usable(piece)
+                if ok.all():
+                    piece = piece.assign(**work(piece))
+                else:
+                    done = work(piece[ok].reset_index(drop=True)) if ok.any() else {}
+                    piece = piece.assign(**{n: _with_nulls(done.get(n, ()), ok) for n in names})
+                yield piece[[f.name for f in schema.fields]]
 
     return df.mapInPandas(run, schema)
 
@@ -181,7 +215,7 @@ def hog_features(df: DataFrame, size: int = 128, cell: int = 8) -> DataFrame:
 
 
 def to_gray(images: DataFrame) -> DataFrame:
-    """Rows of the image source (1, 3 or 4 channels, blue first) to one 8-bit gray channel."""
+    """Rows of the image source (1, 3 or 4 channels, blue first) to one 8-bit gray channel; null pixels where a file can't be decoded."""
     red, green, blue = LUMA_WEIGHTS
 
     def work(piece):
@@ -195,8 +229,7 @@ def to_gray(images: DataFrame) -> DataFrame:
             gray.append(level.astype(np.uint8).tobytes())
         return {"px": gray}
 
-    valid = images.where(F.col("width") > 0)
-    return _map_images(valid, work, [T.StructField("px", T.BinaryType())]).drop("data", "nChannels", "mode")
+    return _map_images(images, work, [T.StructField("px", T.BinaryType())]).drop("data", "nChannels", "mode")
 
 
 def otsu(df: DataFrame) -> DataFrame:

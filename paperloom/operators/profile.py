@@ -54,7 +54,7 @@ def _level_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for label, group in pdf.groupby("label"):
             counts = np.zeros(LEVELS, dtype=np.int64)
-            for px in group["px"]:
+            for px in group["px"].dropna():
                 counts += np.bincount(_levels(px), minlength=LEVELS)
             hit = np.flatnonzero(counts)
             out.append(pd.DataFrame({"label": int(label), "level": hit, "n": counts[hit]}))

@@ -43,16 +43,13 @@ def position_in_group(
     coarse_cols: list[str] | None = None,
     out: str = "pos",
     limit: DataFrame | Column | None = None,
-    small_limit: bool = False,
     block: int = BLOCK,
 ) -> DataFrame:
     """Add the zero-based position of each row in its group.
 
     ``coarse_cols`` come before ``order_col`` in the order; the pair must be unique in the group.
     ``limit`` keeps the first rows of each group only: a column over the group columns, or a small
-    frame ``group_cols + [_limit]``.  With ``small_limit`` the caller vouches that all limits together
-    are small; at most that many blocks survive, so the block list is broadcast and the rows of
-    other blocks never leave their task.
+    frame ``group_cols + [_limit]``.
     Blocks that start beyond the limit are dropped before any row is shuffled for numbering.
     """
     coarse = coarse_cols or []
@@ -66,7 +63,6 @@ def position_in_group(
             else offsets.withColumn("_limit", limit)
         )
         offsets = bounded.where(F.col(OFFSET_COL) < F.col("_limit"))
-        offsets = F.broadcast(offsets) if small_limit else offsets
     in_block = Window.partitionBy(*keys).orderBy(order_col)
     placed = blocked.join(offsets, keys).withColumn(
         out, F.col(OFFSET_COL) + F.row_number().over(in_block) - 1

@@ -9,24 +9,17 @@ from paperloom.operators.ranking import first_k, position_in_group
 from paperloom.schemas import CORPUS_CLASS_COUNT, LABEL_NAMES, SPLIT_TARGETS, literal_array, literal_map
 
 GROUP = ["split", "label_name"]
-SMALL_TARGETS = 1_000_000
 
 
 def _target(targets: dict[str, int]):
     return F.try_element_at(literal_map(targets), F.col("split")).cast("bigint")
 
 
-def _is_small(targets: dict[str, int]) -> bool:
-    return sum(targets.values()) * len(LABEL_NAMES) <= SMALL_TARGETS
-
-
 def head_per_class(
     corpus: DataFrame, targets: dict[str, int] = SPLIT_TARGETS, shard_col: str = "shard_idx", row_col: str = "row_idx"
 ) -> DataFrame:
     """First ``targets[split]`` rows of each class in shard and row order, with ``file_no`` from zero."""
-    return position_in_group(
-        corpus, GROUP, row_col, [shard_col], out="file_no", limit=_target(targets), small_limit=_is_small(targets)
-    )
+    return position_in_group(corpus, GROUP, row_col, [shard_col], out="file_no", limit=_target(targets))
 
 
 def resume_fill(
@@ -49,7 +42,7 @@ def resume_fill(
         .select(*GROUP, F.coalesce("_done", F.lit(0)).alias("_done"), (F.col("target") - F.coalesce("_done", F.lit(0))).alias("_limit"))
     )
     rest = corpus.join(taken.select(*key), key, "left_anti")
-    picked = position_in_group(rest, GROUP, row_col, [shard_col], out="_new", limit=room, small_limit=_is_small(targets))
+    picked = position_in_group(rest, GROUP, row_col, [shard_col], out="_new", limit=room)
     return picked.withColumn("file_no", F.col("_done") + F.col("_new")).drop("_done", "_new")
 
 

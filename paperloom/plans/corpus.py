@@ -189,7 +189,7 @@ CACHE = ("ocr_cache",)
 def src_text_cache(spark, sf):
     folder = shared_folder(spark)
     load(spark, sf, "ocr_cache").write.option("ignoreNullFields", False).json(folder)
-    return ca.latest_entries(co.read_text_lines(spark, folder))
+    return ca.latest_entries(co.read_text_lines(spark, folder).where("broken IS NULL AND path IS NOT NULL").drop("broken"))
 
 
 @query(
@@ -207,7 +207,7 @@ def cache_missing(spark, sf):
     "cache_merge",
     r"""SELECT d.path, CASE WHEN l.text IS NOT NULL THEN l.label ELSE d.label END AS label,
       CASE WHEN l.text IS NOT NULL THEN l.label_name ELSE d.label_name END AS label_name,
-      coalesce(l.text, left(trim(regexp_replace(d.text, '\s+', ' ', 'g')), 2000)) AS text
+      coalesce(l.text, trim(regexp_replace(d.text, '\s+', ' ', 'g'))) AS text
     FROM doc_texts d LEFT JOIN latest l ON l.path = d.path""",
     CACHE,
     LATEST,

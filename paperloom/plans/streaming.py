@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 
+from pyspark.sql import functions as F
+
 from paperloom.operators.scoring import named_predictions, primary
 from paperloom.plans.fixtures import load
 from paperloom.plans.registry import query
@@ -24,7 +26,7 @@ def st_incremental_text(spark, sf):
         part.repartition(4).write.mode("append").parquet(f"{folder}/in")
         stream = inc.arriving(spark, f"{folder}/in", docs.schema, 3)
         inc.incremental_text(stream, f"{folder}/table", f"{folder}/progress", "doc_id")
-    return spark.read.parquet(f"{folder}/table").select("doc_id", "text")
+    return inc.current_text(spark.read.parquet(f"{folder}/table"), "doc_id")
 
 
 @query("st_score")
@@ -47,7 +49,7 @@ def st_score(spark, sf):
     ("predictions",),
     f"""best AS (SELECT d.doc_id, d.text, CASE WHEN bool_or(m = 4) THEN max(y_pred) FILTER (m = 4) ELSE max(y_pred) FILTER (m = 3) END AS y_pred,
       CASE WHEN bool_or(m = 4) THEN max(confidence) FILTER (m = 4) ELSE max(confidence) FILTER (m = 3) END AS confidence
-      FROM doc_texts d JOIN predictions p ON d.doc_id = p.doc_id GROUP BY d.doc_id, d.text),
+      FROM doc_texts d LEFT JOIN predictions p ON d.doc_id = p.doc_id GROUP BY d.doc_id, d.text),
     f AS (SELECT doc_id, {sql_fields()} FROM best WHERE y_pred = 1)""",
 )
 def st_extract(spark, sf):
@@ -57,6 +59,7 @@ def st_extract(spark, sf):
     docs.write.parquet(f"{folder}/in")
     labels = primary(named_predictions(load(spark, sf, "predictions")))
     stream = inc.arriving(spark, f"{folder}/in", docs.schema)
-    out = inc.extract_labelled(stream.join(labels, "doc_id"))
+    labelled = stream.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", F.lit("-")))
+    out = inc.extract_labelled(labelled)
     inc.append_files(out, f"{folder}/out", f"{folder}/progress")
     return spark.read.schema(out.schema).parquet(f"{folder}/out")

@@ -82,9 +82,10 @@ def read_text_cache(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """The cache as JSON lines, the form that splits across tasks; broken lines are left out.
+    """The cache as JSON lines, the form that splits across tasks.
 
-    The order column ``seq`` is written with the rows.
+    The order column ``seq`` is written with the rows.  A line that is broken or has a value of another type stays,
+    as a row with the line in ``broken``; other rows have null there.
     """
-    schema = T.StructType([T.StructField("seq", T.LongType()), *TEXT_CACHE_SCHEMA.fields])
-    return spark.read.schema(schema).json(path, mode="DROPMALFORMED").where(F.col("path").isNotNull())
+    fields = [T.StructField("seq", T.LongType()), *TEXT_CACHE_SCHEMA.fields, T.StructField("broken", T.StringType())]
+    return spark.read.schema(T.StructType(fields)).json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="broken")

@@ -27,8 +27,8 @@ def incremental_text(stream: DataFrame, table: str, checkpoint: str, key: str =
     """Add the cleaned text of new keys to ``table`` until no input is left.
 
     Each micro-batch owns one partition of the table and overwrites only that, so a batch that is
-    run again after a failure gives the same table.  Keys already in the table are skipped by an
-    anti-join that reads the key column alone.
+    run again after a failure gives the same table.  Keys whose text is already in the table are skipped by an
+    anti-join; a key that came without text is taken again when its text comes, and :func:`current_text` reads it.
     """
     fields = [stream.schema[key], T.StructField("text", T.StringType()), T.StructField("batch", T.LongType())]
     schema = T.StructType(fields)
@@ -38,7 +38,7 @@ def incremental_text(stream: DataFrame, table: str, checkpoint: str, key: str =
     no_rows.write.mode("append").partitionBy("batch").parquet(table)
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        known = batch.sparkSession.read.schema(schema).parquet(table).where(F.col("batch") != batch_id)
+        known = batch.sparkSession.read.schema(schema).parquet(table).where((F.col("batch") != batch_id) & F.col("text").isNotNull())
         new = batch.join(known.select(key), key, "left_anti").select(key, clean_text(F.col("text"), max_chars).alias("text"))
         # A key that occurs twice in one batch gives one row, the same one on every run.
         rows = new.groupBy(key).agg(F.max("text").alias("text")).withColumn("batch", F.lit(batch_id).cast("bigint"))
@@ -54,6 +54,12 @@ def incremental_text(stream: DataFrame, table: str, checkpoint: str, key: str =
     query.awaitTermination()
 
 
+def current_text(table: DataFrame, key: str = "path") -> DataFrame:
+    """One row per key: the text that came last, null only while none has come."""
+    order = F.struct(F.col("text").isNotNull(), F.col("batch"), F.col("text"))
+    return table.groupBy(key).agg(F.max(order).alias("_last")).select(key, F.col("_last.text").alias("text"))
+
+
 def score_stream(stream: DataFrame, model: PipelineModel) -> DataFrame:
     """Classify arriving texts and extract the fields of invoices; a stateless stream."""
     scored = score(model, stream).withColumn("label", label_name(F.col("y_pred")))

@@ -29,7 +29,7 @@ from paperloom.training.prepare import SEED, SVD_COMPONENTS, fit_scaler, truncat
 
 FOURIER_FEATURES = 512
 RF_TREES = 200
-RF_DEPTH = 12
+RF_DEPTH = 30  # the limit of the library
 TEXT_BUCKETS = 1 << 16
 
 
@@ -73,7 +73,7 @@ def train_hog_svm(train: DataFrame, c: float = 1.0, max_iter: int = 50) -> Pipel
 def train_hog_rf(train: DataFrame, trees: int = RF_TREES, depth: int = RF_DEPTH) -> PipelineModel:
     """Gradient features → scale → random forest on balanced rows.
 
-    Depth is limited because an executor holds whole trees; raise it up to 30 where memory allows.
+    Trees grow as deep as the library allows; an executor holds whole trees, so lower ``depth`` where memory is short.
     """
     scaler = fit_scaler(train, "features", "scaled")
     forest = RandomForestClassifier(
@@ -116,9 +116,11 @@ def train_text(train: DataFrame, max_tokens: int | None = None, buckets: int = T
 
     Whole texts are read; ``max_tokens`` keeps the first tokens only, as a fixed-length model would.
     """
-    tokens = RegexTokenizer(inputCol="text", outputCol="tokens", pattern=r"(?U)\W+")
+    tokens = RegexTokenizer(inputCol="shown", outputCol="tokens", pattern=r"(?U)\W+")
     cut = f"slice(tokens, 1, {max_tokens})" if max_tokens else "tokens"
     stages = [
+        # a missing text is scored as a blank one
+        SQLTransformer(statement="SELECT *, coalesce(text, ' ') AS shown FROM __THIS__"),
         tokens,
         SQLTransformer(statement=f"SELECT *, {cut} AS kept FROM __THIS__"),
         HashingTF(inputCol="kept", outputCol="tf", numFeatures=buckets),

@@ -63,7 +63,7 @@ def test_strict_numbers(spark):
 def test_strip_and_clean(spark):
     raw = "  a\t\n\x1c b　 "
     df = spark.createDataFrame([(raw,), ("x" * 2500,)], "t string")
-    got = [tuple(r) for r in df.select(tx.strip(F.col("t")), tx.clean_text(F.col("t")), F.length(tx.clean_text(F.col("t"), None))).collect()]
+    got = [tuple(r) for r in df.select(tx.strip(F.col("t")), tx.clean_text(F.col("t"), 2000), F.length(tx.clean_text(F.col("t")))).collect()]
     assert got[0][:2] == (raw.strip(), " ".join(raw.split()))
     assert len(got[1][1]) == 2000 and got[1][2] == 2500
 
