@@ -197,9 +197,10 @@ def near_duplicates(
     """``id_col, n_shingles, component_id, kept`` of every row.
 
     Documents of equal sets form a class and go on as its smallest id.  Classes that share a band form buckets.
-    (1) each class is tested against the smallest classes of its buckets, (2) pairs of these that are still in
-    different components are tested, (3) in buckets that still hold several components, the classes outside the
-    largest one are tested against a few classes of it, twice, and (4) those that are still outside against all others; so no proposed pair between different components goes
+    (1) each class is tested against the smallest class of its buckets, (2) in buckets that still hold several
+    components, the classes outside the largest one are tested against a few classes of it, twice, and (3) those that
+    are still outside against all others, unless they have too many shingles of their own to be linked at all; so
+    no proposed pair between different components goes
     untested, and no bucket is expanded into all its pairs.  A pair is tested if its estimate is not clearly too low,
     on whole sets of 64-bit shingle hashes.
 
@@ -233,27 +234,19 @@ def near_duplicates(
         sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
         return sizes & (estimated(left, right, count, bits) >= least)
 
-    stars = members.where("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    stars = materialise(stars.join(sketch("a"), "a").join(sketch("b"), "b").where(likely()).select("a", "b"))
     proposed = members.select("id").distinct()
     whole = _Sets(source, proposed, shingle, percent)
     none = spark.createDataFrame([], "a bigint, b bigint")
 
-    def apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
-        if labels is None:
-            return pairs
-        for side in ("a", "b"):
-            label = labels.select(F.col("id").alias(side), F.col("comp").alias(f"c_{side}"))
-            pairs = pairs.join(label, side, "left")
-        return pairs.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-
+    # each class and the smallest of the hubs of its buckets
+    first = members.where("id != hub").groupBy(F.col("id").alias("a")).agg(F.min("hub").alias("b"))
+    first = first.join(sketch("a"), "a").join(sketch("b"), "b").where(likely()).select("a", "b")
     links, labels = none, None
-    first = stars.groupBy("a").agg(F.min("b").alias("b"))
-    steps = [lambda _: first, lambda _: stars.join(first, ["a", "b"], "left_anti")]
+    steps = [lambda _: first]
     steps += [lambda rows, turn=turn: _to_hubs(rows, sketch, likely(), turn) for turn in range(HUB_TURNS)]
     for number, step in enumerate([*steps, lambda rows: _across(rows, sketch, likely())]):
-        held = _linkable(_divided(members, labels), classes, whole.sets, percent) if number > 1 else None
-        found = whole.linked(apart(step(held), labels))
+        held = _linkable(_divided(members, labels), classes, whole.sets, percent) if number else None
+        found = whole.linked(step(held))
         if not found.limit(1).count():
             continue
         links = links.unionByName(found)
