@@ -8,7 +8,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm.blocks import SPACED_LOWER, distinct, mix, narrow, split_words, text_blocks
@@ -244,7 +244,7 @@ def near_duplicates(
     links, labels = none, None
     steps = [lambda _: first]
     steps += [lambda rows, turn=turn: _to_hubs(rows, sketch, likely(), turn) for turn in range(HUB_TURNS)]
-    for number, step in enumerate([*steps, lambda rows: _across(rows, sketch, likely())]):
+    for number, step in enumerate([*steps, lambda rows: _across(rows, classes, whole.sets, sketch, likely(), percent)]):
         held = _linkable(_divided(members, labels), classes, whole.sets, percent) if number else None
         found = whole.linked(step(held))
         if not found.limit(1).count():
@@ -332,15 +332,34 @@ def _to_hubs(held: DataFrame, sketch, likely: Column, turn: int) -> DataFrame:
     return materialise(pairs.where(likely).select("a", "b").distinct())
 
 
-def _across(held: DataFrame, sketch, likely: Column) -> DataFrame:
-    """All likely pairs between different components of one bucket.
+def _across(held: DataFrame, classes: DataFrame, sets: DataFrame, sketch, likely: Column, percent: int) -> DataFrame:
+    """All likely pairs between different components of one bucket that can be linked.
 
-    The main component is connected, so its classes only meet the bucket's other classes.
+    The main component is connected, so its classes only meet the bucket's other classes.  A class of n shingles
+    must share a least number of them with any class it is linked with, so of its rarest shingles, one more than it
+    may miss, at least one is shared: classes meet on these and not by bucket.  That finds every linked pair of a
+    bucket and leaves out most of the others.
     """
-    # two classes outside the main component meet once
-    once = (F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))
-    pairs = _sides(held.where("comp != main"), held, sketch)
-    return materialise(pairs.where((F.col("ca") != F.col("cb")) & once & likely).select("a", "b").distinct())
+    sized = held.join(classes.select(F.col("rep").alias("id"), "n"), "id")
+    smallest = sized.groupBy("key").agg(F.min("n").alias("least"))
+    outside = held.where("comp != main").join(smallest, "key").groupBy("id").agg(F.min("least").alias("least"))
+    comps = materialise(held.select("id", "comp").distinct())
+    items = sets.join(comps, "id").select("id", "comp", "n", F.explode("items").alias("item"))
+    holders = items.groupBy("item").agg(F.count(F.lit(1)).alias("holders"))
+    other = F.greatest(100 * F.col("least"), percent * F.col("n"))  # hundredfold
+    whole = 100 * (100 + percent)
+    misses = F.floor((whole * F.col("n") - percent * (100 * F.col("n") + other)) / F.lit(whole))
+    rarest = Window.partitionBy("id").orderBy("holders", "item")
+    chosen = (
+        items.join(materialise(outside), "id")
+        .join(holders, "item")
+        .withColumn("rank", F.row_number().over(rarest))
+        .where((F.col("rank") <= misses + 1) & (F.col("holders") > 1))
+        .select(F.col("id").alias("a"), F.col("comp").alias("ca"), "item")
+    )
+    meeting = items.select(F.col("id").alias("b"), F.col("comp").alias("cb"), "item")
+    pairs = materialise(chosen.join(meeting, "item").where("ca != cb").select("a", "b").distinct())
+    return materialise(pairs.join(sketch("a"), "a").join(sketch("b"), "b").where(likely).select("a", "b"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
