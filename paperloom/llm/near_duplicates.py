@@ -199,10 +199,10 @@ def near_duplicates(
     Documents of equal sets form a class and go on as its smallest id.  Classes that share a band form buckets.
     (1) each class is tested against the smallest class of its buckets, (2) in buckets that still hold several
     components, the classes outside the largest one are tested against a few classes of it, twice, and (3) those that
-    are still outside against all others, unless they have too many shingles of their own to be linked at all; so
-    no proposed pair between different components goes
-    untested, and no bucket is expanded into all its pairs.  A pair is tested if its estimate is not clearly too low,
-    on whole sets of 64-bit shingle hashes.
+    are still outside meet all others on their rarest shingles, unless they have too many shingles of their own to be
+    linked at all; so no proposed link between different components goes unseen, and no bucket is expanded into all
+    its pairs.  A pair of (1) or (2) is tested if its estimate is not clearly too low, every test is on whole sets of
+    64-bit shingle hashes.
 
     Null, empty and word-less texts have no shingles, are linked with nothing and stay.  Rows without an id stay,
     with a null component.  Repeated rows share their id and component.  Ties go to the smaller id.  An empty table
@@ -244,7 +244,7 @@ def near_duplicates(
     links, labels = none, None
     steps = [lambda _: first]
     steps += [lambda rows, turn=turn: _to_hubs(rows, sketch, likely(), turn) for turn in range(HUB_TURNS)]
-    for number, step in enumerate([*steps, lambda rows: _across(rows, classes, whole.sets, sketch, likely(), percent)]):
+    for number, step in enumerate([*steps, lambda rows: _across(rows, classes, whole.sets, percent)]):
         held = _linkable(_divided(members, labels), classes, whole.sets, percent) if number else None
         found = whole.linked(step(held))
         if not found.limit(1).count():
@@ -332,34 +332,49 @@ def _to_hubs(held: DataFrame, sketch, likely: Column, turn: int) -> DataFrame:
     return materialise(pairs.where(likely).select("a", "b").distinct())
 
 
-def _across(held: DataFrame, classes: DataFrame, sets: DataFrame, sketch, likely: Column, percent: int) -> DataFrame:
-    """All likely pairs between different components of one bucket that can be linked.
+def _across(held: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs between different components of one bucket, enough of them to find every link between components.
 
-    The main component is connected, so its classes only meet the bucket's other classes.  A class of n shingles
-    must share a least number of them with any class it is linked with, so of its rarest shingles, one more than it
-    may miss, at least one is shared: classes meet on these and not by bucket.  That finds every linked pair of a
-    bucket and leaves out most of the others.
+    Only shared shingles, those of more than one undecided class, add to an overlap.  Of the classes of a component
+    that have the same shared shingles the smallest is at least as similar to any other class, so it stands for them;
+    in a large group of copies with few edits each, the classes that stand are far fewer than the copies.
+
+    All shingles have one order, the rarest first.  Two sets of m and n that are linked share a least number of
+    shingles, so the first that they share comes early in both: classes meet on those early shingles alone, and a
+    pair goes on if what follows its first shared one can still make up the least number.  Both steps lose no link.
     """
     sized = held.join(classes.select(F.col("rep").alias("id"), "n"), "id")
     smallest = sized.groupBy("key").agg(F.min("n").alias("least"))
-    outside = held.where("comp != main").join(smallest, "key").groupBy("id").agg(F.min("least").alias("least"))
-    comps = materialise(held.select("id", "comp").distinct())
-    items = sets.join(comps, "id").select("id", "comp", "n", F.explode("items").alias("item"))
+    partners = sized.join(smallest, "key").groupBy("id").agg(F.min("least").alias("least"))
+    comps = materialise(held.select("id", "comp").distinct().join(partners, "id"))
+    items = sets.join(comps, "id").select("id", "comp", "n", "least", F.explode("items").alias("item"))
     holders = items.groupBy("item").agg(F.count(F.lit(1)).alias("holders"))
-    other = F.greatest(100 * F.col("least"), percent * F.col("n"))  # hundredfold
+    items = materialise(items.join(holders, "item"))
+    shared = F.when(F.col("holders") > 1, F.col("item"))
+    digests = [F.bit_xor(F.xxhash64(shared, F.lit(seed))).alias(f"_d{seed}") for seed in (1, 2)]
+    alike = items.where(shared.isNotNull()).groupBy("id", "comp", "n").agg(*digests).groupBy("comp", "_d1", "_d2")
+    stands = materialise(alike.agg(F.min(F.struct("n", "id")).alias("_s")).select(F.col("_s.id").alias("id")))
     whole = 100 * (100 + percent)
+    other = F.greatest(100 * F.col("least"), percent * F.col("n"))  # hundredfold
     misses = F.floor((whole * F.col("n") - percent * (100 * F.col("n") + other)) / F.lit(whole))
     rarest = Window.partitionBy("id").orderBy("holders", "item")
-    chosen = (
-        items.join(materialise(outside), "id")
-        .join(holders, "item")
+    early = (
+        items.join(stands, "id", "left_semi")
         .withColumn("rank", F.row_number().over(rarest))
         .where((F.col("rank") <= misses + 1) & (F.col("holders") > 1))
-        .select(F.col("id").alias("a"), F.col("comp").alias("ca"), "item")
+        .select("item", "id", "comp", "n", "rank")
+    )
+    early = materialise(early.join(held.where("comp != main").select("id").distinct().withColumn("out", F.lit(True)), "id", "left"))
+    side = {s: early.select("item", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "comp", "n", "rank", "out"))) for s in "ab"}
+    met = (
+        side["a"].where("out_a").join(side["b"], "item")
+        .where((F.col("comp_a") != F.col("comp_b")) & (F.col("out_b").isNull() | (F.col("id_a") < F.col("id_b"))))
+        .groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+        .agg(*(F.min(c).alias(c) for c in ("n_a", "n_b", "rank_a", "rank_b")))
     )
-    meeting = items.select(F.col("id").alias("b"), F.col("comp").alias("cb"), "item")
-    pairs = materialise(chosen.join(meeting, "item").where("ca != cb").select("a", "b").distinct())
-    return materialise(pairs.join(sketch("a"), "a").join(sketch("b"), "b").where(likely).select("a", "b"))
+    most = 1 + F.least(F.col("n_a") - F.col("rank_a"), F.col("n_b") - F.col("rank_b"))
+    can = (100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))
+    return materialise(met.where(can).select("a", "b"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
