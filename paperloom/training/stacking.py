@@ -96,7 +96,13 @@ def predict_stack(stack: PipelineModel, scores: DataFrame) -> DataFrame:
 
 
 def predictions_long(scores: DataFrame, stacked: DataFrame) -> DataFrame:
-    """All predictions under their display names."""
+    """All predictions under their display names, with ``split`` and the true class ``y_true`` that the evaluation reads.
+
+    The meta model's rows take both from the document's first member; every document it scores has all members.
+    """
+    columns = ["doc_id", "split", "y_true", "model", "y_pred", "confidence"]
     names = F.coalesce(*[F.when(F.col("model") == k, F.lit(v)) for k, v in DISPLAY_NAME.items()])
-    base = scores.select("doc_id", names.alias("model"), "y_pred", "confidence")
-    return base.unionByName(stacked.select("doc_id", F.lit("Stacking").alias("model"), "y_pred", "confidence"))
+    marked = scores.withColumn("y_true", F.col("label"))
+    known = marked.where(F.col("model") == MEMBER_ORDER[0]).select("doc_id", "split", "y_true")
+    meta = stacked.select("doc_id", F.lit("Stacking").alias("model"), "y_pred", "confidence").join(known, "doc_id")
+    return marked.withColumn("model", names).select(*columns).unionByName(meta.select(*columns))

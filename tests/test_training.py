@@ -4,6 +4,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
+from paperloom.operators import evaluation as ev
 from paperloom.training import history as hi
 from paperloom.training import members as mb
 from paperloom.training import prepare as pr
@@ -44,6 +45,9 @@ def test_members_and_stack(spark, features, models, tmp_path):
     test = scores.where("split = 'test'")
     stacked = st.predict_stack(stack, test).join(test.select("doc_id", "label").distinct(), "doc_id")
     assert stacked.count() == 30 and stacked.where("y_pred = label").count() >= 28
+    long = st.predictions_long(test, st.predict_stack(stack, test))
+    assert long.groupBy("model").count().where("count = 30").count() == 5 and long.where("split <> 'test' or y_true is null").count() == 0
+    assert {r.model: r.accuracy for r in ev.accuracy(long).collect()}["Stacking"] >= 28 / 30
     for name, model in models.items():
         path = str(tmp_path / name)
         model.write().save(path)
