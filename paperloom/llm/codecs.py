@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from paperloom.llm.blocks import take_ranges
+from paperloom.llm.blocks import raw, take_ranges
 
 CACHE_ENTRIES = 120_000
 
@@ -39,6 +39,11 @@ class Recent(dict):
         return held
 
 
+def joined(entries: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all entries, one after the other, and how many each has."""
+    return np.frombuffer(b"".join(entries), "<u4"), np.fromiter(map(len, entries), np.int64, len(entries)) // 4
+
+
 class WordCodec:
     """Base of the codecs.  ``encode`` gives ids of texts as bytes of 32-bit numbers.
 
@@ -51,97 +56,132 @@ class WordCodec:
     def __init__(self) -> None:
         self.seen = Recent()
 
-    def odd(self, word: str) -> bool:
+    def odd(self, words: pa.Array) -> pa.Array:
         raise NotImplementedError
 
     def encode(self, keys: list[str]) -> list[bytes]:
         raise NotImplementedError
 
-    def _table(self, words: list[str], lead: str) -> list[bytes]:
-        return self.seen.lookup([lead + w for w in words], self.encode)
+    def table(self, words: pa.Array, lead: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words that follow ``lead``, and how many each has."""
+        return joined(self.seen.lookup([lead + w for w in words.to_pylist()], self.encode))
 
     def rows(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts and the offset of each row."""
         lists = pc.split_pattern(text, " ")
         ends = lists.offsets.to_numpy().astype(np.int64)
-        ends, values = ends - ends[0], lists.flatten()
-        coded = values.dictionary_encode()
-        number, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
-        strange = np.fromiter((self.odd(w) for w in words), bool, len(words))
+        ends, coded = ends - ends[0], lists.flatten().dictionary_encode()
+        number, words = coded.indices.to_numpy(), coded.dictionary
+        strange = self.odd(words).to_numpy(zero_copy_only=False)
         row = np.repeat(np.arange(len(text)), np.diff(ends))
         whole = np.zeros(len(text), bool)
-        if len(words):
-            whole[row[strange[number]]] = True
-        opening = np.zeros(len(values), bool)
+        whole[row[strange[number]]] = True
+        opening = np.zeros(len(number), bool)
         opening[ends[:-1]] = True
         inner = ~whole[row] & ~opening
         heads = number[ends[:-1]]  # of rows that are encoded whole, too, where they go unused
-        used = np.unique(number[inner])
-        first_used = np.unique(heads[~whole])
-        entries = self._table([words[i] for i in used], self.lead)
-        entries += self._table([words[i] for i in first_used], self.first)
-        entries += self.encode([self.first + t for t in text.filter(pa.array(whole)).to_pylist()])
-        sizes = np.fromiter(map(len, entries), np.int64, len(entries)) // 4
-        starts = np.cumsum(sizes) - sizes
-        flat = np.frombuffer(b"".join(entries), "<u4")
-        slot = np.empty(len(values), np.int64)
-        slot[inner] = np.searchsorted(used, number[inner])
-        keep = ~whole[row]
-        slot[ends[:-1][~whole]] = len(used) + np.searchsorted(first_used, heads[~whole])
-        slot[ends[:-1][whole]] = len(used) + len(first_used) + np.arange(int(whole.sum()))
-        keep |= opening
+        tables, place = [], np.zeros((2, len(words)), np.int64)
+        for k, (used, lead) in enumerate(((number[inner], self.lead), (heads[~whole], self.first))):
+            met = np.zeros(len(words), bool)
+            met[used] = True
+            place[k, met] = np.arange(met.sum()) + sum(len(sizes) for _, sizes in tables)
+            tables.append(self.table(words.filter(pa.array(met)), lead))
+        slot = place[0, number]
+        slot[ends[:-1]] = place[1, heads]
+        slot[ends[:-1][whole]] = sum(len(sizes) for _, sizes in tables) + np.arange(whole.sum())
+        tables.append(joined(self.encode([self.first + t for t in text.filter(pa.array(whole)).to_pylist()])))
+        flat, sizes = (np.concatenate(parts) for parts in zip(*tables, strict=True))
+        keep = inner | opening
         slot, row = slot[keep], row[keep]
         lengths = sizes[slot]
         per_row = np.bincount(row, weights=lengths, minlength=len(text)).astype(np.int64)
-        return take_ranges(flat, starts[slot], lengths), np.concatenate([[0], np.cumsum(per_row)])
+        ids = take_ranges(flat, (np.cumsum(sizes) - sizes)[slot], lengths)
+        return ids, np.concatenate([[0], np.cumsum(per_row)])
 
 
-# Marks that, after a letter, begin a new unit of the byte-level pattern.
+# Marks that, after a letter, begin a new unit of the byte-level pattern; white space at a word's edge;
+# letters of the Latin blocks.
 CLOSING = ".,;:!?|$%&*#"
+_SPACE = r"[\x{09}-\x{0d}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+EDGE = rf"^{_SPACE}|{_SPACE}$"
+LATIN = r"[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]"
+TOGETHER = 4_000  # words in a text that is given to the library
+HELD_WORDS = 400_000
 
 
 class BytePairCodec(WordCodec):
     """Ids by the tokenizers library.  Its byte-level pattern cuts before the last space of a run of white space
-    and between a letter and a mark, so words at single spaces can be encoded apart."""
+    and between a letter and a mark, so words at single spaces can be encoded apart, and those that end in marks
+    share the ids of the word without them.
+
+    Words of letters go to the library many in one text; each is one unit of the pattern together with its space,
+    so a word's ids start at each id that begins with a space.  Held words are an Arrow array beside their flat ids.
+    """
 
     def __init__(self, definition: str) -> None:
         super().__init__()
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
-        # letters alone are one unit of the pattern and needn't be searched for units
-        self.unit = Tokenizer.from_str(definition)
-        self.unit.encode_special_tokens = True
-        self.unit.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.cores = Recent(400_000)
-
-    def odd(self, word: str) -> bool:
-        return not word or word[0].isspace() or word[-1].isspace()
-
-    def _table(self, words: list[str], lead: str) -> list[bytes]:
-        return self.encode([lead + w for w in words])  # the parts are held, not the words
-
-    def _library(self, keys: list[str]) -> list[bytes]:
-        out: dict[str, bytes] = {}
-        plain = [k for k in keys if k.removeprefix(" ").isalpha() and max(k) < "\u0250"]
-        known = set(plain)
-        for tokenizer, part in ((self.unit, plain), (self.tokenizer, [k for k in keys if k not in known])):
-            coded = tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            out |= {k: array("I", c.ids).tobytes() for k, c in zip(part, coded, strict=True)}
-        return [out[k] for k in keys]
+        names = map(self.tokenizer.id_to_token, range(self.tokenizer.get_vocab_size()))
+        self.opens = np.array([(n or "").startswith("\u0120") for n in names])  # fixed value: the library's sign for a space
+        self.held = pa.array([], pa.string())
+        self.flat, self.sizes = joined([])
+
+    def odd(self, words: pa.Array) -> pa.Array:
+        return pc.or_(pc.equal(words, ""), pc.match_substring_regex(words, EDGE))
 
     def encode(self, keys: list[str]) -> list[bytes]:
-        """Words that end in marks share the ids of the word without them."""
-        parts = []
-        for k in keys:
-            core = k.rstrip(CLOSING)
-            cut = core and len(core) < len(k) and core[-1].isalpha() and core[-1] < "\u0250"
-            parts.append((core, k[len(core) :]) if cut else (k, ""))
-        distinct = list(dict.fromkeys(p for pair in parts for p in pair if p))
-        ids = dict(zip(distinct, self.cores.lookup(distinct, self._library), strict=True))
-        return [ids[a] + ids[b] if b else ids[a] if a else b"" for a, b in parts]
+        coded = self.tokenizer.encode_batch_fast(keys, add_special_tokens=False)
+        return [array("I", c.ids).tobytes() for c in coded]
+
+    def table(self, words: pa.Array, lead: str) -> tuple[np.ndarray, np.ndarray]:
+        core = pc.utf8_rtrim(words, CLOSING)
+        core = pc.if_else(pc.match_substring_regex(core, LATIN + "$"), core, words)
+        data, ends = raw(words)
+        rest = np.diff(ends) - np.diff(raw(core)[1])
+        marks = take_ranges(data, ends[1:] - rest, rest)
+        bounds = np.concatenate([[0], np.cumsum(rest)]).astype(np.int32)
+        tails = pa.StringArray.from_buffers(len(words), pa.py_buffer(bounds), pa.py_buffer(marks))
+        core, tails = core.dictionary_encode(), tails.dictionary_encode()
+        parts = [self._cores(core.dictionary, lead), joined(self.encode(tails.dictionary.to_pylist()))]
+        flat, sizes = (np.concatenate(p) for p in zip(*parts, strict=True))
+        slot = np.column_stack([core.indices.to_numpy(), tails.indices.to_numpy() + len(core.dictionary)])
+        lengths = sizes[slot]
+        return take_ranges(flat, (np.cumsum(sizes) - sizes)[slot.ravel()], lengths.ravel()), lengths.sum(axis=1)
+
+    def _cores(self, words: pa.Array, lead: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words; those after a space are held for the next blocks."""
+        if lead != self.lead:
+            return joined(self.encode([lead + w for w in words.to_pylist()]))
+        at = pc.index_in(words, self.held)
+        fresh = words.filter(pc.is_null(at))
+        flat, sizes = self._fresh(fresh)
+        at = pc.fill_null(at, -1).to_numpy().astype(np.int64)
+        at[at < 0] = len(self.held) + np.arange(len(fresh))
+        self.held = pa.concat_arrays([self.held, fresh])
+        self.flat, self.sizes = np.concatenate([self.flat, flat]), np.concatenate([self.sizes, sizes])
+        sizes = self.sizes[at]
+        flat = take_ranges(self.flat, (np.cumsum(self.sizes) - self.sizes)[at], sizes)
+        if len(self.held) > HELD_WORDS:  # only what was just asked for stays
+            self.held, self.flat, self.sizes = words, flat, sizes
+        return flat, sizes
+
+    def _fresh(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        plain = pc.match_substring_regex(words, f"^{LATIN}+$")
+        letters, others = words.filter(plain).to_pylist(), words.filter(pc.invert(plain)).to_pylist()
+        texts = [self.lead + self.lead.join(letters[a : a + TOGETHER]) for a in range(0, len(letters), TOGETHER)]
+        ids, _ = joined(self.encode(texts))
+        begins = np.flatnonzero(self.opens[ids])
+        if len(begins) != len(letters):
+            raise ValueError("the vocabulary does not begin each word of letters with one space")
+        flat, sizes = joined(self.encode([self.lead + w for w in others]))
+        flat, sizes = np.concatenate([ids, flat]), np.concatenate([np.diff(begins, append=len(ids)), sizes])
+        plain = plain.to_numpy(zero_copy_only=False)
+        order = np.empty(len(words), np.int64)
+        order[plain], order[~plain] = np.arange(len(letters)), len(letters) + np.arange(len(others))
+        return take_ranges(flat, (np.cumsum(sizes) - sizes)[order], sizes[order]), sizes[order]
 
 
 MARK = "▁"  # the vocabulary's sign for a space
@@ -198,8 +238,8 @@ class UnigramCodec(WordCodec):
             self.automaton.add_word(name, (len(name), number, score))
         self.automaton.make_automaton()
 
-    def odd(self, word: str) -> bool:
-        return not word or MARK in word
+    def odd(self, words: pa.Array) -> pa.Array:
+        return pc.or_(pc.equal(words, ""), pc.match_substring(words, MARK))
 
     def encode(self, keys: list[str]) -> list[bytes]:
         return [self._viterbi(k) for k in keys]
