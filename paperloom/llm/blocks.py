@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
+WIDE_BLOCK_BYTES = 4 << 20  # where the distinct words of a block are the cost
 
 _SAME = np.arange(256, dtype=np.uint8)
 # The separators of a word are the space and the characters 9 to 13.

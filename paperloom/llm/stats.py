@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.llm.blocks import distinct, fresh_name, mix, raw, row_of, split_words, sum_rows, text_blocks, whole_text, widened
+from paperloom.llm.blocks import distinct, mix, raw, row_of, split_words, sum_rows, text_blocks, whole_text, widened
 
 WINDOW = 8
 #: Counts of every whole text; `document_stats` returns them in this order as 64-bit numbers.
@@ -132,17 +132,15 @@ def document_stats(text: pa.Array) -> dict[str, np.ndarray]:
 
 def with_document_stats(docs: DataFrame, text_col: str, out: str) -> DataFrame:
     """Add the struct ``out`` of `COUNTS`; all rows and other columns stay as they are.  Map-only."""
-    name = fresh_name(docs, "_whole_text")
     schema = widened(docs, out, T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, text in text_blocks(batches, name):
+        for batch, text in text_blocks(batches, text_col):
             stats = document_stats(text)
             struct = pa.StructArray.from_arrays([pa.array(stats[c]) for c in COUNTS], names=list(COUNTS))
-            yield pa.record_batch([*batch.columns[1:], struct], [*batch.schema.names[1:], out])
+            yield pa.record_batch([*batch.columns, struct], [*batch.schema.names, out])
 
-    text = F.col(f"`{text_col}`")
-    return docs.select(text.alias(name), *(F.col(f"`{c}`") for c in docs.columns)).mapInArrow(measure, schema)
+    return docs.mapInArrow(measure, schema)
 
 
 def _share(part: Column, whole: Column) -> Column:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.blocks import narrow, text_blocks
+from paperloom.llm.blocks import WIDE_BLOCK_BYTES, narrow, text_blocks
 from paperloom.llm.codecs import BytePairCodec, model_bytes, shared
 from paperloom.llm.storage import attempt_name, create, open_read
 from paperloom.session import shared_folder
@@ -123,7 +123,7 @@ def write_token_files(
         codec = shared(BytePairCodec, held.value)
         wide = codec.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
         part, writer, starts, total, docs_seen = TaskContext.get().partitionId(), None, None, 0, 0
-        for batch, text in text_blocks(batches, "text"):
+        for batch, text in text_blocks(batches, "text", WIDE_BLOCK_BYTES):
             if writer is None:
                 name = attempt_name(part, ".arrow")
                 ids_sink, index_sink = create(folder, name), create(folder, name + ".index")

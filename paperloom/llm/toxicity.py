@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.llm.blocks import fresh_name, raw, row_of, split_words, sum_rows, text_blocks, widened
+from paperloom.llm.blocks import WIDE_BLOCK_BYTES, raw, row_of, split_words, sum_rows, text_blocks, widened
 from paperloom.llm.labelled import CALIBRATION_FOLD, fold, isotonic_steps, training_labels
 from paperloom.sources.sinks import materialise
 
@@ -148,19 +148,17 @@ def toxic_features(text: pa.Array, lexicon: Lexicon, known: dict[str, tuple]) ->
 
 def with_toxic_features(docs: DataFrame, lexicon: Lexicon, text_col: str, out: str) -> DataFrame:
     """Add the array ``out`` of `FEATURES`; other columns stay.  Map-only."""
-    name = fresh_name(docs, "_whole_text")
     schema = widened(docs, out, T.ArrayType(T.DoubleType()))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple] = {}
-        for batch, text in text_blocks(batches, name):
+        for batch, text in text_blocks(batches, text_col, WIDE_BLOCK_BYTES):
             x = toxic_features(text, lexicon, known)
             ends = pa.array(np.arange(len(x) + 1) * len(FEATURES), pa.int32())
             column = pa.ListArray.from_arrays(ends, pa.array(x.ravel()))
-            yield pa.record_batch([*batch.columns[1:], column], [*batch.schema.names[1:], out])
+            yield pa.record_batch([*batch.columns, column], [*batch.schema.names, out])
 
-    text = F.col(f"`{text_col}`")
-    return docs.select(text.alias(name), *(F.col(f"`{c}`") for c in docs.columns)).mapInArrow(measure, schema)
+    return docs.mapInArrow(measure, schema)
 
 
 def _step_column(raw_col: Column, steps: tuple[np.ndarray, np.ndarray]) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from paperloom.llm.blocks import fresh_name, narrow, sum_rows, text_blocks, widened
 from paperloom.llm.codecs import MARK, Pieces, Recent, UnigramCodec, model_bytes, shared
 
-DECODED = 500_000
+DECODED = 200_000
 
 
 def _broadcast_model(df: DataFrame, model: str):
