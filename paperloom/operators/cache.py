@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 COLUMNS = ("path", "label", "label_name", "text")
@@ -25,12 +25,18 @@ def merge(files: DataFrame, cache: DataFrame, fresh: DataFrame) -> DataFrame:
 
     ``cache`` has one row per path; merging again changes nothing.
     """
-    valid = cache.where(F.col("text").isNotNull()).select("path", F.struct("label", "label_name", "text").alias("_old"))
     new = fresh.select("path", F.col("text").alias("_new"))
-    joined = files.select("path", "label", "label_name").join(valid, "path", "left").join(new, "path", "left")
-    return joined.select(
+    files = files.select("path", "label", "label_name").join(new, "path", "left")
+    return refresh(files, cache, F.col("_new"))
+
+
+def refresh(files: DataFrame, cache: DataFrame, fresh: Column) -> DataFrame:
+    """`merge` where the fresh text is a column over ``files``: they are read once, joined once, and the column is only
+    worked out for files without a cached text."""
+    valid = cache.where(F.col("text").isNotNull()).select("path", F.struct("label", "label_name", "text").alias("_old"))
+    return files.join(valid, "path", "left").select(
         "path",
         F.when(F.col("_old").isNotNull(), F.col("_old.label")).otherwise(F.col("label")).alias("label"),
         F.when(F.col("_old").isNotNull(), F.col("_old.label_name")).otherwise(F.col("label_name")).alias("label_name"),
-        F.coalesce(F.col("_old.text"), F.col("_new")).alias("text"),
+        F.coalesce(F.col("_old.text"), fresh).alias("text"),
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,9 +74,12 @@ def meta_features(probs: DataFrame, members: tuple[str, ...] = MEMBER_ORDER) ->
     """Side-by-side probabilities of the members in fixed order, ``(doc_id, meta)``.
 
     ``meta`` is null for a document that lacks a member; such rows are kept for the caller to set aside.
+    Each probability is a number of its own in the aggregation, which thus stays hashed.
     """
-    columns = [F.max(F.when(F.col("model") == m, F.col("probs"))).alias(m) for m in members]
-    return probs.groupBy("doc_id").agg(*columns).select("doc_id", F.concat(*members).alias("meta"))
+    names = {f"_{m}_{i}": F.when(F.col("model") == m, F.get("probs", F.lit(i))) for m in members for i in range(len(LABEL_NAMES))}
+    wide = probs.groupBy("doc_id").agg(*(F.max(value).alias(name) for name, value in names.items()))
+    whole = reduce(lambda a, b: a & b, (F.col(name).isNotNull() for name in names))
+    return wide.select("doc_id", F.when(whole, F.array(*names)).alias("meta"))
 
 
 def class_probabilities(df: DataFrame, id_cols: tuple[str, ...] = ("doc_id", "model")) -> DataFrame:

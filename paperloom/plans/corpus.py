@@ -213,10 +213,8 @@ def cache_missing(spark, sf):
     LATEST,
 )
 def cache_merge(spark, sf):
-    docs = load(spark, sf, "doc_texts")
     cache = ca.latest_entries(load(spark, sf, "ocr_cache"))
-    fresh = ca.missing(docs, cache).select("path", tx.clean_text(F.col("text")).alias("text"))
-    return ca.merge(docs, cache, fresh)
+    return ca.refresh(load(spark, sf, "doc_texts"), cache, tx.clean_text(F.col("text")))
 
 
 @query(

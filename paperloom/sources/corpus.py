@@ -72,13 +72,17 @@ def read_image_tree(spark: SparkSession, root: str, splits: tuple[str, ...] = SP
 
 
 def read_text_cache(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of JSON text caches, one list per file, with ``seq`` in file order.
+    """Rows of JSON text caches, one list per file, with ``seq``: the file's path and the place in its list, so that a
+    later file's entry is the later one however files are dealt to tasks.
 
-    A file that is not valid JSON gives no rows.  A file is read by one task, which numbers its
-    rows in order; large caches belong in :func:`read_text_lines` form.
+    A file that is not valid JSON gives no rows.  A file is read by one task; large caches belong in
+    :func:`read_text_lines` form.
     """
-    rows = spark.read.schema(TEXT_CACHE_SCHEMA).json(path, multiLine=True, mode="PERMISSIVE")
-    return rows.withColumn("seq", F.monotonically_increasing_id()).where(F.col("path").isNotNull())
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_file"), "value")
+    listed = F.from_json("value", T.ArrayType(TEXT_CACHE_SCHEMA))
+    rows = files.select("_file", F.posexplode(listed).alias("_at", "_row"))
+    seq = F.struct(F.col("_file").alias("file"), F.col("_at").alias("at")).alias("seq")
+    return rows.select("_row.*", seq).where(F.col("path").isNotNull())
 
 
 def read_text_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -38,15 +38,11 @@ def report_json(preds: DataFrame) -> DataFrame:
 
     The lists gathered per model hold classes times metrics, not documents.
     """
-    rows = report_long(preds)
-    entries = rows.groupBy("model", "entry").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value")))).alias("_metrics")
+    entries = report_long(preds).groupBy("model", "entry").agg(
+        F.array_sort(F.collect_list(F.struct("metric", "value"))).alias("metrics")
     )
-    reports = entries.groupBy("model").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("entry", F.to_json("_metrics").alias("j"))))).alias("_entries")
-    )
-    body = F.array_join(
-        F.transform(F.map_entries("_entries"), lambda e: F.concat(F.lit('"'), e.key, F.lit('": '), e.value)), ", "
-    )
-    payload = F.concat(F.lit('{"accuracy": '), F.col("accuracy").cast("string"), F.lit(', "report": {'), body, F.lit("}}"))
+    listed = F.array_sort(F.collect_list(F.struct("entry", "metrics")))
+    named = F.transform(listed, lambda e: F.struct(e.entry, F.map_from_entries(e.metrics)))
+    reports = entries.groupBy("model").agg(F.map_from_entries(named).alias("report"))
+    payload = F.to_json(F.struct("accuracy", "report"))
     return reports.join(accuracy(preds), "model").select("model", payload.alias("payload"))

@@ -102,6 +102,10 @@ def test_text_cache(spark, tmp_path):
     (tmp_path / "bad.json").write_text('[{"path": "c", "la')
     cache = ca.latest_entries(co.read_text_cache(spark, str(tmp_path)))
     assert {(r.path, r.text) for r in cache.collect()} == {("a", "new"), ("b", None)}
+    # the larger file is dealt first, the later name still wins
+    (tmp_path / "a.json").write_text(json.dumps([{**row, "text": "first"}] + [{**row, "path": f"p{i}"} for i in range(500)]))
+    cache = ca.latest_entries(co.read_text_cache(spark, str(tmp_path)))
+    assert {r.text for r in cache.where("path = 'a'").collect()} == {"new"}
 
 
 def test_merge_twice_is_merge_once(spark):

@@ -42,5 +42,13 @@ def test_no_query_multiplies_rows(spark, sf):
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
 
 
+def test_plans_stay_lean(spark, sf):
+    """Meta features are hashed, and the merged cache reads the files it keeps once beside the cache's own reads."""
+    plan = QUERIES["sc_meta_features"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+    plan = QUERIES["cache_merge"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftAnti") == 0 and plan.count("LeftOuter") == 1
+
+
 def test_entry(spark):
     assert driver.entry(spark).count() == 1500
