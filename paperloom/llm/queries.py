@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 
 from paperloom.llm.decision_list import judge_documents
 from paperloom.llm.decontamination import find_leaks
+from paperloom.llm.importance import resample
 from paperloom.llm.kernel_quality import quality_scores
 from paperloom.llm.labelled import fold
 from paperloom.llm.near_duplicates import near_duplicates
+from paperloom.llm.pair_merges import decode_bpe, encode_bpe
 from paperloom.llm.sharding import shard_documents
 from paperloom.llm.token_files import read_token_index, write_token_files
 from paperloom.llm.toxicity import toxicity_scores
 from paperloom.llm.unigram import count_tokens, decode_pieces, encode_pieces
 from paperloom.llm.warc import read_records, write_archives
+from paperloom.llm.whitening import identity_error, whiten
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
@@ -103,6 +106,42 @@ def leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents, drawn by likeness to the benchmark; every document's weight and score."""
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and the text that they spell, as digests."""
+    vocabulary = public_tokenizers.path(BYTE_BPE)
+    coded = encode_bpe(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+    decoded = decode_bpe(coded, vocabulary)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector along the leading components, one row per vector and component."""
+    rows = _table(spark, sf_dir, "embeddings")
+    white, fit = whiten(rows)
+    error = identity_error(rows.select(F.col("embedding").alias("v")), fit) if fit else 0.0
+    shares = F.array(*map(F.lit, fit.explained.tolist() if fit else [])).cast("array<double>")
+    long = white.select("vec_id", "deviation", F.posexplode("whitened").alias("_at", "whitened"))
+    return long.select(
+        "vec_id",
+        (F.col("_at") + 1).alias("component"),
+        F.lit(fit.n if fit else 0).cast("bigint").alias("n"),
+        F.col("deviation").cast("bigint").alias("deviation"),
+        "whitened",
+        shares[F.col("_at")].alias("explained"),
+        F.lit(error).alias("identity_error"),
+    )
+
+
 QUERIES = {
     "op1_token_files": token_files,
     "op2_balanced_shards": shards,
@@ -114,6 +153,9 @@ QUERIES = {
     "op8_token_counts": token_counts,
     "op9_near_duplicates": near_dedup,
     "op10_decontamination": leaks,
+    "op11_importance": importance,
+    "op12_byte_pairs": byte_pairs,
+    "op13_whitening": whitening,
 }
 
 ORACLES = {
