@@ -6,7 +6,8 @@ text forms a block of its own).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+BATCH_BYTES = 4 << 20
 BLOCK_BYTES = 1 << 20
 WIDE_BLOCK_BYTES = 4 << 20  # where the distinct words of a block are the cost
 
@@ -44,6 +46,26 @@ def widened(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([*df.schema.fields, T.StructField(name, kind)])
 
 
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def map_batches(df: DataFrame, fn: Callable[[Iterator], Iterator], schema: T.StructType | str) -> DataFrame:
+    """``df.mapInArrow`` on Arrow batches of about `BATCH_BYTES` at most, however long the rows are (a longer row is a
+    batch by itself).  The session keeps this bound, or its own if that is lower.  Memory that Arrow holds in reserve
+    goes back to the system when a task ends, so that stages of a pipeline don't add up in a worker."""
+    conf = df.sparkSession.conf
+    if int(re.sub(r"\D", "", conf.get(_BATCH_CONF))) > BATCH_BYTES:
+        conf.set(_BATCH_CONF, str(BATCH_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
+
+
 def whole_text(column: pa.Array) -> pa.Array:
     if pa.types.is_null(column.type):
         column = column.cast(pa.string())

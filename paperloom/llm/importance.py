@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.blocks import narrow, sum_rows, text_blocks
+from paperloom.llm.blocks import map_batches, narrow, sum_rows, text_blocks
 from paperloom.operators.ranking import number_in_group
 from paperloom.sources.sinks import materialise
 
@@ -86,7 +86,7 @@ def bucketed(docs: DataFrame, grams: int, buckets: int) -> DataFrame:
             yield pa.record_batch([batch.column(0), words, lists], ["id", "n_words", "buckets"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(split, f"id {kind}, n_words bigint, buckets array<int>")
+    return map_batches(docs, split, f"id {kind}, n_words bigint, buckets array<int>")
 
 
 def bucket_counts(rows: DataFrame, buckets: int) -> np.ndarray:
@@ -96,10 +96,12 @@ def bucket_counts(rows: DataFrame, buckets: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[int] = Counter()
         for batch in batches:
-            seen.update(batch.column(0).flatten().to_pylist())
+            flat = batch.column(0).flatten()
+            for start in range(0, len(flat), PIECE):
+                seen.update(flat.slice(start, PIECE).to_pylist())
         yield pa.record_batch({"bucket": pa.array(list(seen), pa.int32()), "n": pa.array(list(seen.values()), pa.int64())})
 
-    summed = rows.select("buckets").mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+    summed = map_batches(rows.select("buckets"), count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
     out = np.zeros(buckets, np.int64)
     for r in summed.collect():
         out[r["bucket"]] = r["n"]
@@ -132,7 +134,7 @@ def weighted(rows: DataFrame, gain: np.ndarray) -> DataFrame:
 
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"id {kind}, n_words bigint, n_features bigint, weight bigint"
-    return rows.select("id", "n_words", "buckets").mapInArrow(weigh, schema)
+    return map_batches(rows.select("id", "n_words", "buckets"), weigh, schema)
 
 
 def noise(id_col: Column, seed: int) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.llm.blocks import fresh_name, widened
+from paperloom.llm.blocks import fresh_name, map_batches, narrow, widened
 from paperloom.llm.labelled import CALIBRATION_FOLD, fold, isotonic_steps, smoothed, training_labels
 from paperloom.llm.stats import ratios, with_document_stats
 from paperloom.sources.sinks import materialise
@@ -60,7 +60,7 @@ def _raw_scores(rows: DataFrame, model: KernelModel) -> DataFrame:
             if batch.num_rows:
                 yield pa.record_batch({"raw": model.raw(_matrix(batch.column(0))), "label": batch.column(1)})
 
-    return rows.select("x", "label").mapInArrow(apply, "raw double, label double")
+    return map_batches(rows.select("x", "label"), apply, "raw double, label double")
 
 
 def fit_kernel_quality(
@@ -111,7 +111,7 @@ def fit_kernel_quality(
     def added(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"i": pdf["i"][:1], "v": [np.sum(np.stack(list(pdf["v"])), axis=0)]})
 
-    sums = part.select("x", "label").mapInArrow(equations, "i int, v array<double>")
+    sums = map_batches(part.select("x", "label"), equations, "i int, v array<double>")
     summed = sums.groupBy("i").applyInPandas(added, "i int, v array<double>").orderBy("i").collect()
     system = np.array([r["v"] for r in summed])
     gram = system[:, :width] + RIDGE * n / width * np.eye(width)
@@ -134,12 +134,12 @@ def score_measured(measured: DataFrame, model: KernelModel, x_col: str, out: str
                 scores = pa.array(model.score(_matrix(batch.column(0))))
                 yield pa.record_batch([*batch.columns[1:], scores], [*columns, out])
 
-    return measured.select(x_col, *(F.col(f"`{c}`") for c in columns)).mapInArrow(apply, schema)
+    return map_batches(measured.select(x_col, *(F.col(f"`{c}`") for c in columns)), apply, schema)
 
 
 def measure_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, x``: the measures of every whole text, stored once for the fit and the scores."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = narrow(docs, id=id_col, text=text_col)
     return materialise(with_document_stats(rows, "text", "stats").select("id", measures(F.col("stats")).alias("x")))
 
 

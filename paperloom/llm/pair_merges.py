@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.llm.blocks import WIDE_BLOCK_BYTES, fresh_name, take_ranges, text_blocks
+from paperloom.llm.blocks import WIDE_BLOCK_BYTES, fresh_name, map_batches, take_ranges, text_blocks
 from paperloom.llm.codecs import EDGE, WordCodec, model_bytes, shared
 
 SYMBOLS = 1 << 19  # of pre-tokens that are merged together
@@ -277,7 +277,7 @@ def encode_bpe(docs: DataFrame, vocabulary: str, text_col: str = "text", out: st
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32)))
             yield pa.record_batch([*batch.columns[:-1], lists], [*others, out])
 
-    return rows.mapInArrow(encode, schema)
+    return map_batches(rows, encode, schema)
 
 
 def decode_bpe(rows: DataFrame, vocabulary: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -304,4 +304,4 @@ def decode_bpe(rows: DataFrame, vocabulary: str, ids_col: str = "ids", out: str
                 yield pa.record_batch([*part.columns, texts], [*batch.schema.names, out])
                 start = stop
 
-    return rows.mapInArrow(decode, schema)
+    return map_batches(rows, decode, schema)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.llm.blocks import distinct, mix, raw, row_of, split_words, sum_rows, text_blocks, whole_text, widened
+from paperloom.llm.blocks import distinct, map_batches, mix, raw, row_of, split_words, sum_rows, text_blocks, whole_text, widened
 
 WINDOW = 8
 #: Counts of every whole text; `document_stats` returns them in this order as 64-bit numbers.
@@ -140,7 +140,7 @@ def with_document_stats(docs: DataFrame, text_col: str, out: str) -> DataFrame:
             struct = pa.StructArray.from_arrays([pa.array(stats[c]) for c in COUNTS], names=list(COUNTS))
             yield pa.record_batch([*batch.columns, struct], [*batch.schema.names, out])
 
-    return docs.mapInArrow(measure, schema)
+    return map_batches(docs, measure, schema)
 
 
 def _share(part: Column, whole: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.llm.blocks import fresh_name, narrow, sum_rows, text_blocks, widened
+from paperloom.llm.blocks import fresh_name, map_batches, narrow, sum_rows, text_blocks, widened
 from paperloom.llm.codecs import MARK, Pieces, Recent, UnigramCodec, model_bytes, shared
 
 DECODED = 200_000
@@ -46,7 +46,7 @@ def encode_pieces(
         rows = rows.withColumn("crc", F.crc32(F.replace(F.coalesce("text", F.lit("")), F.lit(MARK), F.lit(" ")).cast("binary")))
     kind = rows.schema["id"].dataType.simpleString()
     more = ", crc32 bigint" if with_crc else ""
-    coded = rows.mapInArrow(encode, f"id {kind}, ids array<int>, n_tokens bigint{more}")
+    coded = map_batches(rows, encode, f"id {kind}, ids array<int>, n_tokens bigint{more}")
     return coded.withColumnRenamed("id", id_col)
 
 
@@ -80,7 +80,7 @@ def decode_pieces(coded: DataFrame, model: str, ids_col: str = "ids", out: str =
                 column = pc.if_else(lists.is_valid(), pa.array(texts, pa.string()), None)
                 yield pa.record_batch([*(batch.column(c) for c in columns), column], [*columns, out])
 
-    return coded.select(*columns).mapInArrow(decode, schema)
+    return map_batches(coded.select(*columns), decode, schema)
 
 
 class PrefixCounter:
@@ -176,6 +176,5 @@ def count_tokens(
             totals = pa.array(_word_counts(text, counter), pa.int64())
             yield pa.record_batch([*batch.columns[1:], totals], [*batch.schema.names[1:], out])
 
-    return docs.select(F.col(f"`{text_col}`").alias(name), *(F.col(f"`{c}`") for c in kept.columns)).mapInArrow(
-        count, schema
-    )
+    rows = docs.select(F.col(f"`{text_col}`").alias(name), *(F.col(f"`{c}`") for c in kept.columns))
+    return map_batches(rows, count, schema)

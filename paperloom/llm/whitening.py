@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.blocks import narrow, sum_rows
+from paperloom.llm.blocks import map_batches, narrow, sum_rows
 
 UNITS = 64  # steps of the fixed-point form to one
 SHIFT = 1_000_000
@@ -135,7 +135,7 @@ def fit_whitening(vectors: DataFrame, components: int = COMPONENTS) -> Whitening
             yield _total_rows(i, np.zeros_like(i), [n, *sums])
             yield _total_rows(i[1:], np.ones_like(i[1:]), [n] * len(sums))
 
-    found = {(r["i"], r["j"]): int(r["total"]) for r in _summed(vectors.select("v").mapInArrow(add, _TOTALS))}
+    found = {(r["i"], r["j"]): int(r["total"]) for r in _summed(map_batches(vectors.select("v"), add, _TOTALS))}
     n = found.pop((-1, 0), 0)
     if not n:
         return None
@@ -161,7 +161,7 @@ def fit_whitening(vectors: DataFrame, components: int = COMPONENTS) -> Whitening
         if totals is not None:
             yield _total_rows(first, second, totals.tolist())
 
-    squares = {(r["i"], r["j"]): int(r["total"]) for r in _summed(vectors.select("v").mapInArrow(square, _TOTALS))}
+    squares = {(r["i"], r["j"]): int(r["total"]) for r in _summed(map_batches(vectors.select("v"), square, _TOTALS))}
     rest = [s % n for s in sums]
     # n times the summed squares of exactly centred values, of dimensions and of sums of two
     spread = {
@@ -195,7 +195,7 @@ def apply_whitening(vectors: DataFrame, fit: Whitening) -> DataFrame:
             yield pa.record_batch([part.column(0), far, lists], ["id", "deviation", "whitened"])
 
     kind = vectors.schema["id"].dataType.simpleString()
-    return vectors.select("id", "v").mapInArrow(project, f"id {kind}, deviation decimal(38,0), whitened array<double>")
+    return map_batches(vectors.select("id", "v"), project, f"id {kind}, deviation decimal(38,0), whitened array<double>")
 
 
 def identity_error(vectors: DataFrame, fit: Whitening) -> float:
@@ -214,7 +214,7 @@ def identity_error(vectors: DataFrame, fit: Whitening) -> float:
         yield pa.record_batch([pa.array(i.ravel(), pa.int32()), pa.array(j.ravel(), pa.int32()), pa.array(total.ravel())], ["i", "j", "total"])
 
     off = 0.0
-    for r in _summed(vectors.select("v").mapInArrow(multiply, "i int, j int, total double")):
+    for r in _summed(map_batches(vectors.select("v"), multiply, "i int, j int, total double")):
         off = max(off, abs(r["total"] / fit.n - (r["i"] == r["j"])))
     return off
 
