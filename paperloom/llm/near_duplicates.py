@@ -11,14 +11,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.blocks import SPACED_LOWER, distinct, mix, narrow, split_words, text_blocks
+from paperloom.llm.blocks import SPACED_LOWER, distinct, map_batches, mix, narrow, split_words, text_blocks
 from paperloom.sources.sinks import materialise
 
 ROWS = 4  # minima in a band
 BANDS = 28  # a pair of similarity 0.8 shares a band with probability 1 - 4e-7
 BITS = 2  # low bits kept of each minimum
 MARGIN = 5.5  # standard deviations of the estimate below the threshold that are still confirmed on whole sets
-HUBS, HUB_TURNS = 8, 2
+PARITY_BITS = 512
+PARITIES = [f"b{i}" for i in range(PARITY_BITS // 64)]
 PART = 1 << 17  # shingles hashed at a time
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -110,7 +111,7 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int, bits: int)
             )
 
     longs = "".join(f", {p} bigint" for p in planes)
-    return docs.mapInArrow(sign, f"id bigint, n bigint, d0 bigint, d1 bigint{longs}, bands array<bigint>")
+    return map_batches(docs, sign, f"id bigint, n bigint, d0 bigint, d1 bigint{longs}, bands array<bigint>")
 
 
 def estimated(left: list[Column], right: list[Column], count: int, bits: int) -> Column:
@@ -134,7 +135,7 @@ def components(edges: DataFrame) -> DataFrame:
     """``id, comp``: the smallest id reachable over ``edges`` (a, b), for all ids in them.
 
     Each round takes the smallest label among neighbours and then the label of one's label, which halves the
-    distances; every round is stored, so that lost executors cost a re-read.
+    distances; every round is stored once, so that lost executors cost a re-read.
     """
     both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = materialise(
@@ -147,15 +148,39 @@ def components(edges: DataFrame) -> DataFrame:
         lower = labels.join(heard.withColumnRenamed("a", "id"), "id").select(
             "id", F.col("comp").alias("was"), F.least("comp", "heard").alias("comp")
         )
-        lower = materialise(lower)
         of = lower.select(F.col("id").alias("comp"), F.col("comp").alias("next"))
         jumped = materialise(lower.join(of, "comp").select("id", "was", F.col("next").alias("comp")))
-        moved = jumped.where("comp != was").limit(1).count()
         labels = jumped.select("id", "comp")
-        if not moved:
+        if not jumped.where("comp != was").limit(1).count():
             return labels
 
 
+def roots(parents: DataFrame) -> DataFrame:
+    """``id, comp``: the root above each ``a`` whose parent ``b`` is a smaller id.  Each round doubles the steps."""
+    rows = parents.select(F.col("a").alias("id"), F.col("b").alias("comp"))
+    while True:
+        up = rows.select(F.col("id").alias("comp"), F.col("comp").alias("next"))
+        step = rows.join(up, "comp", "left").select(
+            "id", F.coalesce("next", "comp").alias("comp"), F.col("next").isNotNull().alias("moved")
+        )
+        step = materialise(step)
+        rows = step.select("id", "comp")
+        if not step.where("moved").limit(1).count():
+            return rows
+
+
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """`PARITY_BITS` bits of each set, as 64-bit words: whether an odd number of its hashes falls on the bit.
+
+    A hash that is in one of two sets only changes one bit, so two sets differ in at least as many hashes as their bits
+    do: a bound that needs no test of the sets and is never wrong.
+    """
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    at = (np.concatenate(sets) & np.uint64(PARITY_BITS - 1)).astype(np.int64) if sets else np.zeros(0, np.int64)
+    odd = (np.bincount(row * PARITY_BITS + at, minlength=len(sets) * PARITY_BITS) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(len(sets), PARITY_BITS), axis=1, bitorder="little").view("<i8")
+
+
 class _Sets:
     """Whole shingle sets of the documents that a band has proposed, and the exact test of pairs of them."""
 
@@ -168,10 +193,12 @@ class _Sets:
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
                 flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-                yield pa.record_batch({"id": batch.column(0), "items": lists, "n": pa.array(np.diff(ends))})
+                bits = parities(sets)
+                columns = [batch.column(0), lists, pa.array(np.diff(ends)), *(pa.array(b) for b in bits.T.copy())]
+                yield pa.record_batch(columns, ["id", "items", "n", *PARITIES])
 
         found = docs.join(proposed, "id", "left_semi")
-        self.sets = materialise(found.mapInArrow(collect, "id bigint, items array<bigint>, n bigint"))
+        self.sets = materialise(map_batches(found, collect, f"id bigint, items array<bigint>, n bigint, {', '.join(f'{b} bigint' for b in PARITIES)}"))
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose whole sets reach the similarity."""
@@ -196,19 +223,17 @@ def near_duplicates(
 ) -> DataFrame:
     """``id_col, n_shingles, component_id, kept`` of every row.
 
-    Documents of equal sets form a class and go on as its smallest id.  Classes that share a band form buckets.
-    (1) each class is tested against the smallest class of its buckets, (2) in buckets that still hold several
-    components, the classes outside the largest one are tested against a few classes of it, twice, and (3) those that
-    are still outside meet all others on their rarest shingles, unless they have too many shingles of their own to be
-    linked at all; so no proposed link between different components goes unseen, and no bucket is expanded into all
-    its pairs.  A pair of (1) or (2) is tested if its estimate is not clearly too low, every test is on whole sets of
-    64-bit shingle hashes.
+    Documents of equal sets form a class and go on as its smallest id.  Classes that share a band form buckets, and the
+    smallest class of a bucket is its hub.  (1) Each class is tested against one of the hubs of its buckets, the one of
+    highest estimate that is not clearly too low; these links form trees.  (2) In buckets that still hold several
+    trees, classes of different trees meet on their rarest shingles (`_across`), which finds every link between
+    trees; (3) the found links join the trees.  No proposed link between different components goes unseen, and no
+    bucket is expanded into all its pairs.  Every test is on whole sets of 64-bit shingle hashes.
 
     Null, empty and word-less texts have no shingles, are linked with nothing and stay.  Rows without an id stay,
     with a null component.  Repeated rows share their id and component.  Ties go to the smaller id.  An empty table
     gives no rows.
     """
-    spark = docs.sparkSession
     source = narrow(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("bigint"))
     planes = [f"p{i}" for i in range(bits * _words_per_plane(bands, rows))]
     count = bands * rows
@@ -221,42 +246,26 @@ def near_duplicates(
         )
     )
     reps = classes.select(F.col("rep").alias("id"), "d0", "d1")
-    banded = usable.join(reps, ["id", "d0", "d1"], "left_semi").select("id", F.explode("bands").alias("key"))
+    banded = usable.join(reps, ["id", "d0", "d1"], "left_semi").select("id", "n", F.explode("bands").alias("key"))
     hubs = banded.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last")
     members = materialise(banded.join(hubs.select("key", "hub"), "key"))
+    whole = _Sets(source, members.select("id").distinct(), shingle, percent)
 
     def sketch(side: str) -> DataFrame:
         own = [F.col("rep").alias(side), F.col("n").alias(f"n_{side}"), *(F.col(p).alias(f"{p}_{side}") for p in planes)]
         return classes.select(*own)
 
-    def likely() -> Column:
-        left, right = ([F.col(f"{p}_{s}") for p in planes] for s in "ab")
-        sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-        return sizes & (estimated(left, right, count, bits) >= least)
-
-    proposed = members.select("id").distinct()
-    whole = _Sets(source, proposed, shingle, percent)
-    none = spark.createDataFrame([], "a bigint, b bigint")
-
-    # each class and the smallest of the hubs of its buckets
-    first = members.where("id != hub").groupBy(F.col("id").alias("a")).agg(F.min("hub").alias("b"))
-    first = first.join(sketch("a"), "a").join(sketch("b"), "b").where(likely()).select("a", "b")
-    links, labels = none, None
-    steps = [lambda _: first]
-    steps += [lambda rows, turn=turn: _to_hubs(rows, sketch, likely(), turn) for turn in range(HUB_TURNS)]
-    for number, step in enumerate([*steps, lambda rows: _across(rows, classes, whole.sets, percent)]):
-        held = _linkable(_divided(members, labels), classes, whole.sets, percent) if number else None
-        found = whole.linked(step(held))
-        if not found.limit(1).count():
-            continue
-        links = links.unionByName(found)
-        labels = components(links)
-    if labels is None:
-        labels = none.select(F.col("a").alias("id"), F.col("b").alias("comp"))
+    left, right = ([F.col(f"{p}_{side}") for p in planes] for side in "ab")
+    alike = estimated(left, right, count, bits)
+    sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    pairs = members.where("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    likely = pairs.join(sketch("a"), "a").join(sketch("b"), "b").where(sizes & (alike >= least))
+    trees = roots(whole.linked(likely.groupBy("a").agg(F.max_by("b", alike).alias("b"))))
+    met = _across(members, trees, whole.sets, percent)
+    labels = trees if met is None else _joined(trees, whole.linked(met))
     of_class = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
         "d0", "d1", F.coalesce("comp", "rep").alias("component_id")
     )
-    of_class = materialise(of_class)
     joined = signed.select("id", "n", "d0", "d1").join(of_class, ["d0", "d1"], "left")
     component = F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component_id"))).otherwise(F.col("id"))
     return joined.select(
@@ -267,114 +276,109 @@ def near_duplicates(
     )
 
 
-def _divided(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """``key, id, comp, main`` of buckets that still hold several components; ``main`` is the largest, the smaller
-    id of equally large ones."""
-    if labels is None:
-        rows = members.select("key", "id", F.col("id").alias("comp"))
-    else:
-        rows = members.join(labels, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-    rows = materialise(rows)
-    order = F.struct(F.col("n"), (-F.col("comp")).alias("c"))
-    several = (
-        rows.groupBy("key", "comp")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("key")
-        .agg(F.max(order).alias("top"), F.count(F.lit(1)).alias("parts"))
-        .where("parts > 1")
-        .select("key", (-F.col("top.c")).alias("main"))
+def _divided(members: DataFrame, trees: DataFrame) -> DataFrame:
+    """``key, id, n, comp, least, main`` of the buckets that hold several trees: the least size in the bucket and the
+    tree of its hub."""
+    rows = members.join(trees, "id", "left").select("key", "id", "n", F.coalesce("comp", "id").alias("comp"))
+    several = rows.groupBy("key").agg(
+        F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least"), F.min_by("comp", "id").alias("main")
     )
-    return materialise(rows.join(materialise(several), "key"))
-
-
-def _linkable(held: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The rows of ``held`` whose class can still be linked with another one of its bucket.
-
-    Two sets of sizes m and n that reach the similarity share at least ``percent / (100 + percent) * (m + n)``
-    shingles.  A class shares at most the shingles that are not its alone among all undecided classes, and its
-    bucket's smallest class bounds n from below, so a class that has too many shingles of its own goes.  This loses
-    no link; it keeps far-edited members of a large group from being tested against the whole group.
+    return rows.join(several.where("low != high").select("key", "least", "main"), "key")
+
+
+def _joined(trees: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels of ``trees`` (id, comp) after ``links`` between them: only the roots that links touch are worked on."""
+    if not links.limit(1).count():
+        return trees
+    ends = links
+    for side in "ab":
+        root = trees.select(F.col("id").alias(side), F.col("comp").alias(f"root_{side}"))
+        ends = ends.join(root, side, "left").withColumn(side, F.coalesce(f"root_{side}", side)).drop(f"root_{side}")
+    above = components(ends.where("a != b").distinct())
+    lifted = trees.join(above.select(F.col("id").alias("comp"), F.col("comp").alias("top")), "comp", "left")
+    fresh = above.join(trees.select("id"), "id", "left_anti")
+    return lifted.select("id", F.coalesce("top", "comp").alias("comp")).unionByName(fresh)
+
+
+def _across(members: DataFrame, trees: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Pairs between different trees of one bucket, enough of them to find every link between trees; None if no bucket
+    holds several.
+
+    Only shingles that classes of different trees share add to an overlap that counts here.  Of the classes of a tree
+    that have the same shared shingles the smallest is at least as similar to any class of another tree, so it stands
+    for them; in a large group of copies with few edits each, the classes that stand are far fewer than the copies.
+
+    All shingles have one order, the rarest first.  Two sets of m and n that are linked share at least
+    ``percent / (100 + percent) * (m + n)`` shingles, and the smallest class of its buckets bounds a partner's size from
+    below; so the first shingle that two linked sets share comes early in both, and a class with too many unshared
+    shingles can't be linked and goes.  What is shared among the rest is counted once more, as it is less.  Classes meet
+    on early shingles alone, and a pair goes on if what follows its first shared one can still make up the least
+    number.  None of this loses a link between trees, nor sets a cap.
     """
-    ids = materialise(held.select("id").distinct())
-    own = (
-        sets.join(ids, "id")
-        .select("id", F.explode("items").alias("item"))
-        .groupBy("item")
-        .agg(F.count(F.lit(1)).alias("holders"), F.min("id").alias("id"))
-        .where("holders = 1")
+    undecided = materialise(
+        _divided(members, trees)
         .groupBy("id")
-        .agg(F.count(F.lit(1)).alias("own"))
+        .agg(F.min("comp").alias("comp"), F.min("least").alias("least"), F.max(F.col("comp") != F.col("main")).alias("out"))
     )
-    sized = materialise(
-        held.join(classes.select(F.col("rep").alias("id"), "n"), "id").join(materialise(own), "id", "left")
+    if not undecided.limit(1).count():
+        return None
+    items = sets.join(undecided, "id").select("id", "comp", "n", "least", "out", F.explode("items").alias("item"))
+    shared = _shared(items)
+    stands = _stands(shared, percent).select("id", "comp", "n", "least", "out")
+    again = _shared(shared.select("item", "id").join(stands, "id"))
+    marked = _stands(again, percent).join(sets.select("id", *PARITIES), "id")
+    return _meeting(again, marked, percent)
+
+
+def _shared(items: DataFrame) -> DataFrame:
+    """The rows of ``items`` whose item classes of several trees hold, one of them outside its bucket's main tree; with how
+    many such classes and how many in all do; stored."""
+    held = items.groupBy("item").agg(
+        F.count_if("out").alias("outside"), F.count(F.lit(1)).alias("holders"), F.min("comp").alias("low"), F.max("comp").alias("high")
     )
-    least = sized.groupBy("key").agg(F.min("n").alias("least"))
-    other = F.greatest(100 * F.col("least"), percent * F.col("n"))  # hundredfold
-    can = 100 * (100 + percent) * (F.col("n") - F.coalesce("own", F.lit(0))) >= percent * (100 * F.col("n") + other)
-    return materialise(sized.join(least, "key").where(can).select(*held.columns))
-
-
-def _sides(left: DataFrame, right: DataFrame, sketch) -> DataFrame:
-    left = sketch("a").join(left.select(F.col("id").alias("a"), "key", F.col("comp").alias("ca")), "a")
-    right = sketch("b").join(right.select(F.col("id").alias("b"), "key", F.col("comp").alias("cb"), "main"), "b")
-    return left.join(right, "key")
-
-
-def _to_hubs(held: DataFrame, sketch, likely: Column, turn: int) -> DataFrame:
-    """Likely pairs of classes outside a bucket's main component with `HUBS` classes of it, others in each turn.
-
-    A class that resembles the main component nearly always meets one that it is linked with here, so that few are
-    left for `_across`.
-    """
-    part = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(HUBS))
-    hubs = held.where("comp = main").groupBy("key", "main", part.alias("part")).agg(F.min("id").alias("id"))
-    pairs = _sides(held.where("comp != main"), hubs.withColumn("comp", F.col("main")), sketch)
-    return materialise(pairs.where(likely).select("a", "b").distinct())
-
-
-def _across(held: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs between different components of one bucket, enough of them to find every link between components.
-
-    Only shared shingles, those of more than one undecided class, add to an overlap.  Of the classes of a component
-    that have the same shared shingles the smallest is at least as similar to any other class, so it stands for them;
-    in a large group of copies with few edits each, the classes that stand are far fewer than the copies.
-
-    All shingles have one order, the rarest first.  Two sets of m and n that are linked share a least number of
-    shingles, so the first that they share comes early in both: classes meet on those early shingles alone, and a
-    pair goes on if what follows its first shared one can still make up the least number.  Both steps lose no link.
-    """
-    sized = held.join(classes.select(F.col("rep").alias("id"), "n"), "id")
-    smallest = sized.groupBy("key").agg(F.min("n").alias("least"))
-    partners = sized.join(smallest, "key").groupBy("id").agg(F.min("least").alias("least"))
-    comps = materialise(held.select("id", "comp").distinct().join(partners, "id"))
-    items = sets.join(comps, "id").select("id", "comp", "n", "least", F.explode("items").alias("item"))
-    holders = items.groupBy("item").agg(F.count(F.lit(1)).alias("holders"))
-    items = materialise(items.join(holders, "item"))
-    shared = F.when(F.col("holders") > 1, F.col("item"))
-    digests = [F.bit_xor(F.xxhash64(shared, F.lit(seed))).alias(f"_d{seed}") for seed in (1, 2)]
-    alike = items.where(shared.isNotNull()).groupBy("id", "comp", "n").agg(*digests).groupBy("comp", "_d1", "_d2")
-    stands = materialise(alike.agg(F.min(F.struct("n", "id")).alias("_s")).select(F.col("_s.id").alias("id")))
-    whole = 100 * (100 + percent)
+    wanted = held.where("low != high AND outside > 0").select("item", "outside", "holders")
+    return materialise(items.join(wanted, "item"))
+
+
+def _stands(shared: DataFrame, percent: int) -> DataFrame:
+    """``id, comp, n, own, out, misses`` of the smallest class for each tree and set of shared items, if it can be linked:
+    ``own`` of its items are not shared, and at most ``misses`` may be missing in a partner."""
+    digests = [F.bit_xor(F.xxhash64("item", F.lit(seed))).alias(f"_d{seed}") for seed in (1, 2)]
+    each = shared.groupBy("id", "comp", "n", "least", "out").agg(F.count(F.lit(1)).alias("common"), *digests)
+    stands = (
+        each.groupBy("comp", "_d1", "_d2")
+        .agg(F.min(F.struct("n", "id", "common")).alias("s"), F.min("least").alias("least"), F.max("out").alias("out"))
+        .select("s.id", "comp", "s.n", (F.col("s.n") - F.col("s.common")).alias("own"), "least", "out")
+    )
+    scale = 100 * (100 + percent)
     other = F.greatest(100 * F.col("least"), percent * F.col("n"))  # hundredfold
-    misses = F.floor((whole * F.col("n") - percent * (100 * F.col("n") + other)) / F.lit(whole))
-    rarest = Window.partitionBy("id").orderBy("holders", "item")
-    early = (
-        items.join(stands, "id", "left_semi")
-        .withColumn("rank", F.row_number().over(rarest))
-        .where((F.col("rank") <= misses + 1) & (F.col("holders") > 1))
-        .select("item", "id", "comp", "n", "rank")
+    misses = F.floor((scale * F.col("n") - percent * (100 * F.col("n") + other)) / F.lit(scale))
+    return stands.withColumn("misses", misses).where("own <= misses")
+
+
+def _meeting(shared: DataFrame, stands: DataFrame, percent: int) -> DataFrame:
+    """Pairs of standing classes of different trees, one of them outside a main tree, that meet on an early item and can
+    still be linked: where they first meet, what is left of both sets can make up the least overlap, and their parities
+    differ in no more bits than linked sets may differ in items."""
+    rarest = Window.partitionBy("id").orderBy("outside", "holders", "item")
+    early = materialise(
+        shared.select("item", "id", "outside", "holders")
+        .join(stands, "id")
+        .withColumn("rank", F.col("own") + F.row_number().over(rarest))
+        .where("rank <= misses + 1")
+        .select("item", "id", "comp", "n", "rank", "out", *PARITIES)
     )
-    early = materialise(early.join(held.where("comp != main").select("id").distinct().withColumn("out", F.lit(True)), "id", "left"))
-    side = {s: early.select("item", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "comp", "n", "rank", "out"))) for s in "ab"}
+    columns = ("id", "comp", "n", "rank", "out", *PARITIES)
+    side = {s: early.select("item", *(F.col(c).alias(f"{c}_{s}") for c in columns)) for s in "ab"}
+    unlike = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{b}_a").bitwiseXOR(F.col(f"{b}_b"))) for b in PARITIES))
+    most = 1 + F.least(F.col("n_a") - F.col("rank_a"), F.col("n_b") - F.col("rank_b"))
     met = (
         side["a"].where("out_a").join(side["b"], "item")
-        .where((F.col("comp_a") != F.col("comp_b")) & (F.col("out_b").isNull() | (F.col("id_a") < F.col("id_b"))))
-        .groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-        .agg(*(F.min(c).alias(c) for c in ("n_a", "n_b", "rank_a", "rank_b")))
-    )
-    most = 1 + F.least(F.col("n_a") - F.col("rank_a"), F.col("n_b") - F.col("rank_b"))
-    can = (100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))
-    return materialise(met.where(can).select("a", "b"))
+        .where((F.col("comp_a") != F.col("comp_b")) & (~F.col("out_b") | (F.col("id_a") < F.col("id_b"))))
+        .where((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b")))
+        .where((100 + percent) * unlike <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
+    )
+    return met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -383,7 +387,6 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Ids that go are told apart from those that stay by id alone; repeated rows of an id that stays all stay.
     """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    gone = found.where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
-    kept_ids = found.where("kept").select(F.col(id_col).alias("_gone")).distinct()
-    gone = materialise(gone.join(kept_ids, "_gone", "left_anti"))
+    ids = found.groupBy(F.col(id_col).alias("_gone")).agg(F.max("kept").alias("_kept"))
+    gone = materialise(ids.where(~F.col("_kept")).select("_gone"))
     return docs.join(gone, F.col(f"`{id_col}`").cast("bigint") == F.col("_gone"), "left_anti")
