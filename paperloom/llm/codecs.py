@@ -123,14 +123,20 @@ class BytePairCodec(WordCodec):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added]  # found in texts before the pattern cuts them
         names = map(self.tokenizer.id_to_token, range(self.tokenizer.get_vocab_size()))
+        if any(" " in t or not t for t in self.added):
+            raise ValueError("added tokens with spaces are not supported")
         self.opens = np.array([(n or "").startswith("\u0120") for n in names])  # fixed value: the library's sign for a space
         self.held = pa.array([], pa.string())
         self.flat, self.sizes = joined([])
 
     def odd(self, words: pa.Array) -> pa.Array:
-        return pc.or_(pc.equal(words, ""), pc.match_substring_regex(words, EDGE))
+        out = pc.or_(pc.equal(words, ""), pc.match_substring_regex(words, EDGE))
+        for token in self.added:
+            out = pc.or_(out, pc.match_substring(words, token))
+        return out
 
     def encode(self, keys: list[str]) -> list[bytes]:
         coded = self.tokenizer.encode_batch_fast(keys, add_special_tokens=False)

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.blocks import fresh_name
+from paperloom.llm.blocks import fresh_name, narrow
 from paperloom.llm.labelled import fold, training_labels
 from paperloom.llm.stats import COUNTS, ratios, with_document_stats
 from paperloom.sources.sinks import materialise
@@ -122,7 +122,7 @@ def learn_rules(
 
     Sequential covering: grow a conjunction of thresholds by the gain on the growing folds, drop its last conditions
     while that does not lower (bad - good) / (bad + good) on the pruning fold, keep the rule if it still covers
-    enough and is precise enough on both, remove what it covers, go on.  Every step is one aggregation over all
+    enough and is precise enough on each of both, remove what it covers, go on.  Every step is one aggregation over all
     labelled rows into measures x bins counts.  Held-out rows (fold 0) are never read.  Without labelled bad rows
     there are no rules.
     """
@@ -156,8 +156,8 @@ def learn_rules(
             held = {name: (low, high) for name, low, high in order[:k]}
             pruned = table.counts(left & table.holds(held), True)[0].sum(axis=0)
             grown = table.counts(left & table.holds(held), False)[0].sum(axis=0)
-            good, bad = pruned + grown
-            if bad < LEAST_COVER or bad / (good + bad) < least_precision:
+            sides = [(bad, good + bad) for good, bad in (pruned, grown)]
+            if pruned[1] + grown[1] < LEAST_COVER or any(n and bad < least_precision * n for bad, n in sides):
                 continue
             worth = (pruned[1] - pruned[0]) / max(pruned.sum(), 1.0)
             if best is None or worth >= best[0]:
@@ -178,7 +178,7 @@ def base_failed(stats: Column) -> Column:
 
 def measure_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, stats`` of every whole text, stored once for learning and judging."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = narrow(docs, id=id_col, text=text_col)
     return materialise(with_document_stats(rows, "text", "stats").select("id", "stats"))
 
 

@@ -5,15 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.blocks import narrow, text_blocks
+from paperloom.llm.blocks import map_batches, narrow, text_blocks
 from paperloom.sources.sinks import materialise
 
 ERRORS_PERCENT = 10
 BLOCK_CHARS = 4 << 20
-LEAST_CHARS = 20
+LEAST_CHARS = 1
 
 
 def normal(text: str) -> str:
@@ -177,36 +178,27 @@ def find_leaks(
     item_col: str = "item_id",
     item_text_col: str = "text",
     block_chars: int = BLOCK_CHARS,
+    least_chars: int = LEAST_CHARS,
 ) -> DataFrame:
     """``id_col, item_id, distance, start, end``: items found in a document within ``errors_percent`` edits per 100
     characters, the best place of each item, in positions of the normalised text.
 
-    Items are read in blocks of at most about ``block_chars`` characters (counted before), each sent to all tasks for
-    one map-only pass over the documents.  Null and blank texts hold nothing; null and blank items and items of
-    fewer than ``LEAST_CHARS`` characters are never found; items of equal text are each found; repeated rows each
-    give their rows; of equal distances the first place counts; empty tables give no rows.
+    Items are read in blocks (`item_blocks`), each sent to all tasks for one map-only pass over the documents; a
+    benchmark of many blocks costs as many passes.  Null and blank texts hold nothing; null and blank items and items of
+    fewer than ``least_chars`` normalised characters are never found; the error budget of an item under 10 characters
+    is 0 at 10 percent, so it must occur unchanged.  Items of equal text are each found; repeated rows each give their
+    rows; of equal distances the first place counts; empty tables give no rows.
     """
-    items = materialise(
-        narrow(benchmark, item=item_col, text=item_text_col)
-        .dropna()
-        .select(F.col("item").cast("bigint").alias("item"), "text")
-        .distinct()
-    )
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = -(-chars // block_chars)
     rows = narrow(docs, id=id_col, text=text_col).select(F.col("id").cast("bigint").alias("id"), "text")
     schema = "id bigint, item_id bigint, distance int, start bigint, end bigint"
     found = docs.sparkSession.createDataFrame([], schema)
-    for b in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).orderBy("item").collect()
-        texts = [(r["item"], normal(r["text"])) for r in own]
-        held = docs.sparkSession.sparkContext.broadcast([t for t in texts if len(t[1]) >= LEAST_CHARS])
+    for held in item_blocks(benchmark, item_col, item_text_col, block_chars, least_chars):
 
         def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            finder = Finder(held.value, errors_percent) if held.value else None
+            finder = Finder(held.value, errors_percent)
             for batch, text in text_blocks(batches, "text"):
                 hits = []
-                for i, t in zip(batch.column(0).to_pylist(), text.to_pylist(), strict=True) if finder else ():
+                for i, t in zip(batch.column(0).to_pylist(), text.to_pylist(), strict=True):
                     hits += [(i, *hit) for hit in finder.search(normal(t))]
                 if hits:
                     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
@@ -215,13 +207,55 @@ def find_leaks(
                         ["id", "item_id", "distance", "start", "end"],
                     )
 
-        found = found.unionByName(rows.mapInArrow(search, schema))
+        found = found.unionByName(map_batches(rows, search, schema))
     return found.withColumnRenamed("id", id_col)
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents without any item, with all their columns.  A row without an id stays only if clean itself is
-    unknown: it can't be told apart, so it stays."""
-    leaks = find_leaks(docs, benchmark, id_col=id_col, **options)
-    gone = materialise(leaks.select(F.col(id_col).alias("_gone")).distinct())
-    return docs.join(gone, F.col(f"`{id_col}`").cast("bigint") == F.col("_gone"), "left_anti")
+def item_blocks(
+    benchmark: DataFrame, item_col: str, item_text_col: str, block_chars: int, least_chars: int
+) -> list[Broadcast]:
+    """Distinct (item id, normalised text) in blocks of about ``block_chars`` characters at most, counted before any is
+    collected, each as a broadcast value."""
+    spark = benchmark.sparkSession
+    items = materialise(
+        narrow(benchmark, item=item_col, text=item_text_col)
+        .dropna()
+        .select(F.col("item").cast("bigint").alias("item"), "text")
+        .distinct()
+    )
+    blocks = -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars)
+    out = []
+    for b in range(blocks):
+        own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).orderBy("item", "text").collect()
+        texts = [(r["item"], normal(r["text"])) for r in own]
+        texts = [t for t in texts if len(t[1]) >= max(1, least_chars)]
+        if texts:
+            out.append(spark.sparkContext.broadcast(texts))
+    return out
+
+
+def drop_leaks(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    errors_percent: int = ERRORS_PERCENT,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    block_chars: int = BLOCK_CHARS,
+    least_chars: int = LEAST_CHARS,
+) -> DataFrame:
+    """The documents without any item, with all their columns.
+
+    Every row is judged by its own text in the pass that filters, so a row without an id goes if it holds an item, and
+    of two rows of one id only the one that does.  Rows with a null or empty text stay.
+    """
+    for held in item_blocks(benchmark, item_col, item_text_col, block_chars, least_chars):
+
+        def clean(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            finder = Finder(held.value, errors_percent)
+            for batch, text in text_blocks(batches, text_col):
+                keep = pa.array([not finder.search(normal(t)) for t in text.to_pylist()], pa.bool_())
+                yield batch.filter(keep)
+
+        docs = map_batches(docs, clean, docs.schema)
+    return docs

@@ -12,6 +12,7 @@ from paperloom.sources.sinks import materialise
 
 SHARDS = 8
 ROUNDS = 5
+SETTLED = 0.002
 
 
 def quotas(wanted: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,12 +54,15 @@ def _votes(edges: DataFrame, labels: DataFrame, shards: int, turn: int) -> DataF
     return best.where(gain > 0).select("id", F.col("shard").alias("at"), to.alias("to"), gain.alias("gain"))
 
 
-def balanced_labels(nodes: DataFrame, edges: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def balanced_labels(
+    nodes: DataFrame, edges: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, settled: float = SETTLED
+) -> DataFrame:
     """``id, shard`` of ``nodes`` (unique ``id`` from 0, gapless) linked by ``edges`` (id, other).
 
     Nodes start dealt out in turn, so counts are at most one apart, and stay so: in each round linked nodes ask
     their neighbours, the strongest gains move within the quotas of their pair of shards, and unlinked nodes make
-    room.  Only linked nodes take part in the joins; of the others just counts matter until the end.  The driver
+    room.  Rounds end after ``rounds``, when nothing moves, or when less than the share ``settled`` of the linked nodes
+    would (0: only when nothing does).  Only linked nodes take part in the joins; of the others just counts matter until the end.  The driver
     sees shards x shards counts.
     """
     both = materialise(edges.unionByName(edges.select(F.col("other").alias("id"), F.col("id").alias("other"))))
@@ -77,7 +81,7 @@ def balanced_labels(nodes: DataFrame, edges: DataFrame, shards: int = SHARDS, ro
         for r in wishes.groupBy("at", "to").count().collect():
             wanted[r["at"], r["to"]] = r["count"]
         moves, fill = quotas(wanted, free)
-        if moves.sum() * 500 < linked:
+        if not moves.sum() or moves.sum() < settled * linked:
             break
         free = free - fill.sum(axis=1) + fill.sum(axis=0)
         room = F.array(*(F.array(*(F.lit(int(x)) for x in row)) for row in moves))
@@ -101,7 +105,12 @@ def balanced_labels(nodes: DataFrame, edges: DataFrame, shards: int = SHARDS, ro
 
 
 def shard_documents(
-    docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    shards: int = SHARDS,
+    rounds: int = ROUNDS,
+    settled: float = SETTLED,
+    id_col: str = "doc_id",
+    text_col: str = "text",
 ) -> DataFrame:
     """Shard and slot of every row; documents of equal text are linked, each to the first of them.
 
@@ -111,7 +120,7 @@ def shard_documents(
     with empty and null texts.  Rows without an id and repeated rows are rows like others; an empty table gives none.
     """
     text = F.coalesce("text", F.lit("")).cast("binary")
-    rows = narrow(docs, doc="" + id_col, text=text_col).select(
+    rows = narrow(docs, doc=id_col, text=text_col).select(
         "doc",
         F.sha1(text).alias("digest"),
         (F.octet_length(text) + 1).cast("bigint").alias("size"),
@@ -122,7 +131,7 @@ def shard_documents(
         nodes.groupBy("digest").agg(F.min("id").alias("other"), F.count(F.lit(1)).alias("n")).where("n > 1")
     )
     edges = materialise(nodes.join(first, "digest").where("id > other").select("id", "other"))
-    labels = materialise(balanced_labels(nodes.select("id"), edges, shards, rounds))
+    labels = materialise(balanced_labels(nodes.select("id"), edges, shards, rounds, settled))
     placed = nodes.join(labels, "id").join(edges, "id", "left")
     slots = number_in_group(
         placed.select("doc", "id", "size", "text_crc32", "shard", F.coalesce("other", "id").alias("copy_group")),

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.blocks import WIDE_BLOCK_BYTES, narrow, text_blocks
+from paperloom.llm.blocks import WIDE_BLOCK_BYTES, map_batches, narrow, text_blocks
 from paperloom.llm.codecs import BytePairCodec, model_bytes, shared
 from paperloom.llm.storage import attempt_name, create, open_read
 from paperloom.session import shared_folder
@@ -111,7 +111,8 @@ def write_token_files(
 
     One shuffle brings the documents into id ranges; each range becomes one part of files.  Returns the folder and
     the manifest (part, file, n_docs, n_tokens).  Null and empty texts give the end id alone, rows without an id
-    come first, rows of the same id are ordered by text, an empty table gives no file.
+    come first, rows of the same id are ordered by a hash of their text (by which they spread over ranges) and the
+    text, an empty table gives no file.
     """
     spark = docs.sparkSession
     folder = folder or shared_folder(spark)
@@ -147,9 +148,13 @@ def write_token_files(
             )
 
     ordered = (
-        narrow(docs, id=id_col, text=text_col).repartitionByRange("id").sortWithinPartitions("id", "text")
+        narrow(docs, id=id_col, text=text_col)
+        .withColumn("turn", F.xxhash64("text"))
+        .repartitionByRange("id", "turn")
+        .sortWithinPartitions("id", "turn", "text")
+        .select("id", "text")
     )
-    return folder, materialise(ordered.mapInArrow(write, MANIFEST))
+    return folder, materialise(map_batches(ordered, write, MANIFEST))
 
 
 def index_schema(batch: pa.RecordBatch) -> pa.Schema:
@@ -188,8 +193,5 @@ def read_token_index(folder: str, manifest: DataFrame, id_type: str = "bigint")
                     )
 
     parts = max(1, manifest.count())
-    return (
-        with_starts(manifest)
-        .repartition(parts, "part")
-        .mapInArrow(read, f"id {id_type}, start bigint, n_tokens bigint, ids_crc32 bigint")
-    )
+    dealt = with_starts(manifest).repartition(parts, "part")
+    return map_batches(dealt, read, f"id {id_type}, start bigint, n_tokens bigint, ids_crc32 bigint")

@@ -15,10 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.llm.blocks import WIDE_BLOCK_BYTES, raw, row_of, split_words, sum_rows, text_blocks, widened
+from paperloom.llm.blocks import (
+    WIDE_BLOCK_BYTES, map_batches, narrow, raw, row_of, split_words, sum_rows, text_blocks, widened,
+)
 from paperloom.llm.labelled import CALIBRATION_FOLD, fold, isotonic_steps, training_labels
 from paperloom.sources.sinks import materialise
 
+LEXICON_FOLDS = (1, 2)  # learned from by the lexicon alone; the fold after them fits the trees
 LEXICON_DOCS = 6_000  # labelled documents of each class that the lexicon is learned from
 LEXICON_ENTRIES = 4_000
 LEAST_SUPPORT = 4
@@ -65,10 +68,11 @@ def plain_form(word: str) -> str:
 def learn_lexicon(docs: DataFrame, labels: DataFrame) -> Lexicon:
     """Terms by document counts in a bounded sample of labelled training documents of each class.
 
-    The sample is the `LEXICON_DOCS` rows of each class with the smallest hash of their id; its ids are few enough to
-    be sent to all executors, so no text is shuffled.
+    The sample is the `LEXICON_DOCS` rows of each class with the smallest hash of their id in `LEXICON_FOLDS`; its ids
+    are few enough to be sent to all executors, so no text is shuffled.
     """
-    rows = materialise(training_labels(labels, "toxic").withColumn("h", F.xxhash64("id")))
+    own = training_labels(labels, "toxic").where(fold("id").isin(*LEXICON_FOLDS))
+    rows = materialise(own.withColumn("h", F.xxhash64("id")))
     sample = None
     for value in (0.0, 1.0):
         part = rows.where(F.col("label") == value).orderBy("h", "id").limit(LEXICON_DOCS).select("id", "label")
@@ -158,38 +162,44 @@ def with_toxic_features(docs: DataFrame, lexicon: Lexicon, text_col: str, out: s
             column = pa.ListArray.from_arrays(ends, pa.array(x.ravel()))
             yield pa.record_batch([*batch.columns, column], [*batch.schema.names, out])
 
-    return docs.mapInArrow(measure, schema)
+    return map_batches(docs, measure, schema)
 
 
-def _step_column(raw_col: Column, steps: tuple[np.ndarray, np.ndarray]) -> Column:
-    """Calibrated score of a margin, with a hundredth of the margin's own order."""
+def calibrated(margins: DataFrame, steps: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """``id, score`` of rows ``id, raw``: the step that a margin is on, with a hundredth of the margin's own order."""
     at, value = steps
-    pairs = F.array(*(F.struct(F.lit(float(a)).alias("at"), F.lit(float(v)).alias("v")) for a, v in zip(at, value, strict=True)))
     spread = float(at[-1] - at[0]) or 1.0
-    level = F.aggregate(pairs, F.lit(float(value[0])), lambda acc, s: F.when(raw_col >= s["at"], s["v"]).otherwise(acc))
-    rank = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (raw_col - float(at[0])) / spread))
-    return 0.99 * level + 0.01 * rank
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw_score = batch.column(1).to_numpy()
+            level = value[np.maximum(np.searchsorted(at, raw_score, "right") - 1, 0)]
+            rank = np.clip((raw_score - at[0]) / spread, 0.0, 1.0)
+            yield pa.record_batch([batch.column(0), pa.array(0.99 * level + 0.01 * rank)], ["id", "score"])
+
+    kind = margins.schema["id"].dataType.simpleString()
+    return map_batches(margins.select("id", "raw"), look_up, f"id {kind}, score double")
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, score``: one row per document, the score higher where label 1 is likelier.
 
-    The lexicon, the trees and the isotonic steps are fitted on labelled rows that are not held out; trees and steps
-    on separate folds.  Null and empty texts have zero features; repeated rows score alike; rows without an id are
+    The lexicon, the trees and the isotonic steps are fitted on labelled rows that are not held out, each on folds of
+    its own, so that trees and steps see features of documents that the lexicon was not learned from.  Null and empty texts have zero features; repeated rows score alike; rows without an id are
     scored and never learned from; without labelled rows of both classes every score is 0; an empty table gives no
     rows.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = narrow(docs, id=id_col, text=text_col)
     lexicon = learn_lexicon(rows, labels)
     measured = materialise(with_toxic_features(rows, lexicon, "text", "x").select("id", "x"))
     learned = measured.join(training_labels(labels, "toxic"), "id").withColumn("fold", fold("id"))
     learned = materialise(learned.select(array_to_vector("x").alias("features"), "label", "fold"))
-    part = learned.where(F.col("fold") != CALIBRATION_FOLD)
+    part = learned.where(~F.col("fold").isin(CALIBRATION_FOLD, *LEXICON_FOLDS))
     if part.agg(F.count_distinct("label")).first()[0] < 2:
         return measured.select(F.col("id").alias(id_col), F.lit(0.0).alias("score"))
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=32, stepSize=0.2, seed=7).fit(part.coalesce(6))
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=32, stepSize=0.2, seed=7).fit(part)
     margin = vector_to_array("rawPrediction")[1]
     held = model.transform(learned.where(F.col("fold") == CALIBRATION_FOLD)).select(margin.alias("raw"), "label")
     steps = isotonic_steps(materialise(held))
     scored = model.transform(measured.withColumn("features", array_to_vector("x")))
-    return scored.select(F.col("id").alias(id_col), _step_column(margin, steps).alias("score"))
+    return calibrated(scored.select("id", margin.alias("raw")), steps).withColumnRenamed("id", id_col)

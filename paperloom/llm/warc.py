@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.blocks import narrow, text_blocks
+from paperloom.llm.blocks import map_batches, narrow, text_blocks
 from paperloom.llm.storage import attempt_name, create, open_read
 from paperloom.session import shared_folder
 from paperloom.sources.sinks import materialise
@@ -21,6 +21,7 @@ INDEX = (
 )
 GAP = 64 << 10
 SPAN = 8 << 20
+TASK_BYTES = 64 << 20
 DATE = "2000-01-01T00:00:00Z"  # archives of the same pages are equal byte for byte
 RECORD_ID = "<urn:page:{}>"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -138,13 +139,16 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
     rows = first_of_equal(pages, least_bytes).drop("digest")
     rows = rows.select(F.col("id").cast("bigint").alias("id"), F.col("url").cast("string").alias("url"), "html",
                        F.col("original").cast("bigint").alias("original"))
-    return folder, materialise(rows.mapInArrow(write, INDEX))
+    return folder, materialise(map_batches(rows, write, INDEX))
 
 
-def read_records(folder: str, index: DataFrame, gap: int = GAP, span: int = SPAN) -> DataFrame:
+def read_records(
+    folder: str, index: DataFrame, gap: int = GAP, span: int = SPAN, task_bytes: int = TASK_BYTES
+) -> DataFrame:
     """The records that ``index`` selects, from the archives.
 
-    Index rows are brought into (file, offset) ranges and sorted; neighbours at most ``gap`` bytes apart are fetched
+    Index rows are brought into (file, offset) ranges, one for every ``task_bytes`` that are wanted, whatever the size of
+    the index itself, and sorted; neighbours at most ``gap`` bytes apart are fetched
     by one read of at most ``span`` bytes (a longer record by itself).  Each payload is checked against its digest.
     Returns page_id, url, record_type, refers_to, payload_digest, payload_bytes and the payload (null for revisits).
     """
@@ -195,8 +199,11 @@ def read_records(folder: str, index: DataFrame, gap: int = GAP, span: int = SPAN
         if run:
             yield from fetch(source, run)
 
-    sought = index.select("file", "offset", "length").repartitionByRange("file", "offset")
-    return sought.sortWithinPartitions("file", "offset").mapInArrow(
+    wanted = index.agg(F.sum("length")).first()[0] or 0
+    ranges = max(1, -(-wanted // task_bytes))
+    sought = index.select("file", "offset", "length").repartitionByRange(ranges, "file", "offset")
+    return map_batches(
+        sought.sortWithinPartitions("file", "offset"),
         read,
         "page_id bigint, url string, record_type string, refers_to bigint, payload_digest string, "
         "payload_bytes bigint, payload binary",

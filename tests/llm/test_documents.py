@@ -204,13 +204,31 @@ def test_leaks(spark):
     bench = spark.createDataFrame([(1, item), (2, None), (3, " "), (None, item), (4, "x x x"), (5, item)], "item_id bigint, text string")
     frame = table(spark, docs, EXTRA)
     got = sorted((r.doc_id, r.item_id, r.distance) for r in find_leaks(frame, bench).collect())
-    assert [g[:2] for g in got] == [(20, 1), (20, 5), (21, 1), (21, 5)] and got[0][2] == 0
+    assert [g[:2] for g in got] == [(6, 4), (20, 1), (20, 5), (21, 1), (21, 5)] and got[0][2] == got[1][2] == 0
+    longer = find_leaks(frame, bench, least_chars=6).select("doc_id", "item_id").collect()
+    assert sorted(map(tuple, longer)) == [g[:2] for g in got[1:]]
     assert sorted((r.doc_id, r.item_id) for r in find_leaks(frame, bench, block_chars=40).collect()) == [g[:2] for g in got]
     left = drop_leaks(frame, bench)
-    assert left.columns == frame.columns and left.count() == len(docs) - 2
+    assert left.columns == frame.columns and left.count() == len(docs) - 3
+    odd = table(spark, [(None, "so " + item), (7, "fine"), (7, item), (8, None), (9, ""), (8, None)], EXTRA)
+    assert sorted((r.doc_id, r.text or "") for r in drop_leaks(odd, bench).collect()) == [(7, "fine"), (8, ""), (8, ""), (9, "")]
     assert find_leaks(frame, bench.limit(0)).count() == find_leaks(table(spark, []), bench).count() == 0
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 10_000))
+def test_places_of_leaks(seed):
+    """Start and end are the first end of least distance and the longest start that gives it."""
+    draw = random.Random(seed)
+    item = "".join(draw.choice("abc") for _ in range(draw.randint(1, 30)))
+    text = "".join(draw.choice("abc") for _ in range(20))
+    for _ in range(2):  # a second, equally good place
+        text += item + "".join(draw.choice("abc") for _ in range(10))
+    found = Finder([(1, item)], 10).search(text)
+    assert [(f[0], f[1]) for f in found] == [(1, 0)]
+    assert (found[0][2], found[0][3]) == (text.index(item), text.index(item) + len(item))
+
+
 def test_quotas_keep_sizes():
     draw = np.random.default_rng(2)
     for _ in range(50):

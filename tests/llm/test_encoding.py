@@ -17,7 +17,7 @@ from paperloom.llm.unigram import PrefixCounter, _word_counts, count_tokens, dec
 BPE, PIECES = tokenizers_files.path("byte_bpe_50k.json"), tokenizers_files.path("piece_bpe_32k.model")
 ODD = [
     "", " ", "a", "  a  b ", "x.\ny", "x. \ny!!", "don't", " a b", "日本 語語😀 ▁x", "a" * 3000, "ab,cd ef,", " .",
-    "Hello\n", "<|endoftext|> a", "x !! y", "tab\t a", "é.", "ﬁn ²³", "á. b", "A.B.C. d..",
+    "Hello\n", "<|endoftext|> a", "hi <|endoftext|> there", "<|endoftext|><|endoftext|>", "x<|endoftext|.", "x !! y", "tab\t a", "é.", "ﬁn ²³", "á. b", "A.B.C. d..",
 ]
 ALPHABET = st.text(alphabet="ab é.\n\t,!1日😀▁ '", max_size=60)
 
@@ -26,9 +26,7 @@ ALPHABET = st.text(alphabet="ab é.\n\t,!1日😀▁ '", max_size=60)
 def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(BPE)  # as it is: its added token is found in texts
 
 
 @pytest.fixture(scope="module")
