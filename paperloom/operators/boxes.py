@@ -1,8 +1,8 @@
 """Locating field values among OCR word boxes.
 
-Words are spread by ``(doc_id, block of p)``, so a page dump with a huge number of words is
-shared by many tasks.  A block also receives the few words that follow it, so that a box which
-starts in one block is finished there; words are shuffled once.
+Words are read once and shuffled once, by ``(doc_id, salt of the block)``, so a page dump with a huge number of words is
+shared by many tasks.  A block is searched where it is gathered; what is left of a box that starts near a block's end
+is found among the first few words of the blocks after it, which are all that moves a second time.
 """
 
 from __future__ import annotations
@@ -11,11 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as tx
-from paperloom.operators.ranking import position_in_group
 from paperloom.schemas import BOX_TYPE, FIELD_ORDER
+from paperloom.sources.sinks import materialise
 
 WORD_BLOCK = 4096
 SPAN_EXTRA = 2
+SALTS = 32  # tasks that share the words of one long page
 
 
 def usable_words(ocr: DataFrame) -> DataFrame:
@@ -29,9 +30,26 @@ def usable_words(ocr: DataFrame) -> DataFrame:
 
 
 def word_boxes(ocr: DataFrame, block: int = WORD_BLOCK) -> DataFrame:
-    """Usable words with their number in the page; numbering comes after filtering."""
-    placed = position_in_group(usable_words(ocr), ["doc_id"], "p", out="word_idx", block=block)
-    return placed.select("doc_id", F.col("word_idx").cast("bigint").alias("word_idx"), "text", "x", "y", "w", "h")
+    """Usable words with their number in the page; numbering comes after filtering.
+
+    Words are numbered within blocks of positions; only blocks after a page's first have words before them, so pages
+    of one block meet no offset.
+    """
+    words = usable_words(ocr).withColumn("block", _block(block))
+    sizes = words.groupBy("doc_id", "block").agg(F.count(F.lit(1)).alias("_size"))
+    offsets = sizes.withColumn("_offset", F.sum("_size").over(_blocks_before())).where("block > 0").drop("_size")
+    in_block = Window.partitionBy("doc_id", "block").orderBy("p")
+    placed = words.join(offsets, ["doc_id", "block"], "left").withColumn("_at", F.row_number().over(in_block) - 1)
+    number = (F.coalesce("_offset", F.lit(0)) + F.col("_at")).cast("bigint")
+    return placed.select("doc_id", number.alias("word_idx"), "text", "x", "y", "w", "h")
+
+
+def _block(width: int) -> Column:
+    return F.floor(F.col("p") / width).cast("bigint")
+
+
+def _blocks_before():
+    return Window.partitionBy("doc_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
 
 
 def field_probes(fields: DataFrame) -> DataFrame:
@@ -54,94 +72,83 @@ def field_probes(fields: DataFrame) -> DataFrame:
     return probes.withColumn("_reach", F.array_max(F.transform("probes", lambda v: v.n_words)) + (SPAN_EXTRA - 1))
 
 
-def look_ahead(words: DataFrame, probes: DataFrame, block: int) -> DataFrame:
-    """For each block, the next ``_reach`` usable words after it, marked with that block.
+def searched_blocks(fields: DataFrame, ocr: DataFrame, block: int, salts: int) -> DataFrame:
+    """One row per block of the pages that have fields, stored: ``_offset`` (usable words before it), ``_boxes`` (for each
+    field whose prefix occurs in it the first place, the box as far as this block goes, and how many words of the span
+    are missing) and, but for a page's first block, ``_head``, its first ``_reach`` words.
 
-    Only words beyond the first block are read, and that filter reaches the scan; documents of one
-    block cost nothing here.
+    The fields are stored once per salt, as rows of a few words each; the stored table is what Catalyst may turn into
+    a run-time filter of documents at the scan of the words.  A block is gathered into one array, which its width
+    bounds, in the partitions of the join, so words move once.
     """
-    later = words.where(F.col("p") >= block)
-    in_block = Window.partitionBy("doc_id", "block").orderBy("p")
-    ranked = later.withColumn("_rank", F.row_number().over(in_block) - 1)
-    through = Window.partitionBy("doc_id").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
-    sizes = later.groupBy("doc_id", "block").agg(F.count(F.lit(1)).alias("_size"))
-    ends = sizes.withColumn("_end", F.sum("_size").over(through))
-    first = ends.select("doc_id").distinct().select("doc_id", F.lit(0).cast("bigint").alias("block"), F.lit(0).cast("bigint").alias("_end"))
-    # A block ends at word `_end` and wants the words up to `_end + _reach`.  Blocks meet on the
-    # stretch of `_reach` words in which one ends and the other starts, never all with all: every
-    # block here has a word of its own, so a stretch holds at most `_reach` ends.
-    stretch = F.col("_reach").cast("bigint")
-    reach = probes.select("doc_id", "_reach")
-    targets = (
-        ends.select("doc_id", "block", "_end").unionByName(first).join(reach, "doc_id")
-        .select("doc_id", F.col("block").alias("_target"), "_end", "_reach", F.floor(F.col("_end") / stretch).alias("_stretch"))
-    )
-    start = F.col("_end") - F.col("_size")
-    here = F.floor(start / stretch)
-    sources = ends.join(reach, "doc_id").select(
-        "doc_id", F.col("block").alias("_source"), start.alias("_start"), F.explode(F.array(here, here - 1)).alias("_stretch")
-    )
-    near = (
-        targets.join(sources, ["doc_id", "_stretch"])
-        .where((F.col("_source") > F.col("_target")) & (F.col("_start") - F.col("_end") < F.col("_reach")))
-        .select("doc_id", "_target", "_source", (F.col("_end") + F.col("_reach") - F.col("_start")).alias("_take"))
-    )
-    moved = ranked.join(near, (ranked["doc_id"] == near["doc_id"]) & (ranked["block"] == near["_source"]))
-    return moved.where(F.col("_rank") < F.col("_take")).select(
-        ranked["doc_id"], "p", "text", "x", "y", "w", "h", F.col("_target").alias("block")
-    )
-
-
-def locate_fields(fields: DataFrame, ocr: DataFrame, block: int = WORD_BLOCK) -> DataFrame:
-    """Anchor and box of every field value that occurs on its page, one row per located field.
-
-    The anchor is the first word that starts with the value's prefix; the box is the union over the
-    anchor and the words after it, value length plus two in all, cut at the page end.
-
-    A block is gathered into one array, which its width bounds.  ``fields`` is read more than once,
-    so it should be a stored table rather than a running extraction.
-    """
-    probes = field_probes(fields)
-    words = usable_words(ocr).withColumn("block", F.floor(F.col("p") / block).cast("bigint"))
-    own = words.withColumn("lower", F.lower("text"))
-    ahead = look_ahead(words, probes, block).withColumn("lower", F.lit(None).cast("string"))
-    spread = probes.join(words.select("doc_id", "block").distinct(), "doc_id").drop("_reach")
-
+    probes = field_probes(fields).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    probes = materialise(probes).where(F.col("_salt") >= 0)
+    words = usable_words(ocr).withColumn("block", _block(block))
+    words = words.withColumn("_salt", F.pmod("block", F.lit(salts)).cast("int")).withColumn("lower", F.lower("text"))
     word = F.struct("p", "lower", "x", "y", (F.col("x") + F.col("w")).alias("right"), (F.col("y") + F.col("h")).alias("low"))
-    gathered = own.unionByName(ahead).groupBy("doc_id", "block").agg(
-        F.array_sort(F.collect_list(word)).alias("words"), F.count("lower").alias("_size")
+    gathered = words.join(probes, ["doc_id", "_salt"]).groupBy("doc_id", "_salt", "block").agg(
+        F.array_sort(F.collect_list(word)).alias("words"), F.first("probes").alias("probes"), F.first("_reach").alias("_reach")
     )
-    before = Window.partitionBy("doc_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
 
     def start(v: Column) -> Column:
         """Place of the first word of this block that starts with the prefix; zero when there is none."""
         return F.array_position(F.transform("words", lambda t: F.startswith(t.lower, v.prefix)), True)
 
-    def reach(v: Column) -> Column:
-        return F.slice("words", v.at.cast("int"), v.n_words + SPAN_EXTRA)
-
     def box(v: Column) -> Column:
         left, top = F.array_min(F.transform(v.span, lambda t: t.x)), F.array_min(F.transform(v.span, lambda t: t.y))
         right, low = F.array_max(F.transform(v.span, lambda t: t.right)), F.array_max(F.transform(v.span, lambda t: t.low))
         return F.struct(
             v.field_ord.alias("field_ord"), v.at.alias("at"), v.n_words.alias("n_words"),
-            left.alias("x"), top.alias("y"), (right - left).alias("w"), (low - top).alias("h"),
+            (v.n_words + SPAN_EXTRA - F.size(v.span)).alias("missing"),
+            left.alias("left"), top.alias("top"), right.alias("right"), low.alias("low"),
         )
 
     hits = F.filter(F.transform("probes", lambda v: v.withField("at", start(v))), lambda v: v.at > 0)
-    spans = F.transform("_hits", lambda v: v.withField("span", reach(v)))
-    boxed = (
-        gathered.join(spread, ["doc_id", "block"])
-        .withColumn("_hits", hits)
-        .withColumn("_boxes", F.transform(spans, box))
-        .select("doc_id", "block", "_size", "_boxes")
-        .withColumn("_offset", F.coalesce(F.sum("_size").over(before), F.lit(0)))
-        .select("doc_id", "_offset", F.inline("_boxes"))
+    spans = F.transform("_hits", lambda v: v.withField("span", F.slice("words", v.at.cast("int"), v.n_words + SPAN_EXTRA)))
+    head = F.transform(F.slice("words", F.lit(1), F.col("_reach")), lambda t: F.struct(t.x.alias("x"), t.y.alias("y"), t.right.alias("right"), t.low.alias("low")))
+    searched = gathered.withColumn("_hits", hits).select(
+        "doc_id", "block", "_reach", F.size("words").alias("_size"), F.transform(spans, box).alias("_boxes"),
+        F.when(F.col("block") > 0, head).alias("_head"),
     )
-    first = F.min(F.struct((F.col("_offset") + F.col("at") - 1).alias("word_idx"), "n_words", "x", "y", "w", "h")).alias("_first")
+    before = F.coalesce(F.sum("_size").over(_blocks_before()), F.lit(0))
+    return materialise(searched.withColumn("_offset", before))
+
+
+def locate_fields(fields: DataFrame, ocr: DataFrame, block: int = WORD_BLOCK, salts: int = SALTS) -> DataFrame:
+    """Anchor and box of every field value that occurs on its page, one row per located field.
+
+    The anchor is the first word that starts with the value's prefix; the box is the union over the
+    anchor and the words after it, value length plus two in all, cut at the page end.
+    """
+    searched = searched_blocks(fields, ocr, block, salts)
+    found = searched.select("doc_id", "_offset", "_reach", F.inline("_boxes"))
+    parts = ("n_words", "missing", "_reach", "left", "top", "right", "low")
+    first = found.groupBy("doc_id", "field_ord").agg(
+        F.min(F.struct((F.col("_offset") + F.col("at") - 1).alias("word_idx"), *parts)).alias("_first")
+    )
+    first = first.select("doc_id", "field_ord", "_first.*")
+    # Words numbered `_next` to `_next + missing - 1` are still to come.  Each is among the first `_reach` of its block;
+    # spans and words meet on stretches of `_reach` numbers, of which a span touches two at most.
+    open_spans = first.where("missing > 0").withColumn("_next", F.col("word_idx") + F.col("n_words") + SPAN_EXTRA - F.col("missing"))
+    ends = F.array_distinct(F.array(*(F.floor(n / F.col("_reach")) for n in (F.col("_next"), F.col("_next") + F.col("missing") - 1))))
+    spans = open_spans.select("doc_id", "field_ord", "_next", "missing", F.explode(ends).alias("_stretch"))
+    heads = searched.where("block > 0").select("doc_id", "_offset", "_reach", F.posexplode("_head").alias("_at", "_word"))
+    heads = heads.withColumn("_number", F.col("_offset") + F.col("_at"))
+    heads = heads.select("doc_id", F.floor(F.col("_number") / F.col("_reach")).alias("_stretch"), "_number", "_word.*")
+    more = (
+        spans.join(heads, ["doc_id", "_stretch"])
+        .where((F.col("_number") >= F.col("_next")) & (F.col("_number") < F.col("_next") + F.col("missing")))
+        .groupBy("doc_id", "field_ord")
+        .agg(
+            F.min("x").alias("_left"), F.min("y").alias("_top"), F.max("right").alias("_right"), F.max("low").alias("_low"),
+        )
+    )
+    left, top = F.least("left", "_left"), F.least("top", "_top")
+    right, low = F.greatest("right", "_right"), F.greatest("low", "_low")
     names = F.array(*[F.lit(n) for n in FIELD_ORDER])
-    return boxed.groupBy("doc_id", "field_ord").agg(first).select(
-        "doc_id", "field_ord", F.get(names, F.col("field_ord")).alias("field"), "_first.*"
+    return first.join(more, ["doc_id", "field_ord"], "left").select(
+        "doc_id", "field_ord", F.get(names, F.col("field_ord")).alias("field"), "word_idx", "n_words",
+        left.alias("x"), top.alias("y"), (right - left).alias("w"), (low - top).alias("h"),
     )
 
 

@@ -48,6 +48,56 @@ def test_boxes_match_a_plain_loop(spark, block, seed):
     assert got == by_hand(words, fields)
 
 
+def test_a_page_of_many_blocks(spark):
+    """A page beyond one block of the usual width: boxes run over the edge, over a stretch of unusable words and over
+    blocks of one word; numbers go on from block to block."""
+    rng = random.Random(1)
+    words = [(1, p, rng.choice(["aa", "bb", "cc"]), p % 97, p % 89, 1 + p % 7, 5, 90) for p in range(9000)]
+    words[4094] = (1, 4094, "mark", 3, 4, 5, 6, 90)
+    words[4095:4500] = [(1, p, "gone", 0, 0, 1, 1, -1) for p in range(4095, 4500)]
+    words[8190] = (1, 8190, "zenith", 900, 900, 9, 9, 90)
+    words += [(1, 20_000 + 5000 * k, "tail", 100 * k, 7, 3, 3, 50) for k in range(6)] + [(2, 0, "mark", 1, 1, 1, 1, 90)]
+    values = ["mark one two three", "zenith", "tail of five words x", None, "aa", "bb cc"]
+    fields = [(1, *values), (2, *values), (3, *values)]
+    for salts in (1, 3, 32):
+        located = bx.locate_fields(spark.createDataFrame(fields, FIELDS), spark.createDataFrame(words, WORDS), salts=salts)
+        assert {(r.doc_id, r.field_ord, r.field, r.word_idx, r.x, r.y, r.w, r.h) for r in located.collect()} == by_hand(words, fields)
+
+
+def test_words_are_read_and_moved_once(spark, tmp_path):
+    words, fields = sample(3)
+    spark.createDataFrame(words, WORDS).write.parquet(str(tmp_path / "words"))
+    spark.createDataFrame(fields, FIELDS).write.parquet(str(tmp_path / "fields"))
+    plans, real = [], bx.materialise
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    confs = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    }
+    old = {k: spark.conf.get(k) for k in confs}
+    bx.materialise = noted
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        bx.locate_fields(spark.read.parquet(str(tmp_path / "fields")), spark.read.parquet(str(tmp_path / "words"))).count()
+    finally:
+        bx.materialise = real
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    search = plans[1]
+    assert search.count("/words") == 1  # one scan
+    assert "might_contain" in search  # documents without fields leave at the scan
+    below_join = search[search.index("SortMergeJoin") :]
+    scan_side = below_join[: below_join.index("/words")]
+    assert scan_side.count("Exchange hashpartitioning(doc_id") == 1
+    grouped = [line for line in scan_side.split("\n") if "Aggregate(keys=[" in line and "Aggregate(keys=[]" not in line]
+    assert not grouped  # but for the filter of documents, nothing is aggregated below the gate
+
+
 @pytest.mark.parametrize("block", [2, 5, 4096])
 def test_numbering(spark, block):
     words, _ = sample(9)
