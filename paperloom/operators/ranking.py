@@ -1,10 +1,9 @@
 """Positions within a group that never put a whole group into one task.
 
-A plain ``row_number() over (partition by g)`` sorts all of ``g`` in one task.  When ``g`` has an
-integer order column, the group splits into fixed-width blocks of that column; rows are counted
-per block (map-side combined), block counts are turned into running offsets, and only the rows
-of one block are numbered together.  A block holds at most ``block`` rows per group because the
-order value is unique within the group.
+A plain ``row_number() over (partition by g)`` sorts all of ``g`` in one task.  Here rows are dealt into ranges of the
+order columns that hold about equally many rows, whatever the values are; rows are counted per range and group
+(map-side combined), the counts become running offsets (ranges x groups rows), and only the rows of one range are
+numbered together.
 """
 
 from __future__ import annotations
@@ -14,26 +13,28 @@ from pyspark.sql import functions as F
 
 from paperloom.sources.sinks import materialise
 
-BLOCK = 4096
+RANGES = 256
 BLOCK_COL = "_block"
 OFFSET_COL = "_offset"
 
 
-def with_block(df: DataFrame, order_col: str, block: int = BLOCK) -> DataFrame:
-    return df.withColumn(BLOCK_COL, F.floor(F.col(order_col) / block).cast("bigint"))
+def cut_points(df: DataFrame, order_col: str, ranges: int = RANGES) -> list:
+    """Up to ``ranges - 1`` rising values of ``order_col`` that part its rows about evenly; one pass over the column."""
+    shares = [i / ranges for i in range(1, ranges)]
+    cuts = df.agg(F.percentile_approx(order_col, shares, max(10_000, 20 * ranges))).first()[0] if shares else None
+    return sorted(set(cuts or []))
 
 
-def block_offsets(blocked: DataFrame, group_cols: list[str], coarse_cols: list[str]) -> DataFrame:
-    """Rows of the group that lie before each block; one row per block."""
-    keys = [*group_cols, *coarse_cols, BLOCK_COL]
-    before = (
-        Window.partitionBy(*group_cols)
-        .orderBy(*coarse_cols, BLOCK_COL)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    counts = blocked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    offset = F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias(OFFSET_COL)
-    return counts.select(*keys, offset)
+def range_number(order_col: str, cuts: list) -> Column:
+    """How many cuts lie at or below the value, by halving."""
+
+    def halve(low: int, high: int) -> str:
+        if low == high:
+            return str(low)
+        middle = (low + high) // 2
+        return f"CASE WHEN `{order_col}` < {cuts[middle]} THEN {halve(low, middle)} ELSE {halve(middle + 1, high)} END"
+
+    return F.expr(halve(0, len(cuts)))
 
 
 def position_in_group(
@@ -43,19 +44,26 @@ def position_in_group(
     coarse_cols: list[str] | None = None,
     out: str = "pos",
     limit: DataFrame | Column | None = None,
-    block: int = BLOCK,
+    ranges: int = RANGES,
 ) -> DataFrame:
     """Add the zero-based position of each row in its group.
 
-    ``coarse_cols`` come before ``order_col`` in the order; the pair must be unique in the group.
+    ``coarse_cols`` come before ``order_col`` (a number) in the order; the pair must be unique in the group.
     ``limit`` keeps the first rows of each group only: a column over the group columns, or a small
     frame ``group_cols + [_limit]``.
-    Blocks that start beyond the limit are dropped before any row is shuffled for numbering.
+    Offsets are stored, so their size is known when the rows meet them: small ones are sent to the rows, and rows of
+    ranges that start beyond the limit go before any row is shuffled for numbering.
     """
     coarse = coarse_cols or []
-    blocked = with_block(df, order_col, block)
     keys = [*group_cols, *coarse, BLOCK_COL]
-    offsets = block_offsets(blocked, group_cols, coarse)
+    ranged = df.withColumn(BLOCK_COL, range_number(order_col, cut_points(df, order_col, ranges)))
+    before = (
+        Window.partitionBy(*group_cols)
+        .orderBy(*coarse, BLOCK_COL)
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    counts = ranged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    offsets = counts.select(*keys, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias(OFFSET_COL))
     if limit is not None:
         bounded = (
             offsets.join(limit, group_cols)
@@ -63,9 +71,9 @@ def position_in_group(
             else offsets.withColumn("_limit", limit)
         )
         offsets = bounded.where(F.col(OFFSET_COL) < F.col("_limit"))
-    in_block = Window.partitionBy(*keys).orderBy(order_col)
-    placed = blocked.join(offsets, keys).withColumn(
-        out, F.col(OFFSET_COL) + F.row_number().over(in_block) - 1
+    in_range = Window.partitionBy(*keys).orderBy(order_col)
+    placed = ranged.join(materialise(offsets), keys).withColumn(
+        out, F.col(OFFSET_COL) + F.row_number().over(in_range) - 1
     )
     if limit is not None:
         placed = placed.where(F.col(out) < F.col("_limit")).drop("_limit")
