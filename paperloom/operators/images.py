@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,27 +91,38 @@ def hog_stack(stack: np.ndarray, cell: int = 8, block: int = 2, bins: int = 9, c
     return unit(np.minimum(unit(blocks), clip)).reshape(n, -1)
 
 
-def otsu_level(px: np.ndarray) -> int:
-    """First level that maximises the between-class variance, levels with an empty side left out."""
-    counts = np.bincount(px, minlength=256)
-    below, mass = np.cumsum(counts), np.cumsum(counts * np.arange(256))
-    total, whole = below[-1], mass[-1]
+def otsu_levels(counts: np.ndarray) -> np.ndarray:
+    """For each row of 256 level counts the first level that maximises the between-class variance, levels with an empty
+    side left out; 0 where there is no other."""
+    below, mass = np.cumsum(counts, axis=1), np.cumsum(counts * np.arange(256), axis=1)
+    total, whole = below[:, -1:], mass[:, -1:]
     split = (below > 0) & (below < total)
-    if not split.any():
-        return 0
-    apart = total * mass.astype(np.float64) - below * float(whole)
+    apart = total * mass.astype(np.float64) - below * whole.astype(np.float64)
     spread = np.where(split, apart * apart / np.where(split, below * (total - below).astype(np.float64), 1.0), -1.0)
-    return int(np.argmax(spread))
+    return np.where(split.any(axis=1), np.argmax(spread, axis=1), 0)
 
 
-def as_levels(px) -> np.ndarray:
-    """Levels 0 to 255 of one image; others are an error."""
-    if isinstance(px, (bytes, bytearray)):
-        return np.frombuffer(px, dtype=np.uint8)
-    levels = np.asarray(px)
+def otsu_level(px: np.ndarray) -> int:
+    """The threshold of one image."""
+    return int(otsu_levels(np.bincount(px, minlength=256)[None])[0])
+
+
+def flat_levels(images) -> tuple[np.ndarray, np.ndarray]:
+    """Levels 0 to 255 of all images, one after the other, and where each starts and the last ends; other levels are an
+    error.  Pixels are bytes or arrays."""
+    images = list(images)
+    ends = np.concatenate([[0], np.cumsum([len(px) for px in images], dtype=np.int64)])
+    if all(isinstance(px, (bytes, bytearray)) for px in images):
+        return np.frombuffer(b"".join(images), np.uint8), ends
+    levels = np.concatenate([np.frombuffer(px, np.uint8) if isinstance(px, (bytes, bytearray)) else np.asarray(px) for px in images])
     if levels.size and (levels.min() < 0 or levels.max() > 255):
         raise ValueError("levels must lie between 0 and 255")
-    return levels.astype(np.uint8)
+    return levels.astype(np.uint8), ends
+
+
+def level_counts(levels: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
+    """Groups x 256 counts of levels, by one count over numbers that carry the group."""
+    return np.bincount(group * 256 + levels, minlength=groups * 256).reshape(groups, 256)
 
 
 def _usable(piece: pd.DataFrame) -> np.ndarray:
@@ -157,18 +168,24 @@ def _map_images(df: DataFrame, work: Callable[[pd.DataFrame], dict], added: list
     return df.mapInPandas(run, schema)
 
 
-def _by_size(piece: pd.DataFrame, work: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    """Apply ``work`` to stacks of equally sized images, results in row order."""
+def _by_size(piece: pd.DataFrame, work: Callable[[np.ndarray, pd.DataFrame], np.ndarray]) -> np.ndarray:
+    """Apply ``work`` to stacks of equally sized images and their rows, results in row order."""
     out = None
     for (height, width), part in piece.groupby(["height", "width"]):
-        stack = np.stack([as_levels(px) for px in part["px"]]).reshape(len(part), height, width)
-        result = work(stack)
+        result = work(flat_levels(part["px"])[0].reshape(len(part), height, width), part)
         if out is None:
             out = np.empty((len(piece), *result.shape[1:]), dtype=result.dtype)
         out[part.index] = result
     return out
 
 
+def _as_bytes(stack: np.ndarray) -> np.ndarray:
+    """A stack of images as one binary value each."""
+    out = np.empty(len(stack), dtype=object)
+    out[:] = [image.tobytes() for image in stack]
+    return out
+
+
 def resize(df: DataFrame, size: int, method: str = "lanczos") -> DataFrame:
     """Resize to ``size × size``; pixels come back as binary.
 
@@ -178,7 +195,7 @@ def resize(df: DataFrame, size: int, method: str = "lanczos") -> DataFrame:
         raise ValueError(f"method is one of {sorted(SUPPORT)}")
 
     def work(piece):
-        done = _by_size(piece, lambda s: resize_stack(s, size, method))
+        done = _by_size(piece, lambda s, _: resize_stack(s, size, method))
         return {"width": size, "height": size, "px": [img.tobytes() for img in done]}
 
     fields = [
@@ -196,7 +213,7 @@ def pixel_features(df: DataFrame, size: int = 64) -> DataFrame:
     """Pixels after a bicubic resize, as ``features``."""
 
     def work(piece):
-        flat = _by_size(piece, lambda s: resize_stack(s, size, "bicubic").reshape(len(s), -1).astype(np.float64))
+        flat = _by_size(piece, lambda s, _: resize_stack(s, size, "bicubic").reshape(len(s), -1).astype(np.float64))
         return {"features": list(flat)}
 
     return _map_images(df, work, FEATURES).drop("px", "width", "height")
@@ -207,7 +224,7 @@ def hog_features(df: DataFrame, size: int = 128, cell: int = 8) -> DataFrame:
 
     def work(piece):
         flat = _by_size(
-            piece, lambda s: hog_stack(resize_stack(s, size, "bicubic") / 255.0, cell)
+            piece, lambda s, _: hog_stack(resize_stack(s, size, "bicubic") / 255.0, cell)
         )
         return {"features": list(flat)}
 
@@ -219,14 +236,15 @@ def to_gray(images: DataFrame) -> DataFrame:
     red, green, blue = LUMA_WEIGHTS
 
     def work(piece):
-        gray = []
-        for height, width, channels, data in zip(piece["height"], piece["width"], piece["nChannels"], piece["data"]):
-            px = np.frombuffer(data, dtype=np.uint8).reshape(height, width, channels).astype(np.int64)
+        gray = np.empty(len(piece), dtype=object)
+        for (height, width, channels), part in piece.groupby(["height", "width", "nChannels"]):
+            px = np.frombuffer(b"".join(part["data"]), np.uint8).reshape(len(part), height * width, channels)
             if channels == 1:
                 level = px[..., 0]
             else:
-                level = (px[..., 2] * red + px[..., 1] * green + px[..., 0] * blue + 32768) >> 16
-            gray.append(level.astype(np.uint8).tobytes())
+                wide = px.astype(np.int64)
+                level = ((wide[..., 2] * red + wide[..., 1] * green + wide[..., 0] * blue + 32768) >> 16).astype(np.uint8)
+            gray[part.index] = [row.tobytes() for row in level]
         return {"px": gray}
 
     return _map_images(images, work, [T.StructField("px", T.BinaryType())]).drop("data", "nChannels", "mode")
@@ -236,41 +254,62 @@ def otsu(df: DataFrame) -> DataFrame:
     """Threshold of each image, and its pixels above the threshold as 255, others as 0."""
 
     def work(piece):
-        levels = [as_levels(px) for px in piece["px"]]
-        cut = [otsu_level(px) for px in levels]
-        return {"threshold": cut, "binary": [np.where(px > t, 255, 0).astype(np.uint8).tobytes() for px, t in zip(levels, cut)]}
+        levels, ends = flat_levels(piece["px"])
+        row = np.repeat(np.arange(len(piece)), np.diff(ends))
+        cut = otsu_levels(level_counts(levels, row, len(piece)))
+        white = np.where(levels > cut[row], 255, 0).astype(np.uint8).tobytes()
+        bounds = ends.tolist()
+        return {"threshold": cut, "binary": [white[a:b] for a, b in zip(bounds, bounds[1:])]}
 
     return _map_images(df, work, [T.StructField("threshold", T.IntegerType()), T.StructField("binary", T.BinaryType())])
 
 
-def _augment_one(img: np.ndarray, seed: int) -> np.ndarray:
-    """Mirror with chance 0.2, turn by up to 5 degrees, then brightness and contrast by up to a fifth."""
-    draw = np.random.default_rng(seed)
-    out = img[:, ::-1] if draw.random() < 0.2 else img
-    angle = np.deg2rad(draw.uniform(-5, 5))
-    height, width = out.shape
-    y, x = np.mgrid[0:height, 0:width]
-    y, x = y - (height - 1) / 2, x - (width - 1) / 2
-    from_x = np.rint(np.cos(angle) * x - np.sin(angle) * y + (width - 1) / 2).astype(int)
-    from_y = np.rint(np.sin(angle) * x + np.cos(angle) * y + (height - 1) / 2).astype(int)
+DRAWS = 5
+TURN = 1 << 16  # fixed-point unit of the turn
+
+
+def draw(doc_id: Column, epoch: int, seed: int, number: int) -> Column:
+    """A number from 0 to 2^28 - 1: a function of document, epoch, seed and the draw's number alone."""
+    key = F.concat(doc_id.cast("string"), F.lit(f":{epoch}:{seed}:{number}"))
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 7), 16, 10).cast("int")
+
+
+def augment_stack(stack: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """Mirror with chance 0.2, turn by up to 5 degrees in tenths, then brightness and contrast by up to a fifth in
+    hundredths, in either order.  ``draws`` has `DRAWS` numbers per image; all steps are whole numbers."""
+    n, height, width = stack.shape
+    image = stack.astype(np.int64)
+    image = np.where((draws[:, 0] % 5 == 0)[:, None, None], image[:, :, ::-1], image)
+    angle = np.deg2rad((draws[:, 1] % 101 - 50) / 10.0)
+    cos, sin = (np.floor(f(angle) * TURN + 0.5).astype(np.int64)[:, None, None] for f in (np.cos, np.sin))
+    y, x = 2 * np.mgrid[0:height, 0:width] - np.array([height - 1, width - 1])[:, None, None]
+    from_x = (cos * x - sin * y + width * TURN) // (2 * TURN)
+    from_y = (sin * x + cos * y + height * TURN) // (2 * TURN)
     inside = (from_x >= 0) & (from_x < width) & (from_y >= 0) & (from_y < height)
-    turned = np.where(inside, out[np.clip(from_y, 0, height - 1), np.clip(from_x, 0, width - 1)], 0).astype(np.float64)
-    bright, contrast = draw.uniform(0.8, 1.2, 2)
-    steps = [lambda a: a * bright, lambda a: np.rint(a.mean()) + (a - np.rint(a.mean())) * contrast]
-    for i in draw.permutation(2):
-        turned = np.clip(np.trunc(steps[i](turned)), 0, 255)
-    return turned.astype(np.uint8)
+    at = np.arange(n)[:, None, None], np.clip(from_y, 0, height - 1), np.clip(from_x, 0, width - 1)
+    turned = np.where(inside, image[at], 0)
+    bright, contrast = (80 + draws[:, k, None, None] % 41 for k in (2, 3))
+
+    def lighter(v):
+        return np.minimum(v * bright // 100, 255)
+
+    def harder(v):
+        size = height * width
+        mean = (2 * v.sum(axis=(1, 2), keepdims=True) + size) // (2 * size)
+        return np.clip((mean * 100 + (v - mean) * contrast) // 100, 0, 255)
+
+    swapped = (draws[:, 4] % 2 == 1)[:, None, None]
+    return np.where(swapped, lighter(harder(turned)), harder(lighter(turned))).astype(np.uint8)
 
 
 def augment(df: DataFrame, seed: int = 42, epoch: int = 0) -> DataFrame:
-    """Randomly changed copies for training.
+    """Randomly changed copies for training, in stacks of equal size.
 
     The draws depend on document, epoch and seed only, so a lost task repeats them exactly.
     """
-    seeded = df.withColumn("_seed", F.abs(F.xxhash64("doc_id", F.lit(epoch), F.lit(seed)) % F.lit(2**62)))
+    drawn = df.withColumn("_draws", F.array(*(draw(F.col("doc_id"), epoch, seed, k) for k in range(DRAWS))))
 
     def work(piece):
-        rows = zip(piece["px"], piece["height"], piece["width"], piece["_seed"])
-        return {"px": [_augment_one(as_levels(px).reshape(h, w), int(s)).tobytes() for px, h, w, s in rows]}
+        return {"px": _by_size(piece, lambda s, rows: _as_bytes(augment_stack(s, np.stack(rows["_draws"]).astype(np.int64))))}
 
-    return _map_images(seeded, work, [T.StructField("px", T.BinaryType())]).drop("_seed")
+    return _map_images(drawn, work, [T.StructField("px", T.BinaryType())]).drop("_draws")

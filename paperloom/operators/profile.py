@@ -10,11 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import is_blank
+from paperloom.operators.images import flat_levels, level_counts
 from paperloom.schemas import LABEL_NAMES, SPLITS, literal_array
 
-LEVELS = 256
-
-
 def class_distribution(df: DataFrame) -> DataFrame:
     """Rows per split and class, zeros shown."""
     spine = (
@@ -51,19 +49,14 @@ def dataset_check(images: DataFrame) -> DataFrame:
 def _level_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Gray-level counts per class of each batch, so pixels never leave their task."""
     for pdf in batches:
-        out = []
-        for label, group in pdf.groupby("label"):
-            counts = np.zeros(LEVELS, dtype=np.int64)
-            for px in group["px"].dropna():
-                counts += np.bincount(_levels(px), minlength=LEVELS)
-            hit = np.flatnonzero(counts)
-            out.append(pd.DataFrame({"label": int(label), "level": hit, "n": counts[hit]}))
-        if out:
-            yield pd.concat(out).astype({"label": "int32", "level": "int32", "n": "int64"})
-
-
-def _levels(px) -> np.ndarray:
-    return np.frombuffer(px, dtype=np.uint8) if isinstance(px, (bytes, bytearray)) else np.asarray(px)
+        known = pdf[pdf["label"].notna() & pdf["px"].notna()]
+        if not len(known):
+            continue
+        label, group = np.unique(known["label"].to_numpy().astype(np.int32), return_inverse=True)
+        levels, ends = flat_levels(known["px"])
+        counts = level_counts(levels, np.repeat(group, np.diff(ends)), len(label))
+        row, level = np.nonzero(counts)
+        yield pd.DataFrame({"label": label[row], "level": level.astype(np.int32), "n": counts[row, level]})
 
 
 def pixel_histogram(images: DataFrame, bins: int = 50) -> DataFrame:

@@ -17,7 +17,7 @@ def _images(spark, sf):
     return load(spark, sf, "doc_images")
 
 
-def _levels(df, column="px"):
+def levels_of(df, column="px"):
     """Binary pixels to rows ``(doc_id, p, value)``."""
     codes = F.transform(
         F.sequence(F.lit(1), F.length(column)), lambda i: F.conv(F.hex(F.substring(F.col(column), i, F.lit(1))), 16, 10).cast("int")
@@ -40,7 +40,7 @@ big AS (SELECT doc_id, CAST(t.o * 16 + w.o AS INT) AS p, CAST(greatest(0, least(
 
 @query("img_resize", "SELECT * FROM big", X, RESIZE_SQL)
 def img_resize(spark, sf):
-    return _levels(im.resize(_images(spark, sf), 16, "bicubic"))
+    return levels_of(im.resize(_images(spark, sf), 16, "bicubic"))
 
 
 @query("img_normalise", "SELECT doc_id, p, round((px / 255.0::DOUBLE - 0.5) / 0.5, 9) AS value FROM doc_pixels", X)
@@ -98,6 +98,27 @@ def img_otsu(spark, sf):
     return done.select("doc_id", "threshold", white.cast("bigint").alias("n_white"))
 
 
-@query("img_augment")
+def _drawn(number: int) -> str:
+    return f"('0x' || substr(md5(concat(CAST(doc_id AS VARCHAR), ':0:42:{number}')), 1, 7))::BIGINT"
+
+
+AUGMENT_SQL = f"""drawn AS (SELECT doc_id, {_drawn(0)} % 5 = 0 AS mirror, radians(({_drawn(1)} % 101 - 50)::DOUBLE / 10) AS angle,
+    80 + {_drawn(2)} % 41 AS bright, 80 + {_drawn(3)} % 41 AS contrast, {_drawn(4)} % 2 = 1 AS swapped
+  FROM (SELECT DISTINCT doc_id FROM doc_pixels WHERE split = 'train') i),
+turn AS (SELECT *, CAST(floor(cos(angle) * 65536 + 0.5) AS BIGINT) AS c, CAST(floor(sin(angle) * 65536 + 0.5) AS BIGINT) AS s FROM drawn),
+place AS (SELECT t.*, p, (c * (2 * (p % 8) - 7) - s * (2 * (p // 8) - 7) + 8 * 65536 + 131072 * 16) // 131072 - 16 AS fx,
+    (s * (2 * (p % 8) - 7) + c * (2 * (p // 8) - 7) + 8 * 65536 + 131072 * 16) // 131072 - 16 AS fy
+  FROM turn t CROSS JOIN (SELECT CAST(unnest(range(0, 64)) AS INT) AS p) q),
+turned AS (SELECT a.*, coalesce(x.px, 0) AS v FROM place a LEFT JOIN doc_pixels x ON x.doc_id = a.doc_id AND fx BETWEEN 0 AND 7
+    AND fy BETWEEN 0 AND 7 AND x.p = fy * 8 + CASE WHEN mirror THEN 7 - fx ELSE fx END),
+one AS (SELECT *, least(255, v * bright // 100) AS light,
+    least(255, greatest(0, m * 100 + (v - m) * contrast) // 100) AS hard
+  FROM (SELECT *, (2 * sum(v) OVER (PARTITION BY doc_id) + 64) // 128 AS m FROM turned) t),
+two AS (SELECT doc_id, p, swapped, least(255, hard * bright // 100) AS light_last,
+    least(255, greatest(0, m2 * 100 + (light - m2) * contrast) // 100) AS hard_last
+  FROM (SELECT *, (2 * sum(light) OVER (PARTITION BY doc_id) + 64) // 128 AS m2 FROM one) o)"""
+
+
+@query("img_augment", "SELECT doc_id, p, CAST(CASE WHEN swapped THEN light_last ELSE hard_last END AS INT) AS px FROM two", X, AUGMENT_SQL)
 def img_augment(spark, sf):
-    return _levels(im.augment(_images(spark, sf).where("split = 'train'")))
+    return levels_of(im.augment(_images(spark, sf).where("split = 'train'")))
