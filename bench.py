@@ -7,6 +7,7 @@ import os
 import time
 
 from paperloom.plans.catalog import QUERIES
+from paperloom.plans.fixtures import INPUT_PARTITIONS
 from paperloom.session import local_session
 
 HEADLINE = (
@@ -27,12 +28,17 @@ HEADLINE = (
     "img_hog",
     "img_resize",
     "img_otsu",
+    "img_augment",
+    "img_gray",
+    "ml_hog_svm",
 )
 
 
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    spark = local_session(os.environ.get("BENCH_CPUS", "8"))
+    cpus = os.environ.get("BENCH_CPUS", "8")
+    spark = local_session(cpus)
+    spark.conf.set(INPUT_PARTITIONS, cpus)  # every given table is one row group
     names = os.environ.get("BENCH_QUERIES", "").split(",") if os.environ.get("BENCH_QUERIES") else HEADLINE
     for name in ("ext_fields", "img_hog"):
         QUERIES[name](spark, sf).limit(1).collect()

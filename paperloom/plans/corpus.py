@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import text as tx
 from paperloom.functions.labels import encode_corpus_labels
-from paperloom.functions.vectors import luma
+from paperloom.operators.images import to_gray
 from paperloom.operators import cache as ca
 from paperloom.operators import profile as pf
 from paperloom.operators import sampling as sm
 from paperloom.plans.fixtures import load
+from paperloom.plans.images import levels_of
 from paperloom.plans.registry import query
 from paperloom.schemas import CORPUS_CODES
 from paperloom.session import shared_folder
@@ -187,9 +188,15 @@ CACHE = ("ocr_cache",)
 
 @query("src_text_cache", "SELECT * FROM latest", CACHE, LATEST)
 def src_text_cache(spark, sf):
+    """The cache as stored lists, the older entries in one file and the newer in the next."""
     folder = shared_folder(spark)
-    load(spark, sf, "ocr_cache").write.option("ignoreNullFields", False).json(folder)
-    return ca.latest_entries(co.read_text_lines(spark, folder).where("broken IS NULL AND path IS NOT NULL").drop("broken"))
+    entries = load(spark, sf, "ocr_cache")
+    row = F.to_json(F.struct("path", "label", "label_name", "text"), {"ignoreNullFields": "false"}).alias("value")
+    for seq in (0, 1):
+        lines = entries.where(F.col("seq") == seq).select(row)
+        listed = lines.agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ", "), F.lit("]")).alias("value"))
+        listed.write.text(f"{folder}/{seq}")
+    return ca.latest_entries(co.read_text_cache(spark, f"{folder}/*"))
 
 
 @query(
@@ -238,5 +245,11 @@ def sink_dataset(spark, sf):
     ("doc_pixels",),
 )
 def img_gray(spark, sf):
-    px = F.col("px")
-    return load(spark, sf, "doc_pixels").select("doc_id", "p", luma(px, (px * 3) % 256, (px * 7) % 256).alias("gray"))
+    """Three channels per pixel, blue first, as the image source gives them."""
+    shades = F.transform(
+        "px", lambda v: F.concat(*(F.lpad(F.hex((v * k % 256).cast("bigint")), 2, "0") for k in (7, 3, 1)))
+    )
+    images = load(spark, sf, "doc_images").select(
+        "doc_id", "height", "width", F.lit(3).alias("nChannels"), F.lit(16).alias("mode"), F.unhex(F.array_join(shades, "")).alias("data")
+    )
+    return levels_of(to_gray(images)).withColumnRenamed("px", "gray")

@@ -177,13 +177,18 @@ VIEWS = {name: (deps, text, text) for name, (deps, text) in _BOTH.items()} | _EI
 _SCHEMAS: dict = {}
 
 
+#: A session may set this so that a small table of one row group is worked on by several tasks; unset, scans stay as they are.
+INPUT_PARTITIONS = "paperloom.input.partitions"
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table or an input view as a DataFrame."""
     if name in TABLES:
         path = f"{sf_dir}/{name}.parquet"
         if path not in _SCHEMAS:
             _SCHEMAS[path] = spark.read.parquet(path).schema
-        return spark.read.schema(_SCHEMAS[path]).parquet(path)
+        table, parts = spark.read.schema(_SCHEMAS[path]).parquet(path), spark.conf.get(INPUT_PARTITIONS, None)
+        return table.repartition(int(parts)) if parts else table
     deps, text, _ = VIEWS[name]
     for dep in deps:
         load(spark, sf_dir, dep).createOrReplaceTempView(dep)

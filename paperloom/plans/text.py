@@ -26,19 +26,26 @@ def sql_first(e: str, pattern: str) -> str:
     return f"regexp_extract_all({e}, '{pattern}', 1)[1]"
 
 
+def spelt(pattern: str) -> str:
+    """The classes of white space and word characters and the closing word boundary, which are ASCII in the checking
+    engine, spelt out."""
+    pattern = pattern.replace(tx.BLANKS, BLANK_CLASS[1:-1]).replace(r"[\w", r"[\p{L}\p{M}\p{N}_")
+    return pattern[:-2] + r"(?:[^\p{L}\p{M}\p{N}_]|$)" if pattern.endswith(r")\b") else pattern
+
+
 def sql_fields(text: str = "text") -> str:
     """The extraction as columns over one text column, for the checking engine."""
     dates = f"regexp_extract_all({text}, '{SQL_DATE}', 0)"
-    inv_window = sql_first(text, ANY_CASE + tx.INVOICE_DATE_LABEL + "(.{1,30})")
-    due_window = sql_first(text, ANY_CASE + tx.DUE_DATE_LABEL + "(.{1,40})")
+    inv_window = sql_first(text, ANY_CASE + spelt(tx.INVOICE_DATE_LABEL) + "(.{1,30})")
+    due_window = sql_first(text, ANY_CASE + spelt(tx.DUE_DATE_LABEL) + "(.{1,40})")
     numbers = [
-        ANY_CASE + tx.INVOICE_LABEL + tx.NUMBER_TOKEN,
-        ANY_CASE + tx.BILL_LABEL + tx.NUMBER_TOKEN,
-        ANY_CASE + tx.HASH_NUMBER,
+        ANY_CASE + spelt(tx.INVOICE_LABEL + tx.NUMBER_TOKEN),
+        ANY_CASE + spelt(tx.BILL_LABEL + tx.NUMBER_TOKEN),
+        ANY_CASE + spelt(tx.HASH_NUMBER),
     ]
-    totals = [ANY_CASE_LINES + tx.TOTAL_LABEL + tx.TOTAL_AMOUNT, ANY_CASE_LINES + tx.LINE_END_AMOUNT]
-    issuer = sql_first(text, ANY_CASE + tx.ISSUER_LABEL + "(.+)")
-    recipient = sql_first(text, ANY_CASE + tx.RECIPIENT_LABEL + "(.+)")
+    totals = [ANY_CASE_LINES + spelt(tx.TOTAL_LABEL + tx.TOTAL_AMOUNT), ANY_CASE_LINES + spelt(tx.LINE_END_AMOUNT)]
+    issuer = sql_first(text, ANY_CASE + spelt(tx.ISSUER_LABEL) + "(.+)")
+    recipient = sql_first(text, ANY_CASE + spelt(tx.RECIPIENT_LABEL) + "(.+)")
     return f"""coalesce({", ".join(sql_first(text, p) for p in numbers)}) AS invoice_number,
   coalesce(regexp_extract_all({inv_window}, '{SQL_DATE}', 0)[1], {dates}[1]) AS invoice_date,
   CASE WHEN {due_window} IS NOT NULL
@@ -187,18 +194,16 @@ def ext_fields_entities(spark, sf):
     return ex.extract_fields(docs, load(spark, sf, "doc_entities")).drop("text")
 
 
-# The extraction of free prose: dates and the labels occur there by chance, whole texts are read.
+# The extraction of free prose: dates and the labels occur there by chance, whole texts are read as they are.
 @query(
     "ext_fields_documents",
     """SELECT doc_id, invoice_number, invoice_date, due_date, issuer_line AS issuer_name,
       recipient_line AS recipient_name, total_amount FROM f""",
     (),
-    f"f AS (SELECT doc_id, {sql_fields('t')} FROM (SELECT doc_id, regexp_replace(text, '[^\\x{{01}}-\\x{{7f}}]', '?', 'g') AS t FROM documents) d)",
+    f"f AS (SELECT doc_id, {sql_fields('text')} FROM documents)",
 )
 def ext_fields_documents(spark, sf):
-    ascii_text = F.regexp_replace("text", r"[^\x{01}-\x{7f}]", "?").alias("text")
-    docs = load(spark, sf, "documents").select("doc_id", ascii_text)
-    return ex.extract_fields(docs).drop("text")
+    return ex.extract_fields(load(spark, sf, "documents").select("doc_id", "text")).drop("text")
 
 
 @query(

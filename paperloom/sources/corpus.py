@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,16 +75,63 @@ def read_text_cache(spark: SparkSession, path: str) -> DataFrame:
     """Rows of JSON text caches, one list per file, with ``seq``: the file's path and the place in its list, so that a
     later file's entry is the later one however files are dealt to tasks.
 
-    A file that is not valid JSON gives no rows.  A file is read by one task; large caches belong in
-    :func:`read_text_lines` form.
+    A large file is read by many tasks.  Its text comes in pieces that end at a closing brace (a record separator that
+    Spark splits files at); whether a brace closes an entry of the list follows from the quotes and braces before it,
+    which are counted per split, added up over the splits of a file and then within each split.  Pieces up to a closing
+    brace of the list's own level make an entry.  A file that does not hold one whole list gives no rows; an entry that
+    is no object with a path is left out, but keeps its place.
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_file"), "value")
-    listed = F.from_json("value", T.ArrayType(TEXT_CACHE_SCHEMA))
-    rows = files.select("_file", F.posexplode(listed).alias("_at", "_row"))
-    seq = F.struct(F.col("_file").alias("file"), F.col("_at").alias("at")).alias("seq")
+    pieces = spark.read.text(path, lineSep="}").select(
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_id"),
+        "value",
+    )
+    plain = F.regexp_replace("value", r'\\.', "")  # escaped characters count for nothing
+    parts = F.split(plain, '"')
+
+    def braces(first: int) -> Column:
+        """Opening braces in every second part between quotes."""
+        chosen = F.filter(parts, lambda part, i: F.pmod(i, F.lit(2)) == first)
+        return F.aggregate(chosen, F.lit(0), lambda n, part: n + F.length(part) - F.length(F.replace(part, F.lit("{"), F.lit(""))))
+
+    counted = pieces.select(
+        "*", (F.size(parts) - 1).alias("_quotes"), braces(0).alias("_outside"), braces(1).alias("_inside"),
+        F.trim(F.translate("value", "\r\n\t", "   ")).alias("_shown"),
+    )
+    quoted = _running(counted, "_quotes", "_before")
+    within = F.pmod("_before", F.lit(2)) == 1  # the piece begins inside a string
+    closes = F.pmod(F.col("_before") + F.col("_quotes"), F.lit(2)) == 0  # its last brace is not part of one
+    stepped = quoted.withColumn("_step", F.when(within, F.col("_inside")).otherwise(F.col("_outside")) - closes.cast("int"))
+    deep = _running(stepped, "_step", "_depth")
+    done = (F.col("_depth") + F.col("_step") == 0) & closes
+    listed = _running(deep.withColumn("_done", done.cast("int")), "_done", "_at")
+    # What follows the last brace of a file is its last piece, for which one closing brace too many was counted.
+    order = F.struct("_start", "_id")
+    ends = listed.groupBy("_file").agg(
+        F.min_by(F.left("_shown", F.lit(1)), order).alias("_open"), F.max_by("_shown", order).alias("_close"),
+        F.max_by(F.col("_depth"), order).alias("_left"), F.max(order).alias("_last"),
+    )
+    whole = ends.where((F.col("_open") == "[") & (F.col("_close") == "]") & (F.col("_left") == 0))
+    inner = listed.join(whole.select("_file", "_last"), "_file").where(order != F.col("_last"))
+    texts = inner.groupBy("_file", "_at").agg(F.array_sort(F.collect_list(F.struct("_start", "_id", "value"))).alias("_parts"))
+    entry = F.regexp_replace(F.concat(F.array_join("_parts.value", "}"), F.lit("}")), r"^[\s\[,]+", "")
+    rows = texts.select("_file", "_at", F.from_json(entry, TEXT_CACHE_SCHEMA).alias("_row"))
+    seq = F.struct(F.col("_file").alias("file"), F.col("_at").cast("int").alias("at")).alias("seq")
     return rows.select("_row.*", seq).where(F.col("path").isNotNull())
 
 
+def _running(pieces: DataFrame, col: str, out: str) -> DataFrame:
+    """Add the sum of ``col`` over the pieces before each one of its file: sums per split first, so that no window holds
+    more than a split or one row per split."""
+    splits = pieces.groupBy("_file", "_start").agg(F.sum(col).alias("_sum"))
+    earlier = Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select("_file", "_start", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
+    here = Window.partitionBy("_file", "_start").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum(col).over(here), F.lit(0))
+    return pieces.join(offsets, ["_file", "_start"]).withColumn(out, F.col("_offset") + inside).drop("_offset")
+
+
 def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
     """The cache as JSON lines, the form that splits across tasks.
 

@@ -26,7 +26,7 @@ def hot_corpus(spark, n=3000):
 
 @pytest.mark.parametrize("parts", [1, 17])
 def test_positions_do_not_depend_on_partitions(spark, parts):
-    rows = position_in_group(hot_corpus(spark).repartition(parts), ["label_name"], "row_idx", ["shard_idx"], block=64).collect()
+    rows = position_in_group(hot_corpus(spark).repartition(parts), ["label_name"], "row_idx", ["shard_idx"], ranges=16).collect()
     for label in ("invoice", "letter"):
         part = sorted((r.shard_idx, r.row_idx, r.pos) for r in rows if r.label_name == label)
         assert [p[2] for p in part] == list(range(len(part)))
@@ -90,9 +90,9 @@ def test_image_tree(spark, tmp_path):
     assert {(r.split, r.label_name, r.label, r.width) for r in tree.collect()} == {
         ("train", "invoice", 1, 2), ("train", "letter", 2, 2), ("test", "email", 0, -1),
     }
-    gray = {r.label_name: list(r.px) for r in to_gray(tree).collect()}
+    gray = {r.label_name: r.px and list(r.px) for r in to_gray(tree).collect()}
     want = spark.range(1).select(luma(F.lit(10), F.lit(20), F.lit(30)), luma(F.lit(255), F.lit(0), F.lit(0))).first()
-    assert gray == {"invoice": [1, 2, 3, 4], "letter": list(want)}
+    assert gray == {"invoice": [1, 2, 3, 4], "letter": list(want), "email": None}
     assert co.read_image_tree(spark, str(tmp_path), ("test",), drop_invalid=True).count() == 0
 
 
@@ -108,6 +108,33 @@ def test_text_cache(spark, tmp_path):
     assert {r.text for r in cache.where("path = 'a'").collect()} == {"new"}
 
 
+def test_a_long_list_is_read_by_many_tasks(spark, tmp_path):
+    row = {"label": 1, "label_name": "invoice"}
+    odd = ['a } b', 'quote " and \\ {', "}{", "line\nbreak", "", None, "é}", '\\"}', "[{}]"]
+    rows = [{"path": f"p{i}", "text": odd[i % len(odd)], **row} for i in range(4000)]
+    rows[7] = {**rows[7], "more": {"deep": [{"x": "}"}]}}
+    (tmp_path / "one.json").write_text(json.dumps(rows))
+    (tmp_path / "two.json").write_text(json.dumps(rows[:9], indent=2, ensure_ascii=False) + "\n")
+    (tmp_path / "none.json").write_text("[]")
+    (tmp_path / "cut.json").write_text(json.dumps(rows[:50])[:-30])
+    (tmp_path / "empty.json").write_text("")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        assert spark.read.text(str(tmp_path / "one.json"), lineSep="}").rdd.getNumPartitions() > 10
+        got = co.read_text_cache(spark, str(tmp_path)).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    by_file = {}
+    for r in got:
+        by_file.setdefault(r.seq.file.rsplit("/", 1)[-1], []).append((r.seq.at, r.path, r.text))
+    assert set(by_file) == {"one.json", "two.json"}
+    for name, want in (("one.json", rows), ("two.json", rows[:9])):
+        assert sorted(by_file[name]) == [(i, w["path"], w["text"]) for i, w in enumerate(want)]
+
+
 def test_merge_twice_is_merge_once(spark):
     kind = "path string, label int, label_name string, text string"
     files = spark.createDataFrame([("a", 1, "invoice", ""), ("b", 1, "invoice", ""), ("c", 2, "letter", ""), ("d", 2, "letter", "")], kind)
