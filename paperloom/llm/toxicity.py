@@ -18,10 +18,11 @@ from pyspark.sql import types as T
 from paperloom.llm.blocks import (
     WIDE_BLOCK_BYTES, map_batches, narrow, raw, row_of, split_words, sum_rows, text_blocks, widened,
 )
-from paperloom.llm.labelled import CALIBRATION_FOLD, fold, isotonic_steps, training_labels
+from paperloom.llm.labelled import CALIBRATION_FOLD, FOLDS, fold, isotonic_steps, training_labels
 from paperloom.sources.sinks import materialise
 
-LEXICON_FOLDS = (1, 2)  # learned from by the lexicon alone; the fold after them fits the trees
+LEXICON_FOLDS = (1, 2)  # learned from by the first lexicon alone; the fold after them fits the trees
+FIT_DOCS = 50_000  # labelled documents of the other folds that trees and steps are fitted on
 LEXICON_DOCS = 6_000  # labelled documents of each class that the lexicon is learned from
 LEXICON_ENTRIES = 4_000
 LEAST_SUPPORT = 4
@@ -65,14 +66,13 @@ def plain_form(word: str) -> str:
     return letters(word.strip(".,;:!?\"'()").translate(LEET))
 
 
-def learn_lexicon(docs: DataFrame, labels: DataFrame) -> Lexicon:
-    """Terms by document counts in a bounded sample of labelled training documents of each class.
+def learn_lexicon(docs: DataFrame, labels: DataFrame, folds: tuple[int, ...]) -> Lexicon:
+    """Terms by document counts in a bounded sample of labelled documents of each class in ``folds``.
 
-    The sample is the `LEXICON_DOCS` rows of each class with the smallest hash of their id in `LEXICON_FOLDS`; its ids
-    are few enough to be sent to all executors, so no text is shuffled.
+    The sample is the `LEXICON_DOCS` rows of each class with the smallest hash of their id; its ids are few enough to
+    be sent to all executors, so no text is shuffled.
     """
-    own = training_labels(labels, "toxic").where(fold("id").isin(*LEXICON_FOLDS))
-    rows = materialise(own.withColumn("h", F.xxhash64("id")))
+    rows = materialise(labelled_rows(labels, folds))
     sample = None
     for value in (0.0, 1.0):
         part = rows.where(F.col("label") == value).orderBy("h", "id").limit(LEXICON_DOCS).select("id", "label")
@@ -103,6 +103,11 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame) -> Lexicon:
     return Lexicon(pick("w"), pick("p"))
 
 
+def labelled_rows(labels: DataFrame, folds: tuple[int, ...]) -> DataFrame:
+    """``id, label, h`` of the labelled rows in ``folds``; ``h`` is a hash of the id."""
+    return training_labels(labels, "toxic").where(fold("id").isin(*folds)).withColumn("h", F.xxhash64("id"))
+
+
 def _beginnings(length: int) -> Column:
     long = F.filter("w", lambda w: F.length(w) >= length)
     return F.transform(long, lambda w: F.concat(F.lit("p"), F.substring(w, 1, length)))
@@ -184,22 +189,25 @@ def calibrated(margins: DataFrame, steps: tuple[np.ndarray, np.ndarray]) -> Data
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, score``: one row per document, the score higher where label 1 is likelier.
 
-    The lexicon, the trees and the isotonic steps are fitted on labelled rows that are not held out, each on folds of
-    its own, so that trees and steps see features of documents that the lexicon was not learned from.  Null and empty texts have zero features; repeated rows score alike; rows without an id are
-    scored and never learned from; without labelled rows of both classes every score is 0; an empty table gives no
-    rows.
+    Only labelled rows that are not held out are learned from.  Trees and isotonic steps are fitted on folds of their
+    own (of at most `FIT_DOCS` rows, those of smallest hash), on features under a lexicon of the other folds, so that
+    they see features of documents that their lexicon was not learned from; scores then use a lexicon of all of these
+    folds.  Null and empty texts have zero features; repeated rows score alike; rows without an id are scored and never
+    learned from; without labelled rows of both classes every score is 0; an empty table gives no rows.
     """
     rows = narrow(docs, id=id_col, text=text_col)
-    lexicon = learn_lexicon(rows, labels)
-    measured = materialise(with_toxic_features(rows, lexicon, "text", "x").select("id", "x"))
-    learned = measured.join(training_labels(labels, "toxic"), "id").withColumn("fold", fold("id"))
-    learned = materialise(learned.select(array_to_vector("x").alias("features"), "label", "fold"))
-    part = learned.where(~F.col("fold").isin(CALIBRATION_FOLD, *LEXICON_FOLDS))
+    everything = tuple(range(1, FOLDS))
+    others = tuple(f for f in everything if f not in LEXICON_FOLDS)
+    fitted = materialise(labelled_rows(labels, others).orderBy("h", "id").limit(FIT_DOCS).select("id", "label"))
+    known = with_toxic_features(rows.join(F.broadcast(fitted), "id"), learn_lexicon(rows, labels, LEXICON_FOLDS), "text", "x")
+    learned = materialise(known.select(array_to_vector("x").alias("features"), "label", fold("id").alias("fold")))
+    part = learned.where(F.col("fold") != CALIBRATION_FOLD)
     if part.agg(F.count_distinct("label")).first()[0] < 2:
-        return measured.select(F.col("id").alias(id_col), F.lit(0.0).alias("score"))
+        return rows.select(F.col("id").alias(id_col), F.lit(0.0).alias("score"))
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=32, stepSize=0.2, seed=7).fit(part)
     margin = vector_to_array("rawPrediction")[1]
     held = model.transform(learned.where(F.col("fold") == CALIBRATION_FOLD)).select(margin.alias("raw"), "label")
     steps = isotonic_steps(materialise(held))
+    measured = with_toxic_features(rows, learn_lexicon(rows, labels, everything), "text", "x").select("id", "x")
     scored = model.transform(measured.withColumn("features", array_to_vector("x")))
     return calibrated(scored.select("id", margin.alias("raw")), steps).withColumnRenamed("id", id_col)
