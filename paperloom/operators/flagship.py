@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import choose_text
 from paperloom.operators import boxes as bx
 from paperloom.operators.extraction import extract_fields, gate
-from paperloom.operators.scoring import primary
+from paperloom.operators.scoring import named_predictions, ordered_predictions, primary
 from paperloom.schemas import BOX_TYPE, FIELD_ORDER
 from paperloom.sources.sinks import materialise
+from paperloom.training.stacking import Features, all_predictions
 
 
 def classify_and_extract(
@@ -33,3 +35,25 @@ def classify_and_extract(
     return labelled.select("doc_id", "label", "confidence").join(located, "doc_id", "left").select(
         "doc_id", "label", "confidence", *FIELD_ORDER, F.coalesce("boxes", F.array().cast(f"array<{BOX_TYPE}>")).alias("boxes")
     )
+
+
+def score_and_extract(
+    docs: DataFrame,
+    features: Features,
+    ocr: DataFrame,
+    models: dict[str, PipelineModel],
+    stack: PipelineModel,
+    text_model: PipelineModel | None = None,
+    entities: DataFrame | None = None,
+) -> DataFrame:
+    """From fitted models to records: :func:`classify_and_extract` on what the models say, with the list of all
+    their predictions in ``predictions`` (empty where no model spoke).
+
+    ``features`` hold the vectors of the documents' images; the text model reads the OCR text, as it was fitted on.
+    """
+    texts = docs.select("doc_id", F.col("ocr_text").alias("text"))
+    preds = materialise(named_predictions(all_predictions(models, features, stack, text_model, texts)))
+    listed = ordered_predictions(preds)
+    kind = listed.schema["predictions"].dataType
+    records = classify_and_extract(docs, preds, ocr, entities).join(listed, "doc_id", "left")
+    return records.withColumn("predictions", F.coalesce("predictions", F.array().cast(kind)))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paperloom.operators import boxes as bx
-from paperloom.operators.flagship import classify_and_extract
+from paperloom.operators.flagship import classify_and_extract, score_and_extract
 from paperloom.operators.scoring import named_predictions
 from paperloom.plans.fixtures import load
 from paperloom.plans.registry import query
+from paperloom.plans import training as tr
 from paperloom.plans.text import CHOSEN, FIELD_ROWS, ext_fields, sql_fields
 from paperloom.schemas import FIELD_ORDER
 from paperloom.sources.sinks import materialise
@@ -81,6 +82,9 @@ def box_list(spark, sf):
     return lists.select("doc_id", F.size("boxes").alias("n_boxes"), _box_text().alias("boxes"))
 
 
+RECORDS_SQL = f"""f AS (SELECT doc_id, {sql_fields('chosen')} FROM (SELECT doc_id, {CHOSEN} AS chosen FROM best WHERE y_pred = 1) c),
+{boxes_sql('f')},
+listed AS (SELECT doc_id, {BOX_TEXT} AS boxes FROM span GROUP BY doc_id)"""
 FLAGSHIP_SQL = f"""best AS (SELECT d.doc_id, d.pdf_text, d.ocr_text,
     CASE WHEN p.has_stack THEN p.stack_pred WHEN p.has_cnn THEN p.cnn_pred END AS y_pred,
     CASE WHEN p.has_stack THEN p.stack_conf WHEN p.has_cnn THEN p.cnn_conf END AS confidence
@@ -88,9 +92,7 @@ FLAGSHIP_SQL = f"""best AS (SELECT d.doc_id, d.pdf_text, d.ocr_text,
     max(y_pred) FILTER (m = 4) AS stack_pred, max(confidence) FILTER (m = 4) AS stack_conf,
     max(y_pred) FILTER (m = 3) AS cnn_pred, max(confidence) FILTER (m = 3) AS cnn_conf FROM predictions GROUP BY doc_id) p
   ON d.doc_id = p.doc_id),
-f AS (SELECT doc_id, {sql_fields('chosen')} FROM (SELECT doc_id, {CHOSEN} AS chosen FROM best WHERE y_pred = 1) c),
-{boxes_sql('f')},
-listed AS (SELECT doc_id, {BOX_TEXT} AS boxes FROM span GROUP BY doc_id)"""
+{RECORDS_SQL}"""
 
 
 @query(
@@ -107,3 +109,28 @@ def sc_classify_extract(spark, sf):
     preds = named_predictions(load(spark, sf, "predictions"))
     records = classify_and_extract(docs, preds, load(spark, sf, "ocr_words"))
     return records.withColumn("boxes", _box_text())
+
+
+@query(
+    "sc_score_extract",
+    f"""SELECT b.doc_id, coalesce(n.label_name, '-') AS label, CASE WHEN b.y_pred IS NOT NULL THEN true END AS sure,
+      concat_ws(';', 'Stacking=' || n.label_name, 'DistilBERT-OCR=' || t.label_name, 'CNN=' || n.label_name, 'SVD+SVM=' || n.label_name,
+        'HOG+SVM=' || n.label_name, 'HOG+RF=' || n.label_name) AS said,
+      invoice_number, invoice_date, due_date, issuer_line AS issuer_name, recipient_line AS recipient_name, total_amount, coalesce(boxes, '') AS boxes
+    FROM best b LEFT JOIN {tr.NAMES} ON b.y_pred = n.label LEFT JOIN {tr.NAMES.replace('n(', 't(')} ON b.t_pred = t.label
+    LEFT JOIN f ON f.doc_id = b.doc_id LEFT JOIN listed l ON l.doc_id = b.doc_id""",
+    ("class_images", "ocr_words"),
+    rf"""best AS (SELECT d.doc_id, d.pdf_text, d.ocr_text, i.label AS y_pred,
+      CASE WHEN d.ocr_text = 'unreadable' THEN 1 WHEN regexp_matches(d.ocr_text, '\S') THEN d.label END AS t_pred
+      FROM doc_texts d LEFT JOIN class_images i ON i.doc_id = d.doc_id),
+    {RECORDS_SQL}""",
+)
+def sc_score_extract(spark, sf):
+    """From fitted models to records.  Documents without an image are known to the text model alone."""
+    docs = load(spark, sf, "doc_texts").select("doc_id", "ocr_text", "pdf_text")
+    records = score_and_extract(
+        docs, tr.features(spark, sf), load(spark, sf, "ocr_words"), tr.members(spark, sf), tr.stack(spark, sf), tr.text_model(spark, sf)
+    )
+    said = F.transform("predictions", lambda p: F.concat(p.model, F.lit("="), p.label))
+    shown = records.withColumns({"said": F.array_join(said, ";"), "boxes": _box_text()})
+    return shown.selectExpr("doc_id", "label", tr.SURE, "said", *FIELD_ORDER, "boxes")

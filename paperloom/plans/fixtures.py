@@ -104,6 +104,14 @@ RESULT_COLUMNS = """c.c_custkey AS run_id, r.ord, r.model,
 RESULT_SOURCE = "(SELECT c_custkey, CAST(51 + c_custkey % 48 AS STRING) AS a, CAST(11 + c_custkey % 88 AS STRING) AS b FROM customer) c"
 RESULT_MODELS = "(0, 'SVD+SVM'), (1, 'HOG+RF'), (2, 'DistilBERT-OCR'), (3, 'Stacking')"
 
+# Images whose class shows clearly, as the quarter that is bright, so that a fitted model's answer is known: the checking
+# engine needs no pixels.  Classes follow `doc_texts`, where document and vector number are the same; eight neighbours share a
+# split, so that each split holds all classes.
+CLASS_IMAGES = f"""
+SELECT vec_id AS doc_id, {SPLIT_OF.format(k="floor(vec_id / 8)")} AS split, CASE vec_id % 8 WHEN 2 THEN 3 WHEN 5 THEN 2 WHEN 7 THEN 0 ELSE 1 END AS label"""
+BRIGHT_QUARTER = """transform(embedding, (v, i) -> CAST(floor((CAST(v AS DOUBLE) + 1) * 30) AS INT)
+  + CASE WHEN i div 32 = label div 2 AND (i % 8) div 4 = label % 2 THEN 150 ELSE 0 END)"""
+
 # name -> (inputs, Spark text, checking engine text)
 _BOTH = {
     "doc_texts": (("orders", "customer"), DOC_TEXTS),
@@ -118,6 +126,11 @@ _EITHER = {
         DOC_IMAGES % (_SPLIT_IMAGES, "transform(embedding, v -> CAST(floor((CAST(v AS DOUBLE) + 1) * 127.5) AS INT))"),
         DOC_IMAGES % (_SPLIT_IMAGES, "list_transform(embedding, lambda v : CAST(floor((CAST(v AS DOUBLE) + 1) * 127.5) AS INT))"),
     ),
+    "class_images": (
+        ("embeddings",),
+        f"SELECT doc_id, split, label, 8 AS width, 8 AS height, {BRIGHT_QUARTER} AS px FROM ({CLASS_IMAGES}, embedding FROM embeddings) z",
+        f"{CLASS_IMAGES} FROM embeddings",
+    ),
     "doc_pixels": (
         ("doc_images",),
         "SELECT doc_id, split, label, posexplode(px) AS (p, px) FROM doc_images",

@@ -9,7 +9,8 @@ from paperloom.operators.scoring import named_predictions, primary
 from paperloom.plans.fixtures import load
 from paperloom.plans.registry import query
 from paperloom.plans.text import BLANK_CLASS, sql_fields
-from paperloom.plans.training import text_model
+from paperloom.plans.training import NAMES, SURE, TEXT_PRED, text_model
+from paperloom.schemas import FIELD_ORDER
 from paperloom.session import shared_folder
 from paperloom.streaming import incremental as inc
 
@@ -29,7 +30,15 @@ def st_incremental_text(spark, sf):
     return inc.current_text(spark.read.parquet(f"{folder}/table"), "doc_id")
 
 
-@query("st_score")
+@query(
+    "st_score",
+    f"""SELECT s.doc_id, label_name AS label, true AS sure, invoice_number, invoice_date, due_date,
+      issuer_line AS issuer_name, recipient_line AS recipient_name, total_amount
+    FROM s JOIN {NAMES} ON s.y_pred = n.label LEFT JOIN f ON f.doc_id = s.doc_id""",
+    ("doc_texts",),
+    f"""s AS (SELECT doc_id, text, {TEXT_PRED} AS y_pred FROM doc_texts),
+    f AS (SELECT doc_id, {sql_fields()} FROM s WHERE y_pred = 1)""",
+)
 def st_score(spark, sf):
     folder = shared_folder(spark)
     docs = load(spark, sf, "doc_texts").select("doc_id", "text")
@@ -37,7 +46,8 @@ def st_score(spark, sf):
     stream = inc.arriving(spark, f"{folder}/in", docs.schema)
     scored = inc.score_stream(stream, text_model(spark, sf))
     inc.append_files(scored, f"{folder}/out", f"{folder}/progress")
-    return spark.read.schema(scored.schema).parquet(f"{folder}/out")
+    out = spark.read.schema(scored.schema).parquet(f"{folder}/out")
+    return out.selectExpr("doc_id", "label", SURE, *FIELD_ORDER)
 
 
 @query(

@@ -7,7 +7,7 @@ stopped.  Nothing here keeps state beyond that checkpoint.
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,32 +17,59 @@ from paperloom.operators.extraction import extract_fields
 from paperloom.schemas import FIELD_ORDER
 from paperloom.training.members import score
 
+BUCKETS = 64
+FILES_PER_BUCKET = 4
+
 
 def arriving(spark: SparkSession, folder: str, schema: T.StructType, files_per_batch: int = 1000) -> DataFrame:
     """Parquet files landing in a folder, as a stream."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def incremental_text(stream: DataFrame, table: str, checkpoint: str, key: str = "path", max_chars: int | None = None) -> None:
+def key_bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def known_keys(spark: SparkSession, table: str, schema: T.StructType, touched: list[int], batch_id: int, key: str) -> DataFrame:
+    """Keys that have a text in the buckets ``touched``, from other batches than ``batch_id``; other buckets stay unread."""
+    rows = spark.read.schema(schema).parquet(table)
+    here = F.col("bucket").isin(touched) & (F.col("batch") != batch_id)
+    return rows.where(here & F.col("text").isNotNull()).select(key)
+
+
+def incremental_text(
+    stream: DataFrame, table: str, checkpoint: str, key: str = "path", max_chars: int | None = None, buckets: int = BUCKETS
+) -> None:
     """Add the cleaned text of new keys to ``table`` until no input is left.
 
-    Each micro-batch owns one partition of the table and overwrites only that, so a batch that is
-    run again after a failure gives the same table.  Keys whose text is already in the table are skipped by an
-    anti-join; a key that came without text is taken again when its text comes, and :func:`current_text` reads it.
+    The table is kept in ``buckets`` folders by a hash of the key, and a batch reads the buckets of its own keys only.
+    ``buckets`` has to stay the same for a table.  Each micro-batch owns one partition of every bucket it writes and
+    overwrites only those, so a batch that is run again after a failure gives the same table.  Keys whose text is already
+    in the table are skipped by an anti-join; a key that came without text is taken again when its text comes, and
+    :func:`current_text` reads it.
     """
-    fields = [stream.schema[key], T.StructField("text", T.StringType()), T.StructField("batch", T.LongType())]
+    fields = [
+        stream.schema[key], T.StructField("text", T.StringType()),
+        T.StructField("bucket", T.IntegerType()), T.StructField("batch", T.LongType()),
+    ]
     schema = T.StructType(fields)
     spark = stream.sparkSession
     # Writing no rows makes the folder, so that the first batch can read it.
     no_rows = spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
-    no_rows.write.mode("append").partitionBy("batch").parquet(table)
+    no_rows.write.mode("append").partitionBy("bucket", "batch").parquet(table)
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        known = batch.sparkSession.read.schema(schema).parquet(table).where((F.col("batch") != batch_id) & F.col("text").isNotNull())
-        new = batch.join(known.select(key), key, "left_anti").select(key, clean_text(F.col("text"), max_chars).alias("text"))
+        # At most as many numbers as there are buckets.
+        touched = [r.bucket for r in batch.select(key_bucket(key, buckets).alias("bucket")).distinct().collect()]
+        known = known_keys(batch.sparkSession, table, schema, touched, batch_id, key)
+        new = batch.join(known, key, "left_anti").select(key, clean_text(F.col("text"), max_chars).alias("text"))
         # A key that occurs twice in one batch gives one row, the same one on every run.
-        rows = new.groupBy(key).agg(F.max("text").alias("text")).withColumn("batch", F.lit(batch_id).cast("bigint"))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(table)
+        rows = new.groupBy(key).agg(F.max("text").alias("text")).withColumns(
+            {"bucket": key_bucket(key, buckets), "batch": F.lit(batch_id).cast("bigint")}
+        )
+        # Rows of a bucket are brought together, so that a batch adds few files to each.
+        spread = rows.repartition("bucket", F.pmod(F.hash(key), F.lit(FILES_PER_BUCKET)))
+        spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(table)
 
     query = (
         stream.select(key, "text")

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import ElementwiseProduct, StandardScaler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,13 +65,54 @@ def standardise(df: DataFrame, input_col: str = "features", output_col: str = "s
     return fit_scaler(df, input_col, output_col).transform(df).drop(f"{output_col}_sample")
 
 
-def truncated_svd(df: DataFrame, k: int = SVD_COMPONENTS, input_col: str = "features", output_col: str = "reduced") -> DenseMap:
+def truncated_svd(
+    df: DataFrame, k: int = SVD_COMPONENTS, input_col: str = "features", output_col: str = "reduced", passes: int = 4, spare: int = 10
+) -> DenseMap:
     """Projection on the first ``k`` right singular vectors, without centring.
 
-    The vectors are as many as the rank allows and their signs are arbitrary.  The Gramian that the
-    solver keeps on the driver is features by features, whatever the number of rows.
+    A randomised range finder (Halko, Martinsson & Tropp 2011): ``k + spare`` random directions are turned towards the
+    leading singular vectors by ``passes`` passes over the rows, then the rows in these directions are reduced to one
+    triangle by QR steps along a tree.  Exact, up to rounding, where the rank is at most ``k + spare``; else as close as the
+    gap after the ``k``-th value and the passes make it.  The driver and each task hold features times ``k + spare``
+    numbers, whatever the number of rows.  The vectors are as many as the rank allows and their signs are arbitrary;
+    rows without a vector are left out, and a table without any is an error.
     """
-    rows = MLUtils.convertVectorColumnsFromML(df.select(input_col), input_col)
-    width = df.select(input_col).first()[0].size
-    v = RowMatrix(rows).computeSVD(min(k, width)).V.toArray()
-    return DenseMap(v.T, inputCol=input_col, outputCol=output_col)
+    rows = df.select(vector_to_array(input_col).alias("x")).where(F.col("x").isNotNull())
+    first = rows.first()
+    if first is None:
+        raise ValueError("no row has a vector")
+    width = len(first.x)
+    sought = min(k + spare, width)
+    if sought == width:
+        directions = np.eye(width)
+    else:
+        directions = np.linalg.qr(np.random.default_rng(SEED).normal(size=(width, sought)))[0]
+        for _ in range(passes):
+            turned = _reduced(rows, directions, lambda x, y: x.T @ y, lambda a, b: a + b)
+            directions = np.linalg.qr(turned)[0]
+    triangle = _reduced(
+        rows, directions, lambda x, y: np.linalg.qr(y, mode="r"), lambda a, b: np.linalg.qr(np.vstack([a, b]), mode="r")
+    )
+    _, sizes, turns = np.linalg.svd(triangle)
+    kept = min(k, int((sizes > 1e-9 * sizes[0]).sum()))
+    return DenseMap(turns[:kept] @ directions.T, inputCol=input_col, outputCol=output_col)
+
+
+def _reduced(rows: DataFrame, directions: np.ndarray, part: Callable, join: Callable) -> np.ndarray:
+    """``part(x, x @ directions)`` of each Arrow block of rows, joined within its task and then along a tree of tasks."""
+    shared = rows.sparkSession.sparkContext.broadcast(directions)
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                here = part(x, x @ shared.value)
+                total = here if total is None else join(total, here)
+        if total is not None:
+            columns = [pa.array([total.shape[0]], pa.int32()), pa.array([total.tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["height", "numbers"])
+
+    # One row per task from here on.
+    parts = rows.mapInArrow(blocks, "height int, numbers binary").rdd
+    return parts.map(lambda r: np.frombuffer(bytes(r.numbers)).reshape(r.height, -1)).treeReduce(join)
