@@ -77,7 +77,7 @@ def truncated_svd(
     numbers, whatever the number of rows.  The vectors are as many as the rank allows and their signs are arbitrary;
     rows without a vector are left out, and a table without any is an error.
     """
-    rows = df.select(vector_to_array(input_col).alias("x")).where(F.col("x").isNotNull())
+    rows = df.where(F.col(input_col).isNotNull()).select(vector_to_array(input_col).alias("x"))
     first = rows.first()
     if first is None:
         raise ValueError("no row has a vector")

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from paperloom.streaming import incremental as inc
 
 
@@ -24,3 +26,23 @@ def test_extract_stream_gates(spark, tmp_path):
     for _ in range(2):
         inc.append_files(inc.extract_labelled(stream), str(tmp_path / "out"), str(tmp_path / "progress"))
     assert {r.doc_id: r.invoice_number for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {1: "A1", 2: None}
+
+
+def test_other_buckets_stay_unread(spark, tmp_path):
+    land, table, progress = (str(tmp_path / n) for n in ("in", "table", "progress"))
+    kind = "path string, text string"
+    schema = spark.createDataFrame([], kind).schema
+    spark.createDataFrame([(f"p{i}", f"t {i}") for i in range(200)] + [(None, "n"), ("late", None)], kind).write.parquet(land)
+    inc.incremental_text(inc.arriving(spark, land, schema), table, progress, buckets=8)
+    stored = spark.read.parquet(table)
+    assert stored.count() == 202 and {r.bucket for r in stored.select("bucket").distinct().collect()} == set(range(8))
+    assert stored.where(inc.key_bucket("path", 8) != F.col("bucket")).count() == 0
+    known = inc.known_keys(spark, table, stored.schema, [2, 5], 99, "path")
+    assert known.count() == stored.where("bucket in (2, 5) and text is not null").count()
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    # a text that comes late is added, one that is known is not
+    spark.createDataFrame([("late", "now"), ("p7", "changed")], kind).write.mode("append").parquet(land)
+    inc.incremental_text(inc.arriving(spark, land, schema), table, progress, buckets=8)
+    now = {r.path: r.text for r in inc.current_text(spark.read.parquet(table)).collect()}
+    assert len(now) == 202 and now["late"] == "now" and now["p7"] == "t 7" and now[None] == "n"

@@ -73,6 +73,52 @@ def test_svd_gives_the_best_low_rank_form(spark):
     assert len(pr.truncated_svd(df, 200).weights) == 6
 
 
+def test_svd_of_a_wide_table_of_low_rank(spark):
+    """The range finder sees fewer directions than columns: rank 5 of 60, in rows on several tasks, one of them missing."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(50, 5)) @ np.diag([8, 4, 2, 1, 0.5]) @ np.linalg.qr(rng.normal(size=(60, 5)))[0].T
+    df = spark.createDataFrame([(row.tolist(),) for row in x] + [(None,)], "a array<double>").repartition(7)
+    df = df.select(F.when(F.col("a").isNotNull(), array_to_vector("a")).alias("features"))
+    top = np.linalg.svd(x)[2]
+    v = pr.truncated_svd(df, 3).weights
+    assert v.shape == (3, 60) and np.abs(v @ top[:3].T) == pytest.approx(np.eye(3), abs=1e-8)
+    assert len(pr.truncated_svd(df, 40).weights) == 5  # no more than the rank
+    with pytest.raises(ValueError):
+        pr.truncated_svd(df.where("features is null"), 3)
+
+
+def test_svd_with_a_long_tail(spark):
+    """Where the rank is full, passes turn the directions to the leading vectors."""
+    rng = np.random.default_rng(5)
+    values = np.r_[[9.0, 7.0, 5.0], np.linspace(1, 0.1, 57)]
+    x = np.linalg.qr(rng.normal(size=(80, 60)))[0] * values @ np.linalg.qr(rng.normal(size=(60, 60)))[0].T
+    df = spark.createDataFrame([(row.tolist(),) for row in x], "a array<double>").select(array_to_vector("a").alias("features"))
+    v = pr.truncated_svd(df, 3).weights
+    assert np.abs(v @ np.linalg.svd(x)[2][:3].T) == pytest.approx(np.eye(3), abs=1e-4)
+
+
+def test_text_model_among_the_members(spark, features, models):
+    """Its scores are evaluated beside the others'; a blank text is scored for the report and left out of what is served."""
+    words = ("mail", "bill", "dear", "abstract")
+    labelled = features.pixels.select("doc_id", "split", "label")
+    texts = labelled.withColumn("text", F.get(F.array(*map(F.lit, words)), F.col("label")))
+    text = mb.train_text(texts.where("split = 'train'"), buckets=1024)
+    scores = st.member_scores(models, features).unionByName(st.text_scores(text, texts))
+    stack = st.train_stack(scores.where("split = 'validation'"))
+    report = st.evaluate(scores.where("split = 'test'"), stack).collect()
+    assert {r.model for r in report} == {"SVD+SVM", "HOG+SVM", "HOG+RF", "CNN", "DistilBERT-OCR", "Stacking"}
+    assert {r.accuracy for r in report if r.model == "DistilBERT-OCR"} == {1.0} and sum(r.support for r in report) == 6 * 30
+    held = st.validate(models, features).collect()
+    assert len(held) == 16 and {r.model for r in held} == {"SVD+SVM", "HOG+SVM", "HOG+RF", "CNN"}
+    assert {r.support for r in held} == {7, 8}
+
+    arriving = st.Features(features.pixels.where("doc_id < 8").drop("split", "label"), features.hog.where("doc_id < 8").drop("split", "label"))
+    shown = texts.where("doc_id < 10").select("doc_id", F.when(F.col("doc_id") != 3, F.col("text")).alias("text"))
+    said = st.all_predictions(models, arriving, stack, text, shown).collect()
+    assert {r.doc_id for r in said if r.model == "DistilBERT-OCR"} == set(range(10)) - {3}
+    assert {r.doc_id for r in said if r.model == "Stacking"} == set(range(8)) and len(said) == 8 * 5 + 9
+
+
 def test_fourier_features_approach_the_kernel():
     fm = mb.fourier_map(3, 0.5, 20000, "a", "b")
     x, y = np.array([0.1, 0.2, 0.3]), np.array([0.5, -0.2, 0.0])
