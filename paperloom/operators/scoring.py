@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.functions.labels import label_name
+from paperloom.functions.labels import label_index, label_name
 from paperloom.functions.vectors import argmax, confidence
 from paperloom.schemas import DISPLAY_ORDER, LABEL_NAMES, MEMBER_ORDER, literal_array
 
@@ -19,17 +19,37 @@ def named_predictions(preds: DataFrame) -> DataFrame:
     return preds.select("doc_id", "model", label_name(F.col("y_pred")).alias("label"), "confidence")
 
 
-def primary(preds: DataFrame) -> DataFrame:
-    """The stacking prediction, else the network's, else the label ``-`` without confidence.
+def _chosen(preds: DataFrame, models: tuple[str, ...]) -> tuple[DataFrame, list]:
+    """Per document and model the largest (class, confidence), as structs of label and confidence, null where the model
+    gave nothing; a prediction of no class comes before all classes.
 
-    Label and confidence travel together in one struct, so they always belong to the same model.
+    Class numbers and confidences are aggregated as plain numbers, a confidence per model and class, so the aggregation
+    stays hashed and label and confidence are of one prediction.
     """
+    number = F.coalesce(label_index(F.col("label")), F.lit(-1))
+    known = preds.select("doc_id", F.array_position(literal_array(models), F.col("model")).cast("int").alias("_m"), number.alias("_c"), "confidence")
+    classes = range(-1, len(LABEL_NAMES))
+    numbers = [F.max(F.when(F.col("_m") == m, F.col("_c"))).alias(f"_c{m}") for m in range(1, len(models) + 1)]
+    levels = [
+        F.max(F.when((F.col("_m") == m) & (F.col("_c") == c), F.col("confidence"))).alias(f"_l{m}_{c + 1}")
+        for m in range(1, len(models) + 1) for c in classes
+    ]
+    structs = []
+    for m, model in enumerate(models, 1):
+        level = F.get(F.array(*[f"_l{m}_{c + 1}" for c in classes]), F.col(f"_c{m}") + 1)
+        given = F.struct(F.lit(model).alias("model"), label_name(F.col(f"_c{m}")).alias("label"), level.alias("confidence"))
+        structs.append(F.when(F.col(f"_c{m}").isNotNull(), given))
+    return known.groupBy("doc_id").agg(*numbers, *levels), structs
 
-    def of(model: str):
-        return F.max(F.when(F.col("model") == model, F.struct("label", "confidence")))
 
-    chosen = preds.groupBy("doc_id").agg(F.coalesce(of("Stacking"), of("CNN")).alias("_p"))
-    return chosen.select(
+def primary(preds: DataFrame) -> DataFrame:
+    """The stacking prediction, else the network's, else the label ``-`` without confidence.
+
+    Label and confidence always belong to the same prediction.  Of repeated predictions of one model the last class in
+    the class list counts, with its highest confidence.
+    """
+    rows, (stacked, network) = _chosen(preds, ("Stacking", "CNN"))
+    return rows.select("doc_id", F.coalesce(stacked, network).alias("_p")).select(
         "doc_id",
         F.coalesce(F.col("_p.label"), F.lit(NO_LABEL)).alias("label"),
         F.col("_p.confidence").alias("confidence"),
@@ -41,15 +61,9 @@ def ordered_predictions(preds: DataFrame) -> DataFrame:
 
     One struct per (document, known model), so the list is bounded by the model list.
     """
-    names = literal_array(DISPLAY_ORDER)
-    columns = [
-        F.max(F.when(F.col("model") == name, F.struct("model", "label", "confidence"))).alias(f"_{i}")
-        for i, name in enumerate(DISPLAY_ORDER)
-    ]
-    known = preds.where(F.array_contains(names, F.col("model")))
-    return known.groupBy("doc_id").agg(*columns).select(
-        "doc_id", F.array_compact(F.array(*[f"_{i}" for i in range(len(DISPLAY_ORDER))])).alias("predictions")
-    )
+    known = preds.where(F.array_contains(literal_array(DISPLAY_ORDER), F.col("model")))
+    rows, structs = _chosen(known, tuple(DISPLAY_ORDER))
+    return rows.select("doc_id", F.array_compact(F.array(*structs)).alias("predictions"))
 
 
 def with_probabilities(scores: DataFrame, score_cols: list[str]) -> DataFrame:

@@ -77,6 +77,26 @@ def test_primary_takes_one_model_whole(spark):
     assert got == {1: ("letter", None), 2: ("email", 0.4), 3: ("-", None)}
 
 
+def test_repeated_and_unknown_predictions(spark):
+    kind = "doc_id int, model string, label string, confidence double"
+    rows = [
+        (1, "CNN", "letter", 0.2), (1, "CNN", "email", 0.9), (1, "CNN", "letter", 0.3),  # the later class, its highest level
+        (2, "Stacking", None, 0.5), (2, "CNN", "email", 0.9),  # a model without a class is still the model that counts
+        (3, "other", "email", 0.9), (4, None, "email", 0.9), (5, "HOG+RF", "invoice", None), (5, "CNN", "email", float("nan")),
+    ]
+    df = spark.createDataFrame(rows, kind)
+    got = {r.doc_id: (r.label, r.confidence) for r in sc.primary(df).where("doc_id < 5").collect()}
+    assert got == {1: ("letter", 0.3), 2: ("-", 0.5), 3: ("-", None), 4: ("-", None)}
+    listed = {r.doc_id: [(p.model, p.label, str(p.confidence)) for p in r.predictions] for r in sc.ordered_predictions(df).collect()}
+    assert listed == {
+        1: [("CNN", "letter", "0.3")], 2: [("Stacking", None, "0.5"), ("CNN", "email", "0.9")],
+        5: [("CNN", "email", "nan"), ("HOG+RF", "invoice", "None")],
+    }
+    for result in (sc.primary(df), sc.ordered_predictions(df)):
+        plan = result._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
 def test_meta_rows_without_a_member_are_null(spark):
     rows = [(1, m, [0.1, 0.2, 0.3, 0.4]) for m in ("svd_svm", "hog_svm", "hog_rf", "cnn")] + [(2, "cnn", [1.0, 0.0, 0.0, 0.0])]
     got = {r.doc_id: r.meta for r in sc.meta_features(spark.createDataFrame(rows, "doc_id int, model string, probs array<double>")).collect()}
