@@ -85,10 +85,12 @@ def train_hog_rf(train: DataFrame, trees: int = RF_TREES, depth: int = RF_DEPTH)
 
 def train_pixel_net(
     train: DataFrame, val: DataFrame, k: int = SVD_COMPONENTS, hidden: int = 64, rounds: int = 5, iterations: int = 20
-) -> tuple[PipelineModel, list[tuple[int, float]]]:
+) -> tuple[PipelineModel, DataFrame]:
     """Reduced pixels → multilayer network, kept at its first best validation accuracy.
 
-    Each round goes on from the weights of the round before.  Returns the pipeline and the history.
+    Each round goes on from the weights of the round before.  Returns the pipeline and the log of the rounds: one row
+    per round and phase as `history.epoch_metrics` takes it (``epoch, phase, n, loss, correct``), the loss being the
+    mean negative log of the true class's probability.
     """
     svd = truncated_svd(train, k)
     scaler = fit_scaler(svd.transform(train), "reduced", "scaled")
@@ -96,18 +98,25 @@ def train_pixel_net(
     prepared = PipelineModel(head).transform(train).select("label", "scaled")
     held = PipelineModel(head).transform(val).select("label", "scaled")
     layers = [len(svd.weights), hidden, len(LABEL_NAMES)]
-    best, best_accuracy, weights, history = None, 0.0, None, []
+    sets = prepared.withColumn("phase", F.lit("train")).unionByName(held.withColumn("phase", F.lit("val")))
+    best, best_accuracy, weights, log = None, 0.0, None, []
     for step in range(1, rounds + 1):
         net = MultilayerPerceptronClassifier(featuresCol="scaled", layers=layers, maxIter=iterations, seed=SEED)
         if weights is not None:
             net = net.setInitialWeights(weights)
         model = net.fit(prepared)
         weights = model.weights
-        right = F.avg((F.col("prediction") == F.col("label")).cast("double"))
-        accuracy = model.transform(held).agg(right.alias("a")).first().a or 0.0
-        history.append((step, accuracy))
+        right = (F.col("prediction") == F.col("label")).cast("bigint")
+        true = F.get(vector_to_array("probability"), F.col("label").cast("int"))
+        totals = model.transform(sets).groupBy("phase").agg(
+            F.count(F.lit(1)).alias("n"), F.avg(-F.log(F.greatest(true, F.lit(1e-12)))).alias("loss"), F.sum(right).alias("correct")
+        )
+        found = {r["phase"]: r for r in totals.collect()}
+        log += [(step, phase, r["n"], r["loss"], r["correct"]) for phase, r in sorted(found.items())]
+        accuracy = found["val"]["correct"] / found["val"]["n"] if "val" in found else 0.0
         if best is None or accuracy > best_accuracy:
             best, best_accuracy = model, accuracy
+    history = train.sparkSession.createDataFrame(log, "epoch int, phase string, n bigint, loss double, correct bigint")
     return PipelineModel([*head, best]), history
 
 

@@ -138,6 +138,19 @@ def test_first_best_epoch(spark):
     assert got == {1: 2, 3: 5}
 
 
+def test_log_of_the_network(spark, features):
+    """The log's last validation row is what the kept model gives, where it is the best one."""
+    train, val = features.where("train").pixels, features.where("validation").pixels
+    model, log = mb.train_pixel_net(train, val, 16, rounds=3, iterations=3)
+    rows = {(r.epoch, r.phase): r for r in hi.epoch_metrics(log.withColumn("run_id", F.lit("net"))).collect()}
+    assert set(rows) == {(e, p) for e in (1, 2, 3) for p in ("train", "val")}
+    assert {(r.phase, r.n) for r in log.collect()} == {("train", train.count()), ("val", val.count())}
+    best = hi.best_epoch(hi.epoch_metrics(log.withColumn("run_id", F.lit("net"))).where("phase = 'val'").withColumnRenamed("accuracy", "val_acc")).first()
+    scored = mb.score(model, val).select("label", "probs", "y_pred").collect()
+    assert best.val_acc == pytest.approx(np.mean([r.label == r.y_pred for r in scored]), abs=1e-4)
+    assert rows[best.epoch, "val"].loss == pytest.approx(-np.mean([np.log(r.probs[r.label]) for r in scored]), abs=1e-4)
+
+
 def test_text_model_reads_whole_texts(spark):
     long = "noise " * 400
     rows = [(i, long + word, label) for i in range(30) for word, label in (("apple", 0), ("pear", 1))] + [(99, " ", 1)]
