@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as tx
-from paperloom.functions.labels import encode_corpus_labels
+from paperloom.functions.labels import encode_corpus_labels, label_name
 from paperloom.operators.images import to_gray
 from paperloom.operators import cache as ca
 from paperloom.operators import profile as pf
 from paperloom.operators import sampling as sm
 from paperloom.plans.fixtures import load
-from paperloom.plans.images import levels_of
+from paperloom.plans.images import level_list, levels_of
 from paperloom.plans.registry import query
 from paperloom.schemas import CORPUS_CODES
 from paperloom.session import shared_folder
 from paperloom.sources import corpus as co
-from paperloom.sources.sinks import write_split
+from paperloom.sources import versions as vs
+from paperloom.sources import zones as zo
+from paperloom.sources.sinks import materialise, write_image_tree, write_split
 
 C = ("corpus_shards",)
 CODES = "(VALUES (2, 'email', 0), (6, 'invoice', 1), (7, 'letter', 2), (14, 'scientific_report', 3)) AS c(code, label_name, label_idx)"
@@ -71,9 +73,26 @@ def src_image_bytes(spark, sf):
     return both[0].unionByName(both[1])
 
 
-@query("src_image_tree", "SELECT path, split, label, label_name, concat(lpad(CAST(doc_id AS STRING), 8, '0'), '.png') AS file_name FROM doc_texts", ("doc_texts",))
+@query(
+    "src_image_tree",
+    """SELECT split, label, label_name, concat(lpad(CAST(doc_id AS STRING), 8, '0'), '.png') AS file_name, 8 AS width, 8 AS height,
+      list_sum(px) AS total, list_sum(list_transform(px, lambda v, i : v * i)) AS placed
+    FROM doc_images JOIN (VALUES (0, 'email'), (1, 'invoice'), (2, 'letter'), (3, 'scientific_report')) AS n(code, label_name) ON label = n.code""",
+    ("doc_images",),
+)
 def src_image_tree(spark, sf):
-    return co.tag_image_path(load(spark, sf, "doc_texts").select("path")).select("path", "split", "label", "label_name", "file_name")
+    """Images written as files, one folder per split and class, then read and decoded from there."""
+    folder = shared_folder(spark)
+    images = load(spark, sf, "doc_images").withColumns(
+        {"label_name": label_name(F.col("label")), "file_name": F.concat(F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit(".png"))}
+    )
+    write_image_tree(images, folder)
+    tree = to_gray(co.read_image_tree(spark, folder)).withColumn("levels", level_list())
+    total = F.aggregate("levels", F.lit(0), lambda acc, v: acc + v)
+    placed = F.aggregate(F.transform("levels", lambda v, i: v * (i + 1)), F.lit(0), lambda acc, v: acc + v)
+    return tree.select(
+        "split", "label", "label_name", "file_name", "width", "height", total.alias("total"), placed.alias("placed")
+    )
 
 
 @query("flt_label_map", "SELECT split, row_idx, label16, label_name, label_idx FROM coded", C, CODED)
@@ -132,6 +151,26 @@ def smp_shard_range(spark, sf):
     return sm.shard_range(load(spark, sf, "corpus_shards"), list(CORPUS_CODES))
 
 
+@query(
+    "smp_shard_span",
+    """SELECT split, code AS label16, min(shard_idx) AS first_shard, max(shard_idx) AS last_shard, count(*) AS n, sum(row_idx) AS row_sum
+    FROM (SELECT *, CAST(label16 // 3 AS INT) AS code FROM corpus_shards) s WHERE code IN (0, 2, 5) GROUP BY split, code""",
+    C,
+)
+def smp_shard_span(spark, sf):
+    """Classes of unequal sizes found by the ranges in the shards' footers, then read from those shards alone."""
+    folder, codes, by = shared_folder(spark), [0, 2, 5], ["split", "label16"]
+    sorted_rows = load(spark, sf, "corpus_shards").select("split", "shard_idx", "row_idx", F.floor(F.col("label16") / 3).cast("int").alias("label16"))
+    sorted_rows.repartition("split", "shard_idx").sortWithinPartitions("split", "shard_idx", "label16").write.partitionBy("split", "shard_idx").parquet(folder)
+    zones = materialise(zo.zone_map(spark, folder, "label16"))
+    named = zones.withColumns(
+        {"split": F.regexp_extract("file", "split=([a-z]+)", 1), "shard_idx": F.regexp_extract("file", r"shard_idx=(\d+)", 1).cast("int")}
+    )
+    rows = zo.read_holding(spark, folder, "label16", codes, zones)
+    sums = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("row_idx").alias("row_sum"))
+    return zo.shard_span(named, codes, ["split"]).join(sums, by)
+
+
 @query(
     "smp_grid",
     "SELECT label, doc_id, pos FROM (SELECT label, doc_id, row_number() OVER (PARTITION BY label ORDER BY doc_id) AS pos FROM doc_images) r WHERE pos <= 6",
@@ -210,20 +249,28 @@ def cache_missing(spark, sf):
     return ca.missing(files, ca.latest_entries(load(spark, sf, "ocr_cache")))
 
 
-@query(
-    "cache_merge",
-    r"""SELECT d.path, CASE WHEN l.text IS NOT NULL THEN l.label ELSE d.label END AS label,
-      CASE WHEN l.text IS NOT NULL THEN l.label_name ELSE d.label_name END AS label_name,
-      coalesce(l.text, trim(regexp_replace(d.text, '\s+', ' ', 'g'))) AS text
-    FROM doc_texts d LEFT JOIN latest l ON l.path = d.path""",
-    CACHE,
-    LATEST,
-)
+MERGED = r"""SELECT d.path, CASE WHEN l.text IS NOT NULL THEN l.label ELSE d.label END AS label,
+  CASE WHEN l.text IS NOT NULL THEN l.label_name ELSE d.label_name END AS label_name,
+  coalesce(l.text, trim(regexp_replace(d.text, '\s+', ' ', 'g'))) AS text
+FROM doc_texts d LEFT JOIN latest l ON l.path = d.path"""
+
+
+@query("cache_merge", MERGED, CACHE, LATEST)
 def cache_merge(spark, sf):
     cache = ca.latest_entries(load(spark, sf, "ocr_cache"))
     return ca.refresh(load(spark, sf, "doc_texts"), cache, tx.clean_text(F.col("text")))
 
 
+@query("cache_swap", MERGED, CACHE, LATEST)
+def cache_swap(spark, sf):
+    """The cache as a table of versions: its entries, then the entries of the current files; the newest is read."""
+    folder = shared_folder(spark)
+    files = load(spark, sf, "doc_texts")
+    vs.update(spark, folder, lambda _: ca.latest_entries(load(spark, sf, "ocr_cache")))
+    vs.update(spark, folder, lambda cache: ca.refresh(files, cache, tx.clean_text(F.col("text"))))
+    return vs.read_version(spark, folder)
+
+
 @query(
     "sink_dataset",
     "SELECT split, label, count(*) AS n, sum(doc_id) AS ids, sum(list_sum(px)) AS levels FROM doc_images GROUP BY split, label",

@@ -17,12 +17,16 @@ def _images(spark, sf):
     return load(spark, sf, "doc_images")
 
 
-def levels_of(df, column="px"):
-    """Binary pixels to rows ``(doc_id, p, value)``."""
-    codes = F.transform(
+def level_list(column="px"):
+    """Binary pixels as a list of numbers."""
+    return F.transform(
         F.sequence(F.lit(1), F.length(column)), lambda i: F.conv(F.hex(F.substring(F.col(column), i, F.lit(1))), 16, 10).cast("int")
     )
-    return df.select("doc_id", F.posexplode(codes).alias("p", "px"))
+
+
+def levels_of(df, column="px"):
+    """Binary pixels to rows ``(doc_id, p, value)``."""
+    return df.select("doc_id", F.posexplode(level_list(column)).alias("p", "px"))
 
 
 # Bicubic weights of 8 source pixels for 16 target pixels in 22-bit fixed point.

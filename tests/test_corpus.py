@@ -1,6 +1,9 @@
 import json
 import struct
+import threading
 import zlib
+from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +15,10 @@ from paperloom.operators.images import to_gray
 from paperloom.operators.profile import class_distribution, pixel_histogram
 from paperloom.operators.ranking import first_k, position_in_group
 from paperloom.sources import corpus as co
+from paperloom.sources import versions as vs
+from paperloom.sources import zones as zo
+from paperloom.sources.results import upsert_results
+from paperloom.sources.sinks import write_image_tree
 
 
 def hot_corpus(spark, n=3000):
@@ -96,6 +103,78 @@ def test_image_tree(spark, tmp_path):
     assert co.read_image_tree(spark, str(tmp_path), ("test",), drop_invalid=True).count() == 0
 
 
+def test_written_images_are_read_again(spark, tmp_path):
+    kind = "split string, label_name string, file_name string, width int, height int, px array<int>, split_no int"
+    rows = [
+        ("train", "invoice", "a.png", 3, 2, [0, 1, 2, 253, 254, 255], 1), ("train", "letter", "b.png", 1, 1, [7], 1),
+        ("test", "email", "c.png", 2, 1, None, 1), ("test", None, "d.png", 1, 1, [1], 1), ("test", "email", None, 1, 1, [1], 1),
+    ]
+    images = spark.createDataFrame(rows, kind)
+    assert write_image_tree(images, str(tmp_path / "tree")) == 2
+    assert write_image_tree(images, str(tmp_path / "tree")) == 2  # a repeated run writes the same files
+    got = {(r.split, r.label_name, r.file_name, r.width, r.height): list(r.px) for r in to_gray(co.read_image_tree(spark, str(tmp_path / "tree"))).collect()}
+    assert got == {("train", "invoice", "a.png", 3, 2): rows[0][5], ("train", "letter", "b.png", 1, 1): [7]}
+    assert write_image_tree(images.limit(0), str(tmp_path / "none")) == 0
+    assert co.read_image_tree(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_zones_of_unequal_classes(spark, tmp_path):
+    """A label-sorted corpus whose classes differ by a factor of a hundred: footers name the shards that a scan finds."""
+    sizes = {0: 1000, 2: 10, 6: 300, 7: 1, 14: 500}
+    labels = [code for code, n in sizes.items() for _ in range(n)]
+    rows = [(f"part{i // 100:02d}", i, code) for i, code in enumerate(labels)] + [("part19", 5000, None), ("part20", 5001, None)]
+    path = str(tmp_path / "corpus")
+    df = spark.createDataFrame(rows, "shard string, row int, label int")
+    df.repartition("shard").sortWithinPartitions("shard", "row").write.partitionBy("shard").option("parquet.block.size", 1024).parquet(path)
+    zones = zo.zone_map(spark, path, "label").withColumn("shard_idx", F.substring(F.regexp_extract("file", r"shard=part(\d+)", 1), 1, 2).cast("int")).persist()
+    assert zones.agg(F.sum("n")).first()[0] == len(rows)
+    want = {}
+    for name, _, code in rows:
+        if code is not None:
+            want.setdefault(code, set()).add(int(name[4:]))
+    got = {r.label16: (r.first_shard, r.last_shard) for r in zo.shard_span(zones, [*sizes, 9], []).collect()}
+    exact = {code: (min(s), max(s)) for code, s in want.items()}
+    assert {code: got[code] for code in exact} == exact
+    assert 9 not in got or got[9][0] == got[9][1]  # only where a shard's range spans it
+    for codes in ([7], [2, 14], [99], [0]):
+        held = zo.read_holding(spark, path, "label", codes, zones)
+        assert sorted(r.row for r in held.collect()) == [i for _, i, c in rows if c in codes]
+        opened = {f.rsplit("shard=", 1)[1].split("/")[0] for f in held.inputFiles()}
+        assert len(opened) <= sum(len(want.get(c, ())) for c in codes)
+    zones.unpersist()
+
+
+def test_versions_of_two_writers(spark, tmp_path):
+    """Both writers read version 1; one publishes version 2, the other begins again from it, and no entry is lost."""
+    root, schema = str(tmp_path / "table"), "model string, accuracy double"
+    assert vs.read_version(spark, root) is None and vs.newest(spark, root) == 0
+    first = spark.createDataFrame([("old", 0.1), ("kept", 0.2)], schema)
+    assert vs.update(spark, root, lambda _: first) == 1
+    both_read, runs = threading.Barrier(2), Counter()
+
+    def write(name):
+        def change(old):
+            runs[name] += 1
+            if runs[name] == 1:
+                both_read.wait(timeout=60)
+            return upsert_results(old, spark.createDataFrame([("old", 0.5), (name, 0.9)], schema))
+
+        return vs.update(spark, root, change)
+
+    with ThreadPoolExecutor(2) as pool:
+        assert sorted(pool.map(write, ("a", "b"))) == [2, 3]
+    assert sorted(runs.values()) == [1, 2]
+    rows = {r.model: r.accuracy for r in vs.read_version(spark, root).collect()}
+    assert rows == {"old": 0.5, "kept": 0.2, "a": 0.9, "b": 0.9}
+    assert vs.read_version(spark, root, 1).count() == 2
+    with pytest.raises(vs.Conflict):
+        vs.commit(first, root, 1)
+    assert len([f for f in (tmp_path / "table").iterdir() if f.name.startswith("data-")]) == 3  # the loser's rows are gone
+    vs.drop_versions(spark, root, 9)
+    assert vs.newest(spark, root) == 3 and vs.read_version(spark, root).count() == 4
+    assert len([f for f in (tmp_path / "table").iterdir() if f.name.startswith("data-")]) == 1
+
+
 def test_text_cache(spark, tmp_path):
     row = {"path": "a", "label": 1, "label_name": "invoice", "text": "old"}
     (tmp_path / "good.json").write_text(json.dumps([row, {**row, "text": "new"}, {**row, "path": "b", "text": None}]))
