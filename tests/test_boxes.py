@@ -131,3 +131,13 @@ def test_flagship_keeps_every_document_and_gates(spark):
     assert rows[3].label == "-" and rows[3].confidence is None
     forced = {r.doc_id: r.invoice_number for r in classify_and_extract(docs, preds, ocr, force=True).collect()}
     assert forced == {1: "A1", 2: "B2", 3: None}
+
+
+def test_fields_are_stored_once_per_salt_of_their_page(spark, monkeypatch):
+    words, fields = sample(3)
+    stored, real = [], bx.materialise
+    monkeypatch.setattr(bx, "materialise", lambda df: stored.append(real(df)) or stored[-1])
+    docs = spark.createDataFrame(fields, FIELDS)
+    bx.locate_fields(docs, spark.createDataFrame(words + [(5, 5000, "alpha", 1, 1, 1, 1, 90)], WORDS)).count()
+    per_doc = {r.doc_id: r["count"] for r in stored[0].groupBy("doc_id").count().collect()}
+    assert per_doc.pop(5, 2) == 2 and set(per_doc.values()) == {1}
