@@ -23,9 +23,11 @@ def st_incremental_text(spark, sf):
     """Documents arrive in two loads that overlap; the table ends with each of them once."""
     folder = shared_folder(spark)
     docs = load(spark, sf, "documents").select("doc_id", "text")
+    # Each load is four sets of files, of which a batch takes three; a set has as many files as the scan has tasks.
+    tasks = docs.rdd.getNumPartitions()
     for part in (docs.where("doc_id % 3 <> 0"), docs):
-        part.repartition(4).write.mode("append").parquet(f"{folder}/in")
-        stream = inc.arriving(spark, f"{folder}/in", docs.schema, 3)
+        part.repartition(4 * tasks).write.mode("append").parquet(f"{folder}/in")
+        stream = inc.arriving(spark, f"{folder}/in", docs.schema, 3 * tasks)
         inc.incremental_text(stream, f"{folder}/table", f"{folder}/progress", "doc_id")
     return inc.current_text(spark.read.parquet(f"{folder}/table"), "doc_id")
 

@@ -46,3 +46,16 @@ def test_other_buckets_stay_unread(spark, tmp_path):
     inc.incremental_text(inc.arriving(spark, land, schema), table, progress, buckets=8)
     now = {r.path: r.text for r in inc.current_text(spark.read.parquet(table)).collect()}
     assert len(now) == 202 and now["late"] == "now" and now["p7"] == "t 7" and now[None] == "n"
+
+
+def test_a_load_has_as_many_files_as_its_size_asks_for(spark, tmp_path, monkeypatch):
+    from paperloom.plans import streaming as ps
+
+    rows = spark.createDataFrame([(i, f"t  {i}") for i in range(60)], "doc_id bigint, text string")
+    rows.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(ps, "shared_folder", lambda _: str(tmp_path / "run"))
+    tasks = spark.read.parquet(str(tmp_path / "documents.parquet")).rdd.getNumPartitions()
+    assert tasks > 1
+    got = {(r.doc_id, r.text) for r in ps.st_incremental_text(spark, str(tmp_path)).collect()}
+    assert got == {(i, f"t {i}") for i in range(60)}
+    assert len(list((tmp_path / "run" / "in").glob("*.parquet"))) == 2 * 4 * tasks
