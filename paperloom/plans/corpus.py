@@ -18,7 +18,7 @@ from paperloom.session import shared_folder
 from paperloom.sources import corpus as co
 from paperloom.sources import versions as vs
 from paperloom.sources import zones as zo
-from paperloom.sources.sinks import materialise, write_image_tree, write_split
+from paperloom.sources.sinks import materialise, write_image_tree, write_split, write_text_cache
 
 C = ("corpus_shards",)
 CODES = "(VALUES (2, 'email', 0), (6, 'invoice', 1), (7, 'letter', 2), (14, 'scientific_report', 3)) AS c(code, label_name, label_idx)"
@@ -227,14 +227,11 @@ CACHE = ("ocr_cache",)
 
 @query("src_text_cache", "SELECT * FROM latest", CACHE, LATEST)
 def src_text_cache(spark, sf):
-    """The cache as stored lists, the older entries in one file and the newer in the next."""
+    """The cache as stored lists, the older entries in one folder of files and the newer in the next."""
     folder = shared_folder(spark)
     entries = load(spark, sf, "ocr_cache")
-    row = F.to_json(F.struct("path", "label", "label_name", "text"), {"ignoreNullFields": "false"}).alias("value")
     for seq in (0, 1):
-        lines = entries.where(F.col("seq") == seq).select(row)
-        listed = lines.agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ", "), F.lit("]")).alias("value"))
-        listed.write.text(f"{folder}/{seq}")
+        write_text_cache(entries.where(F.col("seq") == seq), f"{folder}/{seq}")
     return ca.latest_entries(co.read_text_cache(spark, f"{folder}/*"))
 
 

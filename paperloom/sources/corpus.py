@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 from paperloom.functions.labels import label_index
 from paperloom.schemas import CORPUS_CODES, LABEL_NAMES, SPLITS, TEXT_CACHE_SCHEMA
 
+PIECE_BITS = 12  # pieces of a text cache are added up in blocks of 4096
+
 
 def read_corpus(spark: SparkSession, path: str, codes: tuple[int, ...] = tuple(CORPUS_CODES)) -> DataFrame:
     """Image and label of the wanted codes, with the shard file and row each came from.
@@ -77,7 +79,7 @@ def read_text_cache(spark: SparkSession, path: str) -> DataFrame:
 
     A large file is read by many tasks.  Its text comes in pieces that end at a closing brace (a record separator that
     Spark splits files at); whether a brace closes an entry of the list follows from the quotes and braces before it,
-    which are counted per split, added up over the splits of a file and then within each split.  Pieces up to a closing
+    which are counted per block of pieces, added up over the blocks of a file and then within each block.  Pieces up to a closing
     brace of the list's own level make an entry.  A file that does not hold one whole list gives no rows; an entry that
     is no object with a path is left out, but keeps its place.
     """
@@ -95,9 +97,11 @@ def read_text_cache(spark: SparkSession, path: str) -> DataFrame:
         chosen = F.filter(parts, lambda part, i: F.pmod(i, F.lit(2)) == first)
         return F.aggregate(chosen, F.lit(0), lambda n, part: n + F.length(part) - F.length(F.replace(part, F.lit("{"), F.lit(""))))
 
+    shown = F.trim(F.translate("value", "\r\n\t", "   "))
     counted = pieces.select(
-        "*", (F.size(parts) - 1).alias("_quotes"), braces(0).alias("_outside"), braces(1).alias("_inside"),
-        F.trim(F.translate("value", "\r\n\t", "   ")).alias("_shown"),
+        "*", F.shiftright("_id", PIECE_BITS).alias("_block"), (F.size(parts) - 1).alias("_quotes"),
+        braces(0).alias("_outside"), braces(1).alias("_inside"),
+        F.left(shown, F.lit(1)).alias("_first"), (shown == "]").alias("_end"),
     )
     quoted = _running(counted, "_quotes", "_before")
     within = F.pmod("_before", F.lit(2)) == 1  # the piece begins inside a string
@@ -109,10 +113,10 @@ def read_text_cache(spark: SparkSession, path: str) -> DataFrame:
     # What follows the last brace of a file is its last piece, for which one closing brace too many was counted.
     order = F.struct("_start", "_id")
     ends = listed.groupBy("_file").agg(
-        F.min_by(F.left("_shown", F.lit(1)), order).alias("_open"), F.max_by("_shown", order).alias("_close"),
+        F.min_by("_first", order).alias("_open"), F.max_by("_end", order).alias("_close"),
         F.max_by(F.col("_depth"), order).alias("_left"), F.max(order).alias("_last"),
     )
-    whole = ends.where((F.col("_open") == "[") & (F.col("_close") == "]") & (F.col("_left") == 0))
+    whole = ends.where((F.col("_open") == "[") & F.col("_close") & (F.col("_left") == 0))
     inner = listed.join(whole.select("_file", "_last"), "_file").where(order != F.col("_last"))
     texts = inner.groupBy("_file", "_at").agg(F.array_sort(F.collect_list(F.struct("_start", "_id", "value"))).alias("_parts"))
     entry = F.regexp_replace(F.concat(F.array_join("_parts.value", "}"), F.lit("}")), r"^[\s\[,]+", "")
@@ -122,14 +126,15 @@ def read_text_cache(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _running(pieces: DataFrame, col: str, out: str) -> DataFrame:
-    """Add the sum of ``col`` over the pieces before each one of its file: sums per split first, so that no window holds
-    more than a split or one row per split."""
-    splits = pieces.groupBy("_file", "_start").agg(F.sum(col).alias("_sum"))
-    earlier = Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.select("_file", "_start", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
-    here = Window.partitionBy("_file", "_start").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
+    """Add the sum of ``col`` over the pieces before each one of its file: sums per block first, so that no window holds
+    more than a block of a split or one row per block."""
+    at = ["_file", "_start", "_block"]
+    blocks = pieces.groupBy(*at).agg(F.sum(col).alias("_sum"))
+    earlier = Window.partitionBy("_file").orderBy("_start", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select(*at, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
+    here = Window.partitionBy(*at).orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
     inside = F.coalesce(F.sum(col).over(here), F.lit(0))
-    return pieces.join(offsets, ["_file", "_start"]).withColumn(out, F.col("_offset") + inside).drop("_offset")
+    return pieces.join(offsets, at).withColumn(out, F.col("_offset") + inside).drop("_offset")
 
 
 def read_text_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -18,7 +18,7 @@ from paperloom.sources import corpus as co
 from paperloom.sources import versions as vs
 from paperloom.sources import zones as zo
 from paperloom.sources.results import upsert_results
-from paperloom.sources.sinks import write_image_tree
+from paperloom.sources.sinks import write_image_tree, write_text_cache
 
 
 def hot_corpus(spark, n=3000):
@@ -237,3 +237,26 @@ def test_profiles_show_zeros(spark):
     for label in (1, 2):
         width = 0.2 if label == 1 else 51.0
         assert sum(r.density * width for r in hist if r.label == label) == pytest.approx(1)
+
+
+def test_a_text_cache_is_written_by_many_tasks(spark, tmp_path):
+    rows = [(f"p{i}", i % 4, "letter", [f'a "{{{i}}}" ]', "", None, "x\n}, {"][i % 4]) for i in range(300)]
+    entries = spark.createDataFrame(rows, "path string, label int, label_name string, text string").repartition(3)
+    write_text_cache(entries, str(tmp_path / "cache"))
+    files = list((tmp_path / "cache").glob("*.txt"))
+    assert len(files) == 3 and all(isinstance(json.loads(f.read_text()), list) for f in files)
+    got = co.read_text_cache(spark, str(tmp_path / "cache"))
+    assert sorted(tuple(r)[:4] for r in got.collect()) == sorted(rows)
+    write_text_cache(entries.limit(0), str(tmp_path / "none"))
+    assert co.read_text_cache(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_running_sums_of_a_text_cache_go_over_blocks(spark, tmp_path, monkeypatch):
+    """Blocks of four pieces: quotes and braces are carried from block to block."""
+    monkeypatch.setattr(co, "PIECE_BITS", 2)
+    rows = [(f"p{i}", 1, "email", '"}{"}' * (i % 5) + "{" * (i % 3)) for i in range(100)]
+    (tmp_path / "a.json").write_text(json.dumps([dict(zip(("path", "label", "label_name", "text"), r)) for r in rows]))
+    got = sorted(co.read_text_cache(spark, str(tmp_path)).collect(), key=lambda r: r.seq)
+    assert [tuple(r)[:4] for r in got] == rows
+    windows = co.read_text_cache(spark, str(tmp_path))._jdf.queryExecution().analyzed().toString()
+    assert "_block" in windows
