@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -159,3 +160,15 @@ def test_text_model_reads_whole_texts(spark):
     assert whole.where("doc_id < 99 and y_pred <> label").count() == 0
     cut = mb.score(mb.train_text(docs, max_tokens=256, buckets=1024), docs)
     assert cut.where("doc_id < 99").select("y_pred").distinct().count() == 1
+
+
+def test_a_table_that_is_multiplied_is_dealt_to_tasks(spark, tmp_path, monkeypatch):
+    from paperloom.plans import fixtures as fx
+    from paperloom.plans.training import ml_epoch_metrics
+
+    spark.range(50).withColumnRenamed("id", "c_custkey").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    monkeypatch.setattr(fx, "ROWS_A_TASK", 1000)
+    for name, made, tasks in (("train_batches", 200, 10), ("train_history", 20, 1)):
+        view = fx.load(spark, str(tmp_path), name)
+        assert view.count() == 50 * made and view.rdd.getNumPartitions() == tasks
+    assert ml_epoch_metrics(spark, str(tmp_path)).count() == 50 * 40
