@@ -86,8 +86,9 @@ def member_scores(models: dict[str, PipelineModel], features: Features) -> DataF
 
 
 def meta_vectors(scores: DataFrame) -> DataFrame:
-    """Sixteen probabilities per document; documents that lack a member are set aside."""
-    meta = meta_features(scores).where(F.col("meta").isNotNull())
+    """Sixteen probabilities per document; documents that lack a member are set aside, and rows of other models, of which
+    there may be many more, before they move."""
+    meta = meta_features(scores.where(F.col("model").isin(*MEMBER_ORDER))).where(F.col("meta").isNotNull())
     return meta.withColumn("features", array_to_vector("meta")).drop("meta")
 
 

@@ -162,6 +162,16 @@ def test_text_model_reads_whole_texts(spark):
     assert cut.where("doc_id < 99").select("y_pred").distinct().count() == 1
 
 
+def test_rows_of_other_models_do_not_reach_the_meta_features(spark, monkeypatch):
+    probs = [0.1, 0.2, 0.3, 0.4]
+    rows = [(1, m, probs) for m in st.MEMBER_ORDER] + [(d, st.TEXT_MEMBER, probs) for d in (1, 2, 3)]
+    seen, real = [], st.meta_features
+    monkeypatch.setattr(st, "meta_features", lambda df: seen.append(df) or real(df))
+    got = st.meta_vectors(spark.createDataFrame(rows, "doc_id int, model string, probs array<double>")).collect()
+    assert [(r.doc_id, list(r.features)) for r in got] == [(1, probs * 4)]
+    assert {r.model for r in seen[0].collect()} == set(st.MEMBER_ORDER)
+
+
 def test_a_table_that_is_multiplied_is_dealt_to_tasks(spark, tmp_path, monkeypatch):
     from paperloom.plans import fixtures as fx
     from paperloom.plans.training import ml_epoch_metrics
