@@ -41,12 +41,11 @@ class DenseMap(Transformer, HasInputCol, HasOutputCol, MLReadable, MLWritable):
         def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             weights, offset = shared.value
             for batch in batches:
-                parts = []
+                # A part is passed on before the next is made, so a task holds the numbers of one.
                 for start in range(0, len(batch), CHUNK):
                     x = np.stack(batch.iloc[start : start + CHUNK].to_numpy())
                     y = x @ weights.T + offset
-                    parts.extend(np.sqrt(2.0 / len(offset)) * np.cos(y) if wave else y)
-                yield pd.Series(parts)
+                    yield pd.Series(list(np.sqrt(2.0 / len(offset)) * np.cos(y) if wave else y))
 
         return dataset.withColumn(self.getOutputCol(), array_to_vector(apply(vector_to_array(self.getInputCol()))))
 

@@ -172,6 +172,18 @@ def test_rows_of_other_models_do_not_reach_the_meta_features(spark, monkeypatch)
     assert {r.model for r in seen[0].collect()} == set(st.MEMBER_ORDER)
 
 
+def test_a_dense_map_passes_on_parts(spark, monkeypatch):
+    from paperloom.training import dense_map as dm
+
+    sizes = []
+    monkeypatch.setattr(dm.F, "pandas_udf", lambda kind: lambda fn: sizes.append(fn) or F.udf(lambda x: x, kind))
+    stage = dm.DenseMap(np.ones((2, 3)))
+    stage.transform(spark.createDataFrame([([1.0, 2.0, 3.0],)], "x array<double>").select(array_to_vector("x").alias("features")))
+    batch = pd.Series([np.array([i, 1.0, 2.0]) for i in range(dm.CHUNK * 2 + 5)])
+    parts = list(sizes[0](iter([batch])))
+    assert [len(p) for p in parts] == [dm.CHUNK, dm.CHUNK, 5] and list(parts[2].iloc[4]) == [dm.CHUNK * 2 + 7.0] * 2
+
+
 def test_a_table_that_is_multiplied_is_dealt_to_tasks(spark, tmp_path, monkeypatch):
     from paperloom.plans import fixtures as fx
     from paperloom.plans.training import ml_epoch_metrics
