@@ -8,7 +8,7 @@ one-against-one votes, and the network member works on reduced pixels.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     LinearSVC,
     LogisticRegression,
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from paperloom.functions.text import is_blank
 from paperloom.functions.vectors import argmax, softmax
 from paperloom.schemas import LABEL_NAMES
+from paperloom.sources.sinks import materialise
 from paperloom.training.dense_map import DenseMap
 from paperloom.training.prepare import SEED, SVD_COMPONENTS, fit_scaler, truncated_svd, with_class_weight
 
@@ -95,10 +96,11 @@ def train_pixel_net(
     svd = truncated_svd(train, k)
     scaler = fit_scaler(svd.transform(train), "reduced", "scaled")
     head = [svd, *scaler.stages]
-    prepared = PipelineModel(head).transform(train).select("label", "scaled")
-    held = PipelineModel(head).transform(val).select("label", "scaled")
     layers = [len(svd.weights), hidden, len(LABEL_NAMES)]
-    sets = prepared.withColumn("phase", F.lit("train")).unionByName(held.withColumn("phase", F.lit("val")))
+    phases = train.withColumn("phase", F.lit("train")).unionByName(val.withColumn("phase", F.lit("val")))
+    # every round passes over the rows, which are mapped once
+    sets = materialise(PipelineModel(head).transform(phases).select("label", "scaled", "phase"))
+    prepared = sets.where("phase = 'train'").drop("phase")
     best, best_accuracy, weights, log = None, 0.0, None, []
     for step in range(1, rounds + 1):
         net = MultilayerPerceptronClassifier(featuresCol="scaled", layers=layers, maxIter=iterations, seed=SEED)
@@ -127,16 +129,19 @@ def train_text(train: DataFrame, max_tokens: int | None = None, buckets: int = T
     """
     tokens = RegexTokenizer(inputCol="shown", outputCol="tokens", pattern=r"(?U)\W+")
     cut = f"slice(tokens, 1, {max_tokens})" if max_tokens else "tokens"
-    stages = [
+    head = [
         # a missing text is scored as a blank one
         SQLTransformer(statement="SELECT *, coalesce(text, ' ') AS shown FROM __THIS__"),
         tokens,
         SQLTransformer(statement=f"SELECT *, {cut} AS kept FROM __THIS__"),
         HashingTF(inputCol="kept", outputCol="tf", numFeatures=buckets),
-        IDF(inputCol="tf", outputCol="tfidf"),
-        LogisticRegression(featuresCol="tfidf", labelCol=label_col, regParam=0.01, maxIter=30),
     ]
-    return Pipeline(stages=stages).fit(train.where(~is_blank(F.col("text"))).select("text", label_col))
+    given = train.where(~is_blank(F.col("text"))).select("text", label_col)
+    # Both fits pass over the rows, so texts are read and cut once and their counts stored.
+    counted = materialise(PipelineModel(head).transform(given).select("tf", label_col))
+    weights = IDF(inputCol="tf", outputCol="tfidf").fit(counted)
+    linear = LogisticRegression(featuresCol="tfidf", labelCol=label_col, regParam=0.01, maxIter=30)
+    return PipelineModel([*head, weights, linear.fit(weights.transform(counted))])
 
 
 def score(model: PipelineModel, df: DataFrame, margins: bool = False) -> DataFrame:

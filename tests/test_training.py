@@ -172,6 +172,21 @@ def test_rows_of_other_models_do_not_reach_the_meta_features(spark, monkeypatch)
     assert {r.model for r in seen[0].collect()} == set(st.MEMBER_ORDER)
 
 
+def test_fits_read_stored_rows(spark, monkeypatch):
+    """Texts are cut once for all passes of a fit, and the network's rows are mapped once for all rounds."""
+    stored, real = [], mb.materialise
+    monkeypatch.setattr(mb, "materialise", lambda df: stored.append(df) or real(df))
+    texts = spark.createDataFrame([("red apple", 0), ("blue sea", 1), (" ", 1), (None, 0)] * 4, "text string, label int")
+    model = mb.train_text(texts, buckets=64)
+    assert stored[0].columns == ["tf", "label"] and stored[0].count() == 8
+    got = {r.text: r.y_pred for r in mb.score(model, texts).collect()}
+    assert got["red apple"] == 0 and got["blue sea"] == 1
+    images = spark.createDataFrame([([float(i % 4 == k) + i / 999 for k in range(4)], i % 4) for i in range(40)], "x array<double>, label int")
+    vectors = images.select("label", array_to_vector("x").alias("features"))
+    _, log = mb.train_pixel_net(vectors, vectors, 4, 4, rounds=2, iterations=3)
+    assert len(stored) == 2 and stored[1].count() == 80 and log.count() == 4
+
+
 def test_a_dense_map_passes_on_parts(spark, monkeypatch):
     from paperloom.training import dense_map as dm
 
